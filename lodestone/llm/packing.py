@@ -14,11 +14,11 @@ empty table gives no pieces; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,45 +30,63 @@ from .common import keep
 WINDOW = 2048
 #: Ranks within one length are counted in so many parts, so that a very common length isn't one task.
 SALTS = 64
-#: Cached pieces of a worker; the cache is emptied when it is full.
-CACHED = 400_000
-
-#: Characters for which the tables of re and of the tokenizer's own pattern agree; other texts go to the tokenizer whole.
+#: Characters for which the character classes of both libraries surely agree; other texts go to `tokenizers`.
 _PLAIN = bytes([*b"\t\n\r", *range(32, 127), *range(0xA1, 0x100)])
-#: The byte-level pattern, with letters, numbers and white space as they are among those characters.
-_L, _N = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+#: The split of byte-level pre-tokenization.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class TokenIds:
-    """Token ids as little-endian 32-bit integers; equal pieces of text are encoded once."""
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        tok = self.tok = Tokenizer.from_file(path)
+class TokenIds:
+    """Token ids of a byte-level BPE file of `tokenizers`, as little-endian 32-bit integers.
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHED:
-                    self.clear()
-                out = self[piece] = _packed(tok.encode(piece, add_special_tokens=False).ids)
-                return out
+    Where the file's ids rank its merges (checked on loading), `tiktoken` runs the same merges several times as fast;
+    its ids are the same. Other files, and texts with rarer characters or what may be a special token, are encoded by
+    `tokenizers`.
+    """
 
-        self.pieces = Pieces()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str) -> bytes:
+        self.tok = Tokenizer.from_file(path)
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, letters = spec["model"], _byte_letters()
+        pre = spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        joined = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if len(ranks) != 256 + len(joined) or joined != list(range(256, 256 + len(joined))):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str | None) -> bytes:
+        text = text or ""
         try:
-            plain = not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+            plain = self.fast and "<|" not in text and not text.encode("latin-1").translate(None, _PLAIN)
         except UnicodeEncodeError:
             plain = False
-        if plain:
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
-        return _packed(self.tok.encode(text, add_special_tokens=False).ids)
+        return _packed(self.fast.encode_to_numpy(text, disallowed_special=()) if plain else self.tok.encode(text, add_special_tokens=False).ids)
 
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+def _packed(ids) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
 
 _WORKER: dict[str, TokenIds] = {}
@@ -84,7 +102,7 @@ def _cut(path: str, window: int, end_id: int):
         for batch in batches:
             out = []
             for text in batch.to_pylist():
-                data = ids(text or "") + end
+                data = ids(text) + end
                 out.append({"doc_tokens": len(data) // 4, "crcs": [zlib.crc32(data[i : i + 4 * window]) for i in range(0, len(data), 4 * window)]})
             yield pa.array(out, kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, token_counts, toxicity
+from . import decontaminate, embeddings, ngram_join, packing, quality, token_counts, toxicity
 from .common import crc32_mod, table
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", token_counts.token_counts(F.col("text"), tokenizer_file("piece_bpe_32k.model")).alias("t")).select("doc_id", "t.*")
@@ -31,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2)
@@ -45,5 +53,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", c.n_words, c.n_hit, F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), c.contaminated).toDF("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_packing, op6_toxicity, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
