@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, packing, toxicity
+from lodestone.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from lodestone.llm.common import keep, table
 from lodestone.llm.queries import tokenizer_file
 
@@ -23,6 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon, "_toxicity").where(F.col("_toxicity.score") < TOXIC).select(*docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that resemble a line before them."""
+    return line_dedup.without_repeated_lines(docs).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that n-gram links join, the one of the smallest id; documents of a null id stay."""
+    parts = ngram_join.similar_documents(docs)
+    gone = keep(parts.where("doc_id != component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti").select(*docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under a twentieth of the words stands in benchmark passages."""
     marked = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), out="_contamination")
@@ -34,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard", keep_one_of_each_group), ("decontamination", drop_contaminated), ("packing", pack)]
 
 #: SQL can express neither the toxicity score nor the tokenizer.
 ORACLE_SQL = None

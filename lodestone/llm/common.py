@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ def words(text: str | None) -> list[str]:
     return b" ".join(found).decode().split(" ") if found else []
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """Small parts of Arrow batches: what Python holds of them at a time stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch[at : at + rows]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     d = spark.conf.get("spark.checkpoint.dir", None)

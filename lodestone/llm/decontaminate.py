@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, word_bytes
+from .common import WORD, slices, word_bytes
 
 WINDOW = 13
 #: Characters of benchmark text in one automaton (about 100 bytes of memory for each of 13 x so many at worst);
@@ -84,7 +84,7 @@ def _scanner(blocks: list, size: int):
 
     @F.arrow_udf(_TYPE)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.to_pylist()
             found = [[None, [], set()] for _ in texts]
             for i in range(len(blocks)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, slices
 from .components import components
 
 BUCKET, BLOCK, MISS = 256, 1024, 1e-4
@@ -42,7 +42,7 @@ def _keys(bits: int, n_tables: int, seed: int):
     @F.arrow_udf("array<int>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         planes: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out: list = [None] * len(batch)
             rows = batch.to_pylist()
             by: dict[int, list[int]] = {}

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, slices
 from .components import components
 
 CACHED = 400_000
@@ -90,12 +90,14 @@ class Scheme:
         self.t = percent / 100
         self.percent = percent
         self._h = [0]
+        self._period = (100 + percent) // math.gcd(100 + percent, percent)
 
     def differ(self, size: int) -> int:
         """Largest number of shingles in one set only, for a set of at most `size` and a partner no smaller than itself."""
         while len(self._h) <= size:
             s, p = len(self._h), self.percent
-            most = max(s + l - 2 * (-(-p * (s + l) // (100 + p))) for l in range(s, 100 * s // p + 1))
+            top = 100 * s // p  # the partner's largest size; the bound rises by 1 or falls by 1 from size to size, and rises over each period
+            most = max(s + l - 2 * (-(-p * (s + l) // (100 + p))) for l in range(max(s, top - self._period), top + 1))
             self._h.append(max(self._h[-1], most))
         return self._h[size]
 
@@ -166,6 +168,11 @@ class Scheme:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
+@functools.cache
+def _scheme(percent: int) -> Scheme:
+    return Scheme(percent)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
@@ -206,18 +213,17 @@ def _described(n: int, percent: int):
 
     @F.arrow_udf("n long, k1 long, k2 long, keys array<long>, sketch array<long>")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scheme = Scheme(percent)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                size, k1, k2, keys, bits = [], [], [], [], []
-                for t in batch[at : at + 512].to_pylist():
-                    h = hashed(t, n)
-                    size.append(len(h))
-                    k1.append(int(_mix(h + _M1).sum(dtype=np.uint64).view(np.int64)))
-                    k2.append(int(_mix(h ^ _M3).sum(dtype=np.uint64).view(np.int64)))
-                    keys.append(scheme.keys(h))
-                    bits.append(sketch(h))
-                yield pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(keys), _lists(bits)], fields=list(kind))
+        scheme = _scheme(percent)
+        for batch in slices(batches):
+            size, k1, k2, keys, bits = [], [], [], [], []
+            for t in batch.to_pylist():
+                h = hashed(t, n)
+                size.append(len(h))
+                k1.append(int(_mix(h + _M1).sum(dtype=np.uint64).view(np.int64)))
+                k2.append(int(_mix(h ^ _M3).sum(dtype=np.uint64).view(np.int64)))
+                keys.append(scheme.keys(h))
+                bits.append(sketch(h))
+            yield pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(keys), _lists(bits)], fields=list(kind))
 
     return described
 

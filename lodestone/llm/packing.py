@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, slices
 
 WINDOW = 2048
 #: Ranks within one length are counted in so many parts, so that a very common length isn't one task.
@@ -99,7 +99,7 @@ def _cut(path: str, window: int, end_id: int):
     @F.arrow_udf(T.StructType([T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = _WORKER.get(path) or _WORKER.setdefault(path, TokenIds(path))
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.to_pylist():
                 data = ids(text) + end

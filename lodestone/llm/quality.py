@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, slices
 
 WORD_BINS, BINS, RANK = 1 << 15, 24, 8
 STATISTICS = ["chars", "words", "word_length", "upper", "digit", "sign", "space", "high", "distinct", "top_word", "lines", "line_length", "repeated_lines", "short_lines", "repeated_pairs", "sign_ends", "top_sign", "long_words"]
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
 
     @F.arrow_udf("at array<int>, x array<double>")
     def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.to_pylist():
                 at, x = features(t["text"], tuple(t[m] for m in meta))
@@ -163,7 +163,7 @@ def score(docs: DataFrame, machine: Machine | None, meta: tuple[str, ...] = (),
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([m.score(*features(x["text"], tuple(x[k] for k in meta))) for x in batch.to_pylist()], pa.float64())
 
     return docs.withColumn(out, scored(F.struct("text", *meta)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, ngram_join, packing, quality, token_counts, toxicity
+from . import decontaminate, embeddings, html_text, licenses, line_dedup, ngram_join, packing, quality, token_counts, toxicity
 from .common import crc32_mod, table
 
 
@@ -46,6 +46,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxicity.segments").alias("n_segments"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.detected(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -53,5 +63,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", c.n_words, c.n_hit, F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), c.contaminated).toDF("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op9_decontamination)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.without_repeated_lines(docs, out="n_removed")
+    return kept.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

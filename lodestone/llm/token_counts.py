@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
 #: By how much an unknown character scores less than the smallest score of the vocabulary.
 UNKNOWN = 10.0
@@ -104,7 +106,7 @@ def token_counts(text: Column, model_path: str) -> Column:
     @F.arrow_udf("n_tokens long, score double")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = _WORKER.get(model_path) or _WORKER.setdefault(model_path, Counter(vocabulary(model_path)))
-        for batch in batches:
+        for batch in slices(batches):
             got = [held(t) for t in batch.to_pylist()]
             yield pa.array([{"n_tokens": n, "score": s} for n, s in got], kind)
 

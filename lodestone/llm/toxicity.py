@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, words
+from .common import labelled_sample, slices, words
 
-#: Labelled rows that are learnt from; least z and least log-odds ratio of the lexicon; weight of the prior, in texts; cost of a word outside the lexicon.
-BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 500.0, 0.15
+#: Labelled rows that are learnt from; least z and least log-odds ratio of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
+BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 1 / 30, 0.15
 #: A text's marks: its words and these numbers of first letters.
 PREFIXES = (5, 4)
 CACHED = 400_000
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
     @F.arrow_udf("print binary, marks array<string>")
     def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("print", pa.binary()), ("marks", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([{"print": _print_of(t), "marks": list(marks(t))} for t in batch.to_pylist()], kind)
 
     # Three quarters of the texts give counts, one quarter the curve; of texts with one print, one counts.
@@ -157,8 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
         return None
     counts = firsts.select("y", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("y").alias("y1"), F.sum(1 - F.col("y")).alias("y0"))
     share = (F.col("y1") + F.col("y0")) / float(n[0] + n[1])
-    a, b = F.col("y1") + PRIOR * share, F.col("y0") + PRIOR * share
-    delta = F.log(a / (n[1] + PRIOR - a)) - F.log(b / (n[0] + PRIOR - b))
+    prior = PRIOR * (n[0] + n[1])
+    a, b = F.col("y1") + prior * share, F.col("y0") + prior * share
+    delta = F.log(a / (n[1] + prior - a)) - F.log(b / (n[0] + prior - b))
     z = delta / F.sqrt(1 / a + 1 / b)
     # Each entry stands in several of the bounded texts, so the lexicon is bounded too.
     kept = counts.where(F.col("y1") >= 4).select("mark", F.least(delta, F.lit(9.0)).alias("score")).where((z >= Z) & (delta >= ODDS)).toPandas()
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
     def lined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = _Held(held.value)
         kind = pa.struct([("n", pa.int32()), ("hits", pa.list_(pa.float64())), ("at", pa.list_(pa.int32()))])
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.to_pylist():
                 s = _scores(cache, t)
@@ -203,7 +204,7 @@ def score(docs: DataFrame, lexicon: Lexicon | None, out: str = "toxicity") -> Da
         own = held.value
         cache = _Held(own)
         arrow = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.to_pylist():
                 s = _scores(cache, t)
