@@ -1,4 +1,455 @@
 """Registered queries on the driver's tables, each with DuckDB SQL that says the same."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import chart, index, records, search, spans, structure, taxonomy, trees, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+def _r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# Search -------------------------------------------------------------------------------------------------------
+
+TERMS = ["the", "thing", "and", "zzzz", "idiot", "license"]
+_BM25 = """
+WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+') f, regexp_extract_all(lower(text), '[a-z]+') b FROM documents),
+s AS (SELECT count(*) n, avg(len(f) + len(b)) a FROM d),
+q AS (SELECT unnest(['the','thing','and','zzzz','idiot','license']) term),
+tf AS (SELECT doc_id, lang, source, term, len(list_filter(f, lambda x: x = term)) tff, len(list_filter(b, lambda x: x = term)) tfb, len(f) + len(b) l FROM d, q),
+df AS (SELECT term, count(*) FILTER (WHERE tff + tfb > 0) df FROM tf GROUP BY term),
+sc AS (SELECT doc_id, lang, source, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+  * ({w} * tff + tfb) * 2.2 / (({w} * tff + tfb) + 1.2 * (0.25 + 0.75 * l / a))) score
+  FROM tf JOIN df USING (term), s WHERE tff + tfb > 0 {scope} GROUP BY doc_id, lang, source)
+"""
+
+
+def _bm25(docs: DataFrame, weight: float, scope: Column | None = None) -> DataFrame:
+    focus, body = X.tokens(F.split("text", "\n")[0]), X.tokens(F.col("text"))
+    return index.bm25(docs, "doc_id", focus, body, TERMS, weight, scope)
+
+
+@_query(_BM25.format(w="8.0", scope="") + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 60")
+def bm25_search(spark, d):
+    return _bm25(_t(spark, d, "documents"), 8.0).withColumn("score", _r6("score")).orderBy(F.desc("score"), "doc_id").limit(60)
+
+
+@_query(_BM25.format(w="2.0", scope="AND lang = 'en' AND source <> 'src0'") + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 60")
+def bm25_filtered_scope(spark, d):
+    scored = _bm25(_t(spark, d, "documents"), 2.0, (F.col("lang") == "en") & (F.col("source") != "src0"))
+    return scored.withColumn("score", _r6("score")).orderBy(F.desc("score"), "doc_id").limit(60)
+
+
+@_query("SELECT term FROM (SELECT unnest(['the','thing','and','zzzz','idiot','license','qqqq']) term) q WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'fr' AND list_contains(regexp_extract_all(lower(text), '[a-z]+'), term))")
+def unmatched_terms(spark, d):
+    return index.unmatched([*TERMS, "qqqq"], _t(spark, d, "documents"), X.tokens(F.col("text")), F.col("lang") == "fr")
+
+
+_COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+@_query(f"SELECT v.vec_id AS evidence, round({_COS}, 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.label <> 3 ORDER BY round({_COS}, 6) DESC, v.vec_id LIMIT 20")
+def dense_knn(spark, d):
+    v = _t(spark, d, "embeddings")
+    q = v.where("vec_id = 7").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return vectors.knn(v, q, F.col("vec_id"), 20, F.col("label") != 3).withColumn("score", _r6("score"))
+
+
+@_query(f"""WITH r AS (SELECT v.vec_id // 4 AS evidence, q.vec_id q, max({_COS}) score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (3, 11, 40)) q GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, evidence) n FROM r)
+SELECT evidence, round(max(score), 6) AS score FROM n WHERE n <= 31 GROUP BY evidence ORDER BY max(score) DESC, evidence LIMIT 30""")
+def dense_multi_window(spark, d):
+    v = _t(spark, d, "embeddings")
+    q = v.where("vec_id in (3, 11, 40)").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return vectors.knn(v, q, F.floor(F.col("vec_id") / 4), 30).withColumn("score", _r6("score"))
+
+
+@_query(_BM25.format(w="8.0", scope="") + """, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) rank FROM sc QUALIFY rank <= 60),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) rank FROM documents QUALIFY rank <= 60)
+SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, count(*) AS channels FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
+def rrf_fusion(spark, d):
+    docs = _t(spark, d, "documents")
+    a = search.ranked(_bm25(docs, 8.0).withColumn("score", _r6("score")), [F.desc("score"), F.col("doc_id")], 60)
+    b = search.ranked(docs.select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 60)
+    return search.fuse([a, b], "doc_id").withColumn("rrf", _r6("rrf"))
+
+
+@_query("""WITH c AS (SELECT o_orderkey, 'status' feature, o_orderstatus v FROM orders UNION ALL SELECT o_orderkey, 'priority', CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END FROM orders
+UNION ALL SELECT o_orderkey, 'size', CAST(floor(o_totalprice / 50000) AS BIGINT)::VARCHAR FROM orders)
+SELECT o_orderkey, sum((v = e)::BIGINT)::BIGINT AS n_matched, count(*) AS n_known, round(sum((v = e)::BIGINT)::DOUBLE / count(*), 6) AS score
+FROM c JOIN (VALUES ('status', 'F'), ('priority', '1-URGENT'), ('size', '3')) r(feature, e) USING (feature) WHERE v IS NOT NULL GROUP BY o_orderkey HAVING sum((v = e)::BIGINT) > 0""")
+def structural_match(spark, d):
+    o = _t(spark, d, "orders")
+    cells = F.array(F.struct(F.lit("status").alias("feature"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("priority").alias("feature"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("value")), F.struct(F.lit("size").alias("feature"), F.floor(F.col("o_totalprice") / 50000).cast("string").alias("value")))
+    request = spark.createDataFrame([("status", "F"), ("priority", "1-URGENT"), ("size", "3")], "feature string, value string")
+    return structure.scored_cells(o.select("o_orderkey", F.inline(cells)), request, "o_orderkey").withColumn("score", _r6("score"))
+
+
+@_query("""WITH l AS (SELECT l_orderkey k, list_sort(list(l_linenumber)) nos, list_sort(list(DISTINCT l_returnflag)) flags FROM lineitem GROUP BY 1),
+m AS (SELECT o_orderkey, o_orderstatus = 'O' a, CASE WHEN o_orderkey % 7 <> 0 THEN nos = [1, 2] END b, CASE WHEN k IS NOT NULL THEN list_contains(flags, 'N') END c FROM orders LEFT JOIN l ON o_orderkey = k)
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'line_positions' END, CASE WHEN c THEN 'flags' END], lambda x: x IS NOT NULL), ',') AS matched,
+array_to_string(list_filter([CASE WHEN NOT a THEN 'status' END, CASE WHEN NOT b THEN 'line_positions' END, CASE WHEN NOT c THEN 'flags' END], lambda x: x IS NOT NULL), ',') AS different,
+(CASE WHEN a IS NULL THEN 1 ELSE 0 END + CASE WHEN b IS NULL THEN 1 ELSE 0 END + CASE WHEN c IS NULL THEN 1 ELSE 0 END)::INTEGER AS n_unknown,
+round((coalesce(a, false)::INT + coalesce(b, false)::INT + coalesce(c, false)::INT)::DOUBLE / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT), 6) AS score FROM m WHERE a OR b OR c""")
+def structural_labels(spark, d):
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("nos"), F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    x = _t(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("nos", F.when(F.col("o_orderkey") % 7 != 0, F.col("nos")))
+    ints = F.array(F.lit(1), F.lit(2)).cast(x.schema["nos"].dataType)
+    got = structure.scored(x, "o_orderkey", {
+        "status": structure.compare(F.lit("O"), F.col("o_orderstatus"), "status", "text"),
+        "line_positions": structure.compare(ints, F.col("nos"), "line_positions", "list"),
+        "flags": structure.compare(F.array(F.lit("N")), F.col("flags"), "flags", "list"),
+    })
+    return got.select("o_orderkey", F.array_join("matched", ",").alias("matched"), F.array_join("different", ",").alias("different"), F.size("unknown").alias("n_unknown"), _r6("score").alias("score"))
+
+
+@_query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(lower(text)) ORDER BY doc_id) n FROM documents) WHERE n = 1")
+def group_dedupe_first(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", X.digest(F.lower("text")).alias("h"))
+    return docs.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.*")
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def event_group_exclusion(spark, d):
+    o = _t(spark, d, "orders")
+    return search.exclude_groups(o.select("o_orderkey", "o_custkey"), "o_custkey", o.where("o_totalprice > 400000"))
+
+
+@_query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 0 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 3 END AS tier,
+row_number() OVER (ORDER BY CASE WHEN quality = 1 AND toxic = 0 THEN 0 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 3 END, n_chars DESC, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id) ORDER BY place LIMIT 100""")
+def tier_sort(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", "n_chars").join(_t(spark, d, "labels"), "doc_id", "left")
+    tier = search.tier((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("quality") == 1, F.col("quality") == 0)
+    ranked = search.ranked(x.withColumn("tier", tier), [F.col("tier"), F.desc("n_chars"), F.col("doc_id")], 100)
+    return ranked.select("doc_id", "tier", F.col("rank").cast("long").alias("place"))
+
+
+@_query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) n FROM conversations),
+r AS (SELECT conv_id, turn, n, size, size <= 600 taken, CASE WHEN size <= 600 THEN size ELSE 0 END used, CASE WHEN size <= 600 THEN 1 ELSE 0 END k FROM c WHERE n = 1
+UNION ALL SELECT c.conv_id, c.turn, c.n, c.size, r.k < 3 AND r.used + c.size <= 600, r.used + CASE WHEN r.k < 3 AND r.used + c.size <= 600 THEN c.size ELSE 0 END, r.k + CASE WHEN r.k < 3 AND r.used + c.size <= 600 THEN 1 ELSE 0 END FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1)
+SELECT conv_id, turn, CAST(size AS BIGINT) AS size, taken, CAST(used AS BIGINT) AS used FROM r""")
+def budget_pack(spark, d):
+    return search.packed(_t(spark, d, "conversations"), "conv_id", ["turn"], F.char_length("text"), 3, 600)
+
+
+@_query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS pos, (SELECT count(*) > 150 FROM part) AS has_more, CASE WHEN (SELECT count(*) > 150 FROM part) THEN 150 END AS next_offset FROM part ORDER BY p_partkey LIMIT 50 OFFSET 100")
+def page_offset(spark, d):
+    return search.page(_t(spark, d, "part").select("p_partkey"), ["p_partkey"], 100, 50).withColumn("pos", F.col("pos").cast("long"))
+
+
+@_query("SELECT doc_id, substr(text, 201, 300) AS part, length(text) > 500 AS has_more FROM documents")
+def char_paging(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.char_page(F.col("text"), 200, 300).alias("part"), (F.char_length("text") > 500).alias("has_more"))
+
+
+# Trees and topics ---------------------------------------------------------------------------------------------
+
+
+@_query("SELECT n_name AS title, n_regionkey AS parent, count(c_custkey) AS n_evidence FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def topic_counts(spark, d):
+    topics = _t(spark, d, "nation").select(F.col("n_nationkey").alias("topic"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("title"))
+    return taxonomy.counts(topics, _t(spark, d, "customer").select(F.col("c_nationkey").alias("topic"))).select("title", "parent", "n_evidence")
+
+
+_NODES = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
+
+
+def _edges(spark, d) -> list[DataFrame]:
+    n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    s = _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))
+    return [n, s]
+
+
+@_query(f"WITH t AS ({_NODES}) SELECT node, parent, (SELECT count(*) FROM t c WHERE c.parent = t.node) AS n_children FROM t")
+def outline_children(spark, d):
+    roots = _t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    for e in _edges(spark, d):
+        roots = roots.unionByName(e.withColumnRenamed("child", "node"))
+    return trees.children(roots, "node", "parent")
+
+
+@_query(f"WITH RECURSIVE t AS ({_NODES}), c AS (SELECT parent AS ancestor, node AS descendant, 1 AS distance FROM t WHERE parent IS NOT NULL UNION ALL SELECT t.parent, c.descendant, c.distance + 1 FROM c JOIN t ON t.node = c.ancestor WHERE t.parent IS NOT NULL) SELECT ancestor, descendant, distance FROM c")
+def outline_closure(spark, d):
+    return trees.closure(_edges(spark, d)).select("ancestor", "descendant", "distance")
+
+
+# A small alias table for the driver's invented languages.
+ALIASES = {"en/article": ["the ", "and "], "en/verb": ["tion", "ing"], "de/article": ["der ", "die "], "de/noun": ["heit", "keit"], "fr/article": ["les ", "une "], "es/article": ["los ", "que "]}
+_HITS = " UNION ALL ".join(f"SELECT doc_id, '{t}' topic, " + " + ".join(f"CASE WHEN contains(lower(text), '{a}') THEN {len(a)} ELSE 0 END" for a in own) + " score FROM documents" for t, own in ALIASES.items())
+
+
+@_query(f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE score > 0), t AS (SELECT doc_id, string_agg(topic || ':' || score, ',' ORDER BY score DESC, topic) topics FROM h GROUP BY doc_id),
+r AS (SELECT doc_id, string_agg(root, ',' ORDER BY s DESC, root) roots FROM (SELECT doc_id, split_part(topic, '/', 1) root, sum(score) s FROM h GROUP BY 1, 2) GROUP BY doc_id)
+SELECT doc_id, coalesce(topics, '') AS topics, coalesce(roots, '') AS roots FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def classify_keywords(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", taxonomy.matches(F.col("text"), ALIASES).alias("m"))
+    return x.select("doc_id", F.array_join(F.transform("m", lambda s: F.concat_ws(":", s["topic"], s["score"])), ",").alias("topics"), F.array_join(taxonomy.roots(F.col("m")), ",").alias("roots"))
+
+
+@_query("SELECT doc_id, source, CASE WHEN contains(lower(source), 'src1') THEN 'one' WHEN contains(lower(source), 'src') THEN 'other' END AS route FROM documents")
+def archive_route(spark, d):
+    return taxonomy.routed(_t(spark, d, "documents").select("doc_id", "source"), "source", [("src", "other", 1), ("src1", "one", 2)], "route")
+
+
+# Text ---------------------------------------------------------------------------------------------------------
+
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s*_`\\\\]+', ' ', 'g'))"
+
+
+@_query(f"SELECT page_id, sha256({_PLAIN}) AS plain_sha256, length({_PLAIN}) AS n_plain FROM pages")
+def text_plain(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.digest(X.plain(F.col("html"))).alias("plain_sha256"), F.char_length(X.plain(F.col("html"))).cast("long").alias("n_plain"))
+
+
+@_query("""SELECT conv_id, turn, replace(array_to_string(regexp_extract_all(regexp_replace(lower(text), '([^\\pL\\pN_])', '\\1\\1', 'g'), '(?:^|[^\\pL\\pN_])((?:the|de|der) +(?:and|of|und|la|que))(?:$|[^\\pL\\pN_])', 1), '|'), '  ', ' ') AS phrases FROM conversations""")
+def negation_terms(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.negated(F.col("text"), ["the", "de", "der"], ["and", "of", "und", "la", "que"]), "|").alias("phrases"))
+
+
+@_query("""SELECT doc_id, i * 448 AS "start", least(i * 448 + 512, length(text)) AS "end" FROM (SELECT doc_id, text, unnest(range(greatest(CAST(ceil((length(text) - 64) / 448.0) AS BIGINT), 1))) i FROM documents)""")
+def text_windows(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", F.inline(spans.windows(F.col("text"), 512, 64)))
+    return x.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@_query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents),
+r AS (SELECT doc_id, n, 0 chunk, CASE WHEN length(line) >= 1100 THEN 0 ELSE length(line) END size, length(line) >= 1100 f FROM l WHERE n = 1
+UNION ALL SELECT l.doc_id, l.n, r.chunk + r.f::INT, CASE WHEN r.size + length(line) >= 1100 THEN 0 ELSE r.size + length(line) END, r.size + length(line) >= 1100 FROM r JOIN l ON l.doc_id = r.doc_id AND l.n = r.n + 1)
+SELECT doc_id, chunk, count(*) AS n_lines FROM r GROUP BY doc_id, chunk""")
+def chunk_by_size(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", F.explode(spans.chunks(F.split("text", "\n"), 1100)).alias("chunk"))
+    return x.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_lines"))
+
+
+@_query("SELECT doc_id, n_lines, n_blank, sha256(a) AS first_sha256 FROM (SELECT doc_id, len(string_split(text, chr(10))) n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) n_blank, split_part(text, chr(10), 1) a FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AND right(text, 1) <> chr(10))")
+def line_split(spark, d):
+    x = _t(spark, d, "documents").where(~F.col("text").rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]") & ~F.col("text").endswith("\n")).select("doc_id", X.split_lines(F.col("text")).alias("l"))
+    return x.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda v: F.trim(v) == "")).cast("long").alias("n_blank"), X.digest(F.get("l", F.lit(0))).alias("first_sha256"))
+
+
+# Spans --------------------------------------------------------------------------------------------------------
+
+_DAYS = "SELECT o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) s, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 30 e FROM orders"
+_MERGED = f"""WITH o AS ({_DAYS}), a AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM o),
+b AS (SELECT *, sum(CASE WHEN s <= r THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM a), m AS (SELECT o_custkey, min(s) s, max(e) e FROM b GROUP BY o_custkey, g) """
+
+
+def _days(spark, d) -> DataFrame:
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    return _t(spark, d, "orders").select("o_custkey", day.alias("s"), (day + 30).alias("e"))
+
+
+@_query(_MERGED + "SELECT o_custkey, s, e FROM m")
+def span_merge(spark, d):
+    return spans.merged(_days(spark, d), ["o_custkey"], "s", "e")
+
+
+@_query(_MERGED + "SELECT * FROM (SELECT o_custkey, e AS gap_start, lead(s) OVER (PARTITION BY o_custkey ORDER BY s) AS gap_end FROM m) WHERE gap_end IS NOT NULL")
+def coverage_gaps(spark, d):
+    return spans.gaps(_days(spark, d), ["o_custkey"], "s", "e")
+
+
+@_query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) s FROM events)
+SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type = 'click' AND a.s - 3600 <= b.s + 3600 AND b.s <= a.s""")
+def interval_overlap(spark, d):
+    e = _t(spark, d, "events").withColumn("s", F.unix_timestamp("ts"))
+    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a_id"), (F.col("s") - 3600).alias("a_start"), F.col("s").alias("a_end"))
+    b = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("b_id"), F.col("s").alias("b_start"), (F.col("s") + 3600).alias("b_end"))
+    return spans.overlapping(a, b, ["user_id"], 7200).select("user_id", "a_id", "b_id")
+
+
+@_query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_click FROM events")
+def carry_forward(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return spans.carried(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "click", F.col("event_id")), "last_click").select("event_id", "last_click")
+
+
+@_query("""WITH u AS (SELECT DISTINCT user_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) d FROM events), g AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) g FROM u)
+SELECT user_id, min(d) AS "start", max(d) AS "end", count(*) AS n FROM g GROUP BY user_id, g""")
+def islands(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.unix_date(F.to_date("ts")).cast("long").alias("d"))
+    return spans.islands(e, ["user_id"], "d")
+
+
+# Records ------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 AS INTEGER) AS part FROM documents")
+def hash_split(spark, d):
+    return _t(spark, d, "documents").select("doc_id", records.hash_split(F.col("doc_id"), 3).alias("part"))
+
+
+@_query("SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents) WHERE place <= 12")
+def capped_sample(spark, d):
+    return records.capped_sample(_t(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 12).withColumn("place", F.col("place").cast("long"))
+
+
+@_query(_BM25.format(w="8.0", scope="") + ", a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) rank FROM sc QUALIFY rank <= 60) SELECT CAST(rank <= 20 AS BOOLEAN) AS top, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM a LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def eval_hit_rate(spark, d):
+    top = search.ranked(_bm25(_t(spark, d, "documents"), 8.0).withColumn("score", _r6("score")), [F.desc("score"), F.col("doc_id")], 60)
+    x = F.broadcast(top).join(_t(spark, d, "labels"), "doc_id", "left")
+    return x.groupBy((F.col("rank") <= 20).alias("top")).agg(F.count("*").alias("n"), _r6(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).alias("hit_rate"))
+
+
+@_query("SELECT event_type, count(*) AS n, round(median(value), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def percentiles(spark, d):
+    p95 = F.expr("percentile_disc(0.95) within group (order by value)")
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), _r6(F.median("value")).alias("p50"), _r6(p95).alias("p95"))
+
+
+@_query("SELECT l_orderkey AS reference, count(*) AS n_targets, count(*) FILTER (WHERE coalesce(p_retailprice < 1500, false)) AS n_approved, bool_and(coalesce(p_retailprice < 1500, false)) AS ok FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def reference_resolution(spark, d):
+    refs = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("reference"), F.col("l_partkey").alias("target"))
+    targets = _t(spark, d, "part").select(F.col("p_partkey").alias("target"), (F.col("p_retailprice") < 1500).alias("approved"))
+    return trees.resolved(refs, targets, "approved")
+
+
+@_query("SELECT doc_id, coalesce(CASE WHEN quality = 0 THEN 'noise' END, CASE WHEN n_chars % 2 = 0 AND quality = 1 THEN 'eligible' END, 'pending') AS status FROM documents LEFT JOIN labels USING (doc_id)")
+def quality_gate(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", "n_chars").join(_t(spark, d, "labels"), "doc_id", "left")
+    status = records.effective(F.when(F.col("quality") == 0, "noise"), F.when(F.col("quality") == 1, "eligible"), F.col("n_chars") % 2 == 0)
+    return x.select("doc_id", status.alias("status"))
+
+
+@_query("SELECT coalesce(d.doc_id, b.item_id) AS doc_id, sha256(coalesce(b.text, d.text)) AS text_sha256, sha256(d.text) AS base_sha256, b.item_id IS NOT NULL AS reviewed FROM documents d FULL JOIN benchmark b ON d.doc_id = b.item_id")
+def overlay_latest(spark, d):
+    x = records.overlaid(_t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id", "text", "base_sha256")
+    return x.select("doc_id", X.digest(F.col("text")).alias("text_sha256"), "base_sha256", "reviewed")
+
+
+@_query("SELECT coalesce(n.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM (SELECT doc_id k, sha256(text) h FROM documents) o FULL JOIN (SELECT item_id k, sha256(text) h FROM benchmark UNION ALL SELECT doc_id + 100, sha256(text) FROM documents WHERE doc_id >= 300) n ON o.k = n.k")
+def incremental_changes(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", X.digest(F.col("text")).alias("h"))
+    old = docs.select(F.col("doc_id").alias("k"), "h")
+    new = _t(spark, d, "benchmark").select(F.col("item_id").alias("k"), X.digest(F.col("text")).alias("h")).unionByName(docs.where("doc_id >= 300").select((F.col("doc_id") + 100).alias("k"), "h"))
+    return records.changes(old, new, "k", "h")
+
+
+@_query("SELECT sha256(string_agg(sha256(n_name), '' ORDER BY n_nationkey)) AS corpus_hash FROM nation")
+def canonical_hash(spark, d):
+    return records.corpus_hash(_t(spark, d, "nation"), F.col("n_nationkey"), F.col("n_name"))
+
+
+@_query("SELECT o_orderkey, rule FROM (SELECT o_orderkey, unnest([CASE WHEN NOT coalesce(o_totalprice < 300000, false) THEN 'price' END, CASE WHEN NOT coalesce(o_orderstatus IN ('F', 'O'), false) THEN 'status' END]) rule FROM orders) WHERE rule IS NOT NULL")
+def constraint_violations(spark, d):
+    return records.violations(_t(spark, d, "orders"), "o_orderkey", {"price": F.col("o_totalprice") < 300000, "status": F.col("o_orderstatus").isin("F", "O")})
+
+
+@_query("SELECT conv_id, max(turn) + 1 - count(DISTINCT turn) AS n_missing FROM conversations GROUP BY conv_id")
+def missing_turns(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn")
+    want = c.groupBy("conv_id").agg(F.max("turn").alias("m")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("turn"))
+    return want.join(c.distinct(), ["conv_id", "turn"], "left").join(c.distinct().withColumn("_h", F.lit(1)), ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count_if(F.col("_h").isNull()).alias("n_missing"))
+
+
+# Charts -------------------------------------------------------------------------------------------------------
+
+
+def casts(spark, d) -> DataFrame:
+    """One cast for each order: base-4 digits of its key, month branch and day of its date."""
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select(
+        k.alias("chart_id"),
+        F.array(*((F.floor(k / 4**i) % 4).cast("int") for i in range(6))).alias("v"),
+        ((F.month("o_orderdate") + 1) % 12).cast("int").alias("month"),
+        ((F.unix_date(F.to_date("o_orderdate")) + 17) % 60).cast("int").alias("day"),
+    )
+
+
+_LINES = """WITH c AS (SELECT o_orderkey id, [CAST((o_orderkey // CAST(pow(4, i) AS BIGINT)) % 4 AS INT) for i in range(6)] v, (month(o_orderdate) + 1) % 12 m, (date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 17) % 60 d FROM orders),
+k AS (SELECT *, CAST(list_sum([(v[i + 1] % 2) << i for i in range(6)]) AS INT) code, CAST(list_sum([(CASE WHEN v[i + 1] IN (0, 3) THEN 1 ELSE 0 END) << i for i in range(6)]) AS INT) mask FROM c),
+p AS (SELECT b, [0, 1, 3, 7, 15, 31, 23, 16][s + 1] ms, [6, 1, 2, 3, 4, 5, 4, 3][s + 1] shi, s, substr('土木水金土火金金', b + 1, 1) pe FROM range(8) t(b), range(8) u(s)),
+h AS (SELECT CAST(xor(b | (b << 3), ms) AS INT) code, s, shi, b, strpos('木火土金水', pe) - 1 pe FROM p),
+j AS (SELECT k.*, xor(k.code, k.mask) chg, h.s stage, h.shi, (h.shi + 2) % 6 + 1 ying, h.b pb, h.pe FROM k JOIN h USING (code)),
+x AS (SELECT *, substr('未巳卯丑亥酉子寅辰午申戌寅辰午申戌子巳卯丑亥酉未辰午申戌子寅卯丑亥酉未巳丑亥酉未巳卯子寅辰午申戌', (CASE WHEN pos <= 3 THEN code & 7 ELSE code >> 3 END) * 6 + pos, 1) br,
+substr('未巳卯丑亥酉子寅辰午申戌寅辰午申戌子巳卯丑亥酉未辰午申戌子寅卯丑亥酉未巳丑亥酉未巳卯子寅辰午申戌', (CASE WHEN pos <= 3 THEN chg & 7 ELSE chg >> 3 END) * 6 + pos, 1) nb,
+substr('未巳卯丑亥酉子寅辰午申戌寅辰午申戌子巳卯丑亥酉未辰午申戌子寅卯丑亥酉未巳丑亥酉未巳卯子寅辰午申戌', pb * 6 + pos, 1) ub FROM j, range(1, 7) r(pos)),
+y AS (SELECT *, strpos('子丑寅卯辰巳午未申酉戌亥', br) - 1 bi, strpos('子丑寅卯辰巳午未申酉戌亥', nb) - 1 ni, strpos('子丑寅卯辰巳午未申酉戌亥', ub) - 1 ui FROM x),
+z AS (SELECT *, [4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4] el FROM y),
+l AS (SELECT *, v[pos] IN (0, 3) moving, ['兄弟', '子孙', '妻财', '官鬼', '父母'][(el[bi + 1] - pe + 5) % 5 + 1] rel, ['兄弟', '子孙', '妻财', '官鬼', '父母'][(el[ni + 1] - pe + 5) % 5 + 1] nrel,
+['兄弟', '子孙', '妻财', '官鬼', '父母'][(el[ui + 1] - pe + 5) % 5 + 1] urel, (d % 12 - d % 10 + 12) % 12 vs, ['青龙', '朱雀', '勾陈', '螣蛇', '白虎', '玄武'][([0, 0, 1, 1, 2, 3, 4, 4, 5, 5][d % 10 + 1] + pos - 1) % 6 + 1] spirit FROM z),
+q AS (SELECT *, bi IN ((vs + 10) % 12, (vs + 11) % 12) void, (bi - m + 12) % 12 = 6 mb, (bi - d % 12 + 12) % 12 = 6 dc, NOT list_contains(list(rel) OVER (PARTITION BY id), urel) hidden FROM l)
+"""
+
+
+@_query(_LINES + "SELECT id AS chart_id, pos AS position, br AS branch, rel AS relative, moving, nb AS new_branch, nrel AS new_relative, spirit, void, mb AS month_break, dc AS day_clash, pos = shi AS is_shi, pos = ying AS is_ying FROM q")
+def chart_derive(spark, d):
+    x = chart.lines(casts(spark, d))
+    return x.select("chart_id", F.col("position").cast("long").alias("position"), chart.branch_name(F.col("branch")).alias("branch"), "relative", "moving", chart.branch_name(F.col("new_branch")).alias("new_branch"), "new_relative", "spirit", "void", "month_break", "day_clash", "is_shi", "is_ying")
+
+
+@_query(_LINES + "SELECT id AS chart_id, pos AS position, ub AS hidden_branch, urel AS hidden_relative FROM q WHERE hidden")
+def chart_hidden(spark, d):
+    x = chart.lines(casts(spark, d)).where("hidden")
+    return x.select("chart_id", F.col("position").cast("long").alias("position"), chart.branch_name(F.col("pure_branch")).alias("hidden_branch"), F.col("pure_relative").alias("hidden_relative"))
+
+
+@_query(_LINES + "SELECT id AS chart_id, pos AS position, br || nb IN ('寅卯','巳午','申酉','亥子','丑辰','辰未','未戌','戌丑') AS advance, nb || br IN ('寅卯','巳午','申酉','亥子','丑辰','辰未','未戌','戌丑') AS retreat FROM q WHERE moving")
+def chart_transform(spark, d):
+    return chart.lines(casts(spark, d)).where("moving").select("chart_id", F.col("position").cast("long").alias("position"), "advance", "retreat")
+
+
+def _positions(flag: str, name: str) -> str:
+    return f"coalesce(string_agg(CASE WHEN {flag} THEN CAST(pos AS VARCHAR) END, ',' ORDER BY pos), '') AS {name}"
+
+
+@_query(_LINES + f"SELECT id AS chart_id, {_positions('moving', 'moving_positions')}, {_positions('void', 'void_positions')}, {_positions('mb', 'month_break_positions')}, {_positions('dc', 'day_clash_positions')}, {_positions('hidden', 'hidden_positions')}, max(CASE WHEN pos = shi THEN rel END) AS shi_relative, max(CASE WHEN pos = ying THEN rel END) AS ying_relative, bool_and(pos > 3 OR (bi - list_extract(bs, pos + 3) + 12) % 12 = 6) AS six_clash FROM (SELECT *, list(bi ORDER BY pos) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) bs FROM q) GROUP BY id")
+def chart_features(spark, d):
+    return chart.features(casts(spark, d)).drop("name", "changed_name", "shi_ying", "six_harmony")
+
+
+@_query(_LINES + """, life AS (SELECT id, pos, ((ni - [11, 2, 8, 5, 8][el[bi + 1] + 1]) + 12) % 12 st FROM q WHERE moving),
+act AS (SELECT id, pos p, br FROM q WHERE moving UNION ALL SELECT DISTINCT id, 7, substr('子丑寅卯辰巳午未申酉戌亥', m + 1, 1) FROM q UNION ALL SELECT DISTINCT id, 8, substr('子丑寅卯辰巳午未申酉戌亥', d % 12 + 1, 1) FROM q),
+e AS (SELECT q.id, p || '-' || pos who, act.br || q.br pr FROM act JOIN q ON q.id = act.id AND pos <> p),
+f AS (SELECT id, 'transform_' || ['长生','沐浴','冠带','临官','帝旺','衰','病','死','墓','绝','胎','养'][st + 1] pt, CAST(pos AS VARCHAR) who FROM life WHERE st IN (0, 6, 7, 8, 9)
+UNION ALL SELECT id, 'harm', who FROM e WHERE pr IN ('子未','丑午','寅巳','卯辰','申亥','酉戌','未子','午丑','巳寅','辰卯','亥申','戌酉')
+UNION ALL SELECT id, 'zi_mao_punishment', who FROM e WHERE pr IN ('子卯','卯子')
+UNION ALL SELECT id, 'self_punishment_branch', CAST(pos AS VARCHAR) FROM q WHERE br IN ('辰','午','酉','亥')
+UNION ALL SELECT id, 'line_fanyin', CAST(pos AS VARCHAR) FROM q WHERE moving AND (bi - ni + 12) % 12 = 6
+UNION ALL SELECT id, 'line_fuyin', CAST(pos AS VARCHAR) FROM q WHERE moving AND bi = ni
+UNION ALL SELECT id, 'combination_08', CAST(pos AS VARCHAR) FROM q WHERE pos = shi AND spirit = '玄武'
+UNION ALL SELECT id, 'combination_06', CAST(pos AS VARCHAR) FROM q WHERE rel = '子孙' AND spirit = '螣蛇')
+SELECT pt AS pattern_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT who) AS places FROM f GROUP BY pt""")
+def chart_patterns(spark, d):
+    kinds = ["harm", "zi_mao_punishment", "self_punishment_branch", "line_fanyin", "line_fuyin", "combination_08", "combination_06"]
+    f = chart.patterns(casts(spark, d)).where(F.col("pattern_id").isin(kinds) | F.col("pattern_id").startswith("transform_"))
+    return f.groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("chart_id").alias("ids"), F.countDistinct("participants").alias("places"))
+
+
+@_query(_LINES.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, mv AS (SELECT id, pos, bi, ni FROM q WHERE moving), w AS (SELECT id, CAST(pos AS VARCHAR) path, [pos] seen, ni, 1 n FROM mv
+UNION ALL SELECT w.id, w.path || '>' || mv.pos, list_append(w.seen, mv.pos), mv.ni, n + 1 FROM w JOIN mv ON mv.id = w.id AND mv.bi = w.ni AND NOT list_contains(w.seen, mv.pos)) SELECT id AS chart_id, path FROM w WHERE n > 1""")
+def chart_chain(spark, d):
+    return chart.chains(casts(spark, d))
+
+
+@_query(_LINES + """, g AS (SELECT id, count(*) FILTER (WHERE moving) nm, bool_or(hidden) hid, any_value(stage) stage, any_value(chg) chg FROM q GROUP BY id),
+r AS (SELECT id, 'key_images' ck FROM g UNION ALL SELECT q.id, 'single_moving:primary:' || pos FROM q JOIN g ON g.id = q.id WHERE moving AND nm = 1
+UNION ALL SELECT id, 'moving_relationships' FROM g WHERE nm > 1 OR (nm > 0 AND hid) UNION ALL SELECT id, 'static_day_clash:primary:' || pos FROM q WHERE NOT moving AND dc
+UNION ALL SELECT id, 'palace_stage:primary' FROM g WHERE stage >= 6 UNION ALL SELECT g.id, 'palace_stage:changed' FROM g JOIN h ON h.code = g.chg WHERE nm > 0 AND h.s >= 6
+UNION ALL SELECT id, 'tomb_candidate:primary:' || pos FROM q WHERE pos IN (shi, ying) AND (m = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR d % 12 = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR (moving AND ni = [7, 10, 4, 1, 4][el[bi + 1] + 1]) OR EXISTS (SELECT 1 FROM q o WHERE o.id = q.id AND o.moving AND o.bi = [7, 10, 4, 1, 4][q.el[q.bi + 1] + 1])))
+SELECT id AS chart_id, ck AS check_id FROM r""")
+def chart_review(spark, d):
+    return chart.review(casts(spark, d))
