@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,12 +52,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     Cuts the lineage, so that a lost executor costs the tasks it ran and not what came before, and fixes what
-    a later retry reads. The files stay until the shared folder is emptied.
+    a later retry reads. The files stay until the shared folder is emptied. Shuffle files of what came before are of
+    no more use; Spark removes them when the driver collects its garbage, so this asks for that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

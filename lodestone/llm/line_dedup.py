@@ -60,55 +60,77 @@ def _prefix(size: Column, percent: int) -> Column:
     return (size - F.ceil(size * percent / 100) + 1).cast("int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs (x earlier, y later) that are similar by their tokens."""
+class _Ids:
+    """Lines as one number in the order of (doc_id, line_no) where ids and texts are small enough, else as that pair."""
+
+    def __init__(self, docs: DataFrame):
+        x = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.octet_length("text")).alias("bytes")).first()
+        self.packed = x.least is not None and x.least >= 0 and x.most < 1 << 42 and (x.bytes or 0) < 1 << 21
+
+    def of(self, doc_id: Column, no: Column) -> Column:
+        return (doc_id.cast("long") * F.lit(1 << 21) + no) if self.packed else F.struct(doc_id.alias("doc_id"), no.alias("line_no"))
+
+    def doc(self, i: Column) -> Column:
+        return F.shiftright(i, 21) if self.packed else i["doc_id"]
+
+    def no(self, i: Column) -> Column:
+        return i.bitwiseAND(F.lit((1 << 21) - 1)).cast("int") if self.packed else i["line_no"]
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, ids: _Ids, percent: int) -> DataFrame:
+    """The later lines of those pairs (x earlier, y later) that are similar by their tokens."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = ends.groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.collect_set("id.line_no").alias("nos"))
+    wanted = ends.groupBy(ids.doc(F.col("id")).alias("doc_id")).agg(F.collect_set(ids.no(F.col("id"))).alias("nos"))
     own = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
-    own = own.where(F.col("no") < F.size("lines")).select(F.struct("doc_id", F.col("no").alias("line_no")).alias("id"), F.array_distinct(_tokens(F.get("lines", F.col("no")))).alias("t"))
+    own = own.where(F.col("no") < F.size("lines")).select(ids.of(F.col("doc_id"), F.col("no")).alias("id"), F.array_distinct(_tokens(F.get("lines", F.col("no")))).alias("t"))
+    own = keep(own, "candidates")
     x, y = own.toDF("x", "tx"), own.toDF("y", "ty")
     both = F.size(F.array_intersect("tx", "ty"))
-    return pairs.join(x, "x").join(y, "y").where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("y").distinct()
+    return pairs.join(x, "x").join(y, "y").where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select(F.col("y").alias("id")).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line_no of every line that a line before it resembles."""
+    ids = _Ids(docs)
     ranks = F.from_json(F.lit(json.dumps(_ranks(docs))), "array<long>")
     packed = F.transform(F.transform(_tokens(F.col("line")), _hash), lambda h: F.shiftleft(F.get(ranks, (h % BUCKETS).cast("int")), _BITS).bitwiseOR(h))
-    sets = lines(docs).select(F.struct("doc_id", "line_no").alias("id"), F.sort_array(F.array_distinct(packed)).alias("set"))
+    sets = lines(docs).select(ids.of(F.col("doc_id"), F.col("line_no")).alias("id"), F.sort_array(F.array_distinct(packed)).alias("set"))
     sets = sets.withColumn("size", F.size("set")).withColumn("parity", F.aggregate("set", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))))
     sets = sets.select("id", "size", "parity", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), _prefix(F.col("size"), percent)).alias("prefix"))
     sets = keep(sets, "lines")
 
-    firsts = keep(sets.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts")
-    later = sets.join(firsts.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"]).where("id != first").select("id")
+    firsts = keep(sets.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    later = keep(sets.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).where("id != first").select("id"), "copies")
 
     # Rows of one token, of lines that differ from each other. Sets of up to three tokens resemble only their equals.
     alone = sets.where(F.col("size") >= 4) if percent >= 75 else sets
-    rows = alone.join(later, "id", "left_anti").select("id", "size", "parity", F.posexplode("prefix").alias("pos", "token"))
+    rows = alone.select("id", "size", "parity", "prefix").join(later, "id", "left_anti").select("id", "parity", "size", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "id", "parity", (F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("at"))
     w = Window.partitionBy("token").orderBy("id")
-    own = F.struct("id", "size", "parity", "pos")
-    rows = rows.withColumn("lead", F.first(own).over(w)).withColumn("before", F.array(*(F.lag(own, i).over(w) for i in (1, 2, 3)))).withColumn("next", F.lead("id").over(w))
+    own = F.struct("id", "parity", "at")
+    rows = rows.select("token", *("id", "parity", "at"), F.first(own).over(w).alias("lead"), F.array(*(F.lag(own, i).over(w) for i in (1, 2, 3))).alias("before"), F.lead("id").over(w).alias("next"))
     shared = keep(rows.where("next is not null or before[0] is not null").drop("next"), "shared")
 
     def may(x: str, y: str) -> Column:
         """Sizes, positions and parities allow the similarity."""
-        sx, sy = F.col(f"{x}.size"), F.col(f"{y}.size")
+        sx, sy = (F.shiftright(F.col(f"{c}.at"), 32) for c in (x, y))
+        px, py = (F.col(f"{c}.at").bitwiseAND(F.lit((1 << 32) - 1)) for c in (x, y))
         total = sx + sy
         need = F.ceil(percent * total / F.lit(100 + percent))
-        rest = 1 + F.least(F.col(f"{x}.pos"), F.col(f"{y}.pos")) + F.least(sx - F.col(f"{x}.pos") - 1, sy - F.col(f"{y}.pos") - 1)
+        rest = 1 + F.least(px, py) + F.least(sx - px - 1, sy - py - 1)
         differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
         return (percent * sx <= 100 * sy) & (percent * sy <= 100 * sx) & (rest >= need) & (differ <= total - 2 * need)
 
     near = shared.select(own.alias("b"), F.explode(F.array_distinct(F.array_append("before", F.col("lead")))).alias("a")).where("a.id < b.id")
     near = keep(near.where(may("a", "b")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "pairs")
-    gone = keep(_verified(near, docs, percent).withColumnRenamed("y", "id"), "gone")
+    gone = keep(_verified(near, docs, ids, percent), "gone")
 
+    # Only rows with a line before them that they haven't met: past the fourth of their token.
     open_ = shared.join(gone, "id", "left_anti").where("before[2] is not null").select("token", own.alias("b"))
     pairs = shared.select("token", own.alias("a")).join(open_, "token").where((F.col("a.id") < F.col("b.id")) & may("a", "b"))
     pairs = keep(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(near, ["x", "y"], "left_anti"), "pairs")
-    found = gone if pairs.isEmpty() else gone.union(_verified(pairs, docs, percent).withColumnRenamed("y", "id"))
-    return later.union(found).select("id.doc_id", "id.line_no")
+    found = gone if pairs.isEmpty() else gone.union(keep(_verified(pairs, docs, ids, percent), "gone"))
+    return later.union(found).select(ids.doc(F.col("id")).alias("doc_id"), ids.no(F.col("id")).alias("line_no"))
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = 80, out: str | None = None) -> DataFrame:
