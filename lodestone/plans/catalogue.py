@@ -381,7 +381,7 @@ def casts(spark, d) -> DataFrame:
 
 _LINES = """WITH c AS (SELECT o_orderkey id, [CAST((o_orderkey // CAST(pow(4, i) AS BIGINT)) % 4 AS INT) for i in range(6)] v, (month(o_orderdate) + 1) % 12 m, (date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 17) % 60 d FROM orders),
 k AS (SELECT *, CAST(list_sum([(v[i + 1] % 2) << i for i in range(6)]) AS INT) code, CAST(list_sum([(CASE WHEN v[i + 1] IN (0, 3) THEN 1 ELSE 0 END) << i for i in range(6)]) AS INT) mask FROM c),
-p AS (SELECT b, [0, 1, 3, 7, 15, 31, 23, 16][s + 1] ms, [6, 1, 2, 3, 4, 5, 4, 3][s + 1] shi, s, substr('土木水金土火金金', b + 1, 1) pe FROM range(8) t(b), range(8) u(s)),
+p AS (SELECT b, [0, 1, 3, 7, 15, 31, 23, 16][s + 1] ms, [6, 1, 2, 3, 4, 5, 4, 3][s + 1] shi, s, substr('土木水金土火木金', b + 1, 1) pe FROM range(8) t(b), range(8) u(s)),
 h AS (SELECT CAST(xor(b | (b << 3), ms) AS INT) code, s, shi, b, strpos('木火土金水', pe) - 1 pe FROM p),
 j AS (SELECT k.*, xor(k.code, k.mask) chg, h.s stage, h.shi, (h.shi + 2) % 6 + 1 ying, h.b pb, h.pe FROM k JOIN h USING (code)),
 x AS (SELECT *, substr('未巳卯丑亥酉子寅辰午申戌寅辰午申戌子巳卯丑亥酉未辰午申戌子寅卯丑亥酉未巳丑亥酉未巳卯子寅辰午申戌', (CASE WHEN pos <= 3 THEN code & 7 ELSE code >> 3 END) * 6 + pos, 1) br,
