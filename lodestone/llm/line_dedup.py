@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, release
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 #: Hash bits below the rank of a token's bucket.
-_BITS = 48
+_BITS = 45
 
 
 def _tokens(line: Column) -> Column:
@@ -49,11 +50,22 @@ def _ranks(docs: DataFrame) -> list[int]:
     """The place of each bucket of token hashes in the order of its count, the rarest first."""
     words = docs.where(F.col("doc_id").isNotNull()).select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\n\\x0B\\x0C]+")).alias("w"))
     counts = words.groupBy((_hash(F.col("w")) % BUCKETS).cast("int").alias("b")).count()
-    found = {r.b: r["count"] for r in counts.toLocalIterator()}  # BUCKETS rows at most
-    out = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (found.get(b, 0), b))):
-        out[b] = rank
-    return out
+    found = counts.toPandas()  # BUCKETS rows at most
+    n = np.zeros(BUCKETS, np.int64)
+    n[found["b"].to_numpy()] = found["count"].to_numpy()
+    out = np.empty(BUCKETS, np.int64)
+    out[np.argsort(n, kind="stable")] = np.arange(BUCKETS)
+    return out.tolist()
+
+
+def _parity(hashes: Column) -> Column:
+    """A bit for each value of a hash's last six bits: do an odd number of hashes have it?"""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _quarter(q: int):
+    """Hashes by the two bits above."""
+    return lambda h: h.bitwiseAND(F.lit(192)) == 64 * q
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -83,8 +95,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: _Ids, percent: int) -> Dat
     wanted = ends.groupBy(ids.doc(F.col("id")).alias("doc_id")).agg(F.collect_set(ids.no(F.col("id"))).alias("nos"))
     own = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
     own = own.where(F.col("no") < F.size("lines")).select(ids.of(F.col("doc_id"), F.col("no")).alias("id"), F.array_distinct(_tokens(F.get("lines", F.col("no")))).alias("t"))
-    own = keep(own, "candidates")
-    x, y = own.toDF("x", "tx"), own.toDF("y", "ty")
+    # 256 parity bits of the tokens: most pairs end before their tokens are joined to them.
+    bits = F.array(*(_parity(F.filter(F.transform("t", lambda x: F.xxhash64(x)), _quarter(q))) for q in range(4)))
+    own = keep(own.withColumn("n", F.size("t")).withColumn("bits", bits), "candidates")
+    left, right = own.select("id", "n", "bits").toDF("x", "nx", "bx"), own.select("id", "n", "bits").toDF("y", "ny", "by")
+    total = F.col("nx") + F.col("ny")
+    differ = sum((F.bit_count(F.get("bx", F.lit(i)).bitwiseXOR(F.get("by", F.lit(i)))) for i in range(1, 4)), F.bit_count(F.get("bx", F.lit(0)).bitwiseXOR(F.get("by", F.lit(0)))))
+    pairs = pairs.join(left, "x").join(right, "y").where(differ <= total - 2 * F.ceil(percent * total / F.lit(100 + percent))).select("x", "y")
+    pairs = keep(pairs, "pairs")
+    x, y = own.select("id", "t").toDF("x", "tx"), own.select("id", "t").toDF("y", "ty")
     both = F.size(F.array_intersect("tx", "ty"))
     return pairs.join(x, "x").join(y, "y").where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select(F.col("y").alias("id")).distinct()
 
@@ -95,7 +114,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     ranks = F.from_json(F.lit(json.dumps(_ranks(docs))), "array<long>")
     packed = F.transform(F.transform(_tokens(F.col("line")), _hash), lambda h: F.shiftleft(F.get(ranks, (h % BUCKETS).cast("int")), _BITS).bitwiseOR(h))
     sets = lines(docs).select(ids.of(F.col("doc_id"), F.col("line_no")).alias("id"), F.sort_array(F.array_distinct(packed)).alias("set"))
-    sets = sets.withColumn("size", F.size("set")).withColumn("parity", F.aggregate("set", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))))
+    sets = sets.withColumn("size", F.size("set")).withColumn("parity", _parity(F.col("set")))
     sets = sets.select("id", "size", "parity", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), _prefix(F.col("size"), percent)).alias("prefix"))
     sets = keep(sets, "lines")
 
@@ -106,29 +125,32 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     alone = sets.where(F.col("size") >= 4) if percent >= 75 else sets
     rows = alone.select("id", "size", "parity", "prefix").join(later, "id", "left_anti").select("id", "parity", "size", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", "id", "parity", (F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("at"))
-    w = Window.partitionBy("token").orderBy("id")
-    own = F.struct("id", "parity", "at")
-    rows = rows.select("token", *("id", "parity", "at"), F.first(own).over(w).alias("lead"), F.array(*(F.lag(own, i).over(w) for i in (1, 2, 3))).alias("before"), F.lead("id").over(w).alias("next"))
-    shared = keep(rows.where("next is not null or before[0] is not null").drop("next"), "shared")
-
-    def may(x: str, y: str) -> Column:
+    def may(x: Column, y: Column) -> Column:
         """Sizes, positions and parities allow the similarity."""
-        sx, sy = (F.shiftright(F.col(f"{c}.at"), 32) for c in (x, y))
-        px, py = (F.col(f"{c}.at").bitwiseAND(F.lit((1 << 32) - 1)) for c in (x, y))
+        sx, sy = (F.shiftright(c["at"], 32) for c in (x, y))
+        px, py = (c["at"].bitwiseAND(F.lit((1 << 32) - 1)) for c in (x, y))
         total = sx + sy
         need = F.ceil(percent * total / F.lit(100 + percent))
         rest = 1 + F.least(px, py) + F.least(sx - px - 1, sy - py - 1)
-        differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+        differ = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
         return (percent * sx <= 100 * sy) & (percent * sy <= 100 * sx) & (rest >= need) & (differ <= total - 2 * need)
 
-    near = shared.select(own.alias("b"), F.explode(F.array_distinct(F.array_append("before", F.col("lead")))).alias("a")).where("a.id < b.id")
-    near = keep(near.where(may("a", "b")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "pairs")
+    w = Window.partitionBy("token").orderBy("id")
+    own = F.struct("id", "parity", "at")
+    met = F.array(F.first(own).over(w), *(F.lag(own, i).over(w) for i in (1, 2, 3)))
+    rows = rows.select("token", "id", "parity", "at", met.alias("met"), F.lead("id").over(w).alias("next")).where("next is not null or met[1] is not null")
+    near = F.filter("met", lambda a: a.isNotNull() & (a["id"] < F.col("id")) & may(a, own))
+    shared = keep(rows.select("token", "id", "parity", "at", F.transform(near, lambda a: a["id"]).alias("near"), F.col("met")[3].isNotNull().alias("more")), "shared")
+    release(sets)
+
+    near = keep(shared.select(F.explode("near").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
     gone = keep(_verified(near, docs, ids, percent), "gone")
 
     # Only rows with a line before them that they haven't met: past the fourth of their token.
-    open_ = shared.join(gone, "id", "left_anti").where("before[2] is not null").select("token", own.alias("b"))
-    pairs = shared.select("token", own.alias("a")).join(open_, "token").where((F.col("a.id") < F.col("b.id")) & may("a", "b"))
+    open_ = shared.where("more").join(gone, "id", "left_anti").select("token", own.alias("b"))
+    pairs = shared.select("token", own.alias("a")).join(open_, "token").where((F.col("a.id") < F.col("b.id")) & may(F.col("a"), F.col("b")))
     pairs = keep(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(near, ["x", "y"], "left_anti"), "pairs")
+    release(shared)
     found = gone if pairs.isEmpty() else gone.union(keep(_verified(pairs, docs, ids, percent), "gone"))
     return later.union(found).select(ids.doc(F.col("id")).alias("doc_id"), ids.no(F.col("id")).alias("line_no"))
 
