@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -60,8 +61,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0.0):  # what the first round finds unreachable may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     out = spark.read.schema(schema).parquet(path)
     out.kept_at = path
     return out
