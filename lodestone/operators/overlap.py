@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIZE, STEP = 32, 8
+SIZE, STEP, BLOCK = 32, 8, 256
 
 
 def windows(text: Column, size: int, step: int) -> Column:
@@ -21,7 +21,10 @@ def overlaps(queries: DataFrame, corpus: DataFrame, size: int = SIZE, step: int
     piece, and the pieces themselves are compared, so no document is searched once for each query.
     """
     own = queries.select("q_id", "q", F.inline(windows(F.col("q"), size, step))).withColumn("h", F.xxhash64("piece")).withColumnRenamed("piece", "qp")
-    docs = corpus.select("d_id", F.inline(windows(F.col("d"), size, 1))).withColumn("h", F.xxhash64("piece")).withColumnRenamed("at", "dat")
+    # Blocks first: a place in a text is found by counting its characters, which is cheap in short texts only.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("d") / BLOCK).cast("int")), lambda i: F.struct((i * BLOCK).alias("base"), F.substring("d", i * BLOCK + 1, F.lit(BLOCK + size - 1)).alias("block")))
+    docs = corpus.select("d_id", F.inline(blocks)).select("d_id", "base", F.inline(windows(F.col("block"), size, 1)))
+    docs = docs.select("d_id", (F.col("base") + F.col("at")).alias("dat"), "piece", F.xxhash64("piece").alias("h"))
     hit = docs.join(own, "h").where("piece = qp").groupBy("q_id", "d_id", "at").agg(F.min("dat").alias("dat"))
     text = hit.join(queries, "q_id").join(corpus, "d_id")
     # The common run from a hit on: characters are compared until they differ.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chart, index, records, search, spans, structure, taxonomy, trees, vectors
+from ..operators import chart, extract, graph, index, overlap, records, search, spans, structure, taxonomy, trees, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -453,3 +453,80 @@ UNION ALL SELECT id, 'tomb_candidate:primary:' || pos FROM q WHERE pos IN (shi,
 SELECT id AS chart_id, ck AS check_id FROM r""")
 def chart_review(spark, d):
     return chart.review(casts(spark, d))
+
+
+# Extraction, entities, accounting -----------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, sha256(array_to_string([substr(string_split(text, chr(10))[1], 6), string_split(text, chr(10))[2][1:10]], chr(10))) AS span_sha256 FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+def span_resolve(spark, d):
+    x = _t(spark, d, "documents").where(F.size(F.split("text", "\n")) >= 2)
+    return x.select("doc_id", X.digest(extract.resolved(F.col("text"), F.lit(1), F.lit(2), F.lit(5), F.lit(10))).alias("span_sha256"))
+
+
+@_query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents)
+SELECT doc_id, n AS line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM l""")
+def line_offsets(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", F.posexplode(extract.offsets(F.split("text", "\n"))).alias("i", "o"))
+    return x.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("o").cast("long").alias("offset"))
+
+
+@_query("SELECT doc_id, sha256(CASE WHEN substr(t, 1, 1) = 'A' THEN 'alpha' || substr(t, 2) ELSE t END) AS edited_sha256 FROM (SELECT doc_id, CASE WHEN substr(text, 6, 1) = 'e' THEN substr(text, 1, 5) || '<e>' || substr(text, 7) ELSE text END t FROM documents)")
+def edit_overlay(spark, d):
+    edits = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(old).alias("old"), F.lit(new).alias("new")) for at, old, new in ((0, "A", "alpha"), (5, "e", "<e>"), (2, "no such", "x"))))
+    return _t(spark, d, "documents").select("doc_id", X.digest(extract.edited(F.col("text"), edits)).alias("edited_sha256"))
+
+
+@_query("SELECT CAST(k AS INTEGER) AS k, CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS value FROM (SELECT DISTINCT o_orderkey % 4 k FROM orders)")
+def symbol_decode(spark, d):
+    k = (F.col("o_orderkey") % 4).cast("int").alias("k")
+    signs = F.array(F.lit("子 × ○"), F.lit("丑 ━━━"), F.lit("寅 - -"), F.lit("卯 ○"))
+    return _t(spark, d, "orders").select(k).distinct().select("k", extract.symbol(F.get(signs, F.col("k"))).alias("value"))
+
+
+@_query("""WITH e AS (SELECT a.o_orderkey a, b.o_orderkey b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < 20000),
+r AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice, o_orderkey) p FROM orders),
+g AS (SELECT *, sum(CASE WHEN o_totalprice - p < 20000 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice, o_orderkey ROWS UNBOUNDED PRECEDING) i FROM r)
+SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority, i) AS "group" FROM g""")
+def duplicate_groups(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    near = F.abs(F.col("x.o_totalprice") - F.col("y.o_totalprice")) < 20000
+    return graph.grouped(o, "o_orderkey", graph.blocked_pairs(o, "o_orderkey", ["o_custkey", "o_orderpriority"], near))
+
+
+@_query("""WITH w AS (SELECT item_id, i * 8 AS pos, substr(text, CAST(i * 8 + 1 AS BIGINT), 32) piece FROM (SELECT item_id, text, unnest(range(CAST((length(text) - 32) // 8 + 1 AS BIGINT))) i FROM benchmark WHERE length(text) >= 32))
+SELECT item_id AS q_id, doc_id AS d_id, count(DISTINCT pos) AS n_windows FROM w JOIN documents ON contains(text, piece) GROUP BY 1, 2""")
+def shingle_overlap(spark, d):
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("d_id"), F.col("text").alias("d"))
+    return overlap.overlaps(q, docs).select("q_id", "d_id", "n_windows")
+
+
+@_query("SELECT lang, source, count(*) AS total, count(quality) AS reviewed, min(CASE WHEN quality IS NULL THEN doc_id END) AS next_pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source")
+def review_progress(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", "lang", "source").join(_t(spark, d, "labels"), "doc_id", "left")
+    return x.groupBy("lang", "source").agg(F.count("*").alias("total"), F.count("quality").alias("reviewed"), F.min(F.when(F.col("quality").isNull(), F.col("doc_id"))).alias("next_pending"))
+
+
+@_query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM benchmark) AS benchmark")
+def release_manifest(spark, d):
+    names = ["documents", "labels", "pages", "benchmark"]
+    counts = [_t(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    rows = counts[0]
+    for c in counts[1:]:
+        rows = rows.unionByName(c)
+    return rows.groupBy().agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names))
+
+
+@_query("SELECT doc_id, CASE WHEN quality = 0 THEN 'compare_only' WHEN quality IS NULL THEN 'database_only' ELSE 'routed' END AS bucket FROM documents LEFT JOIN labels USING (doc_id)")
+def bucket_routing(spark, d):
+    x = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
+    return x.select("doc_id", F.when(F.col("quality") == 0, "compare_only").when(F.col("quality").isNull(), "database_only").otherwise("routed").alias("bucket"))
+
+
+@_query("SELECT conv_id, turn, greatest(turn - 2, (SELECT min(turn) FROM conversations i WHERE i.conv_id = c.conv_id)) AS \"from\", least(turn + 2, (SELECT max(turn) FROM conversations i WHERE i.conv_id = c.conv_id)) AS \"to\" FROM conversations c")
+def context_expansion(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("conv_id")
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.col("turn") - 2, F.min("turn").over(w)).alias("from"), F.least(F.col("turn") + 2, F.max("turn").over(w)).alias("to"))
