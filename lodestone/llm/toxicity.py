@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, slices, words
 
-#: Labelled rows that are learnt from; least z and least log-odds ratio of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
+#: Labelled rows that are learnt from; least z and least log-odds ratio (and log ratio of shares) of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
 BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 1 / 30, 0.15
 #: A text's marks: its words and these numbers of first letters.
 PREFIXES = (5, 4)
@@ -161,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
     a, b = F.col("y1") + prior * share, F.col("y0") + prior * share
     delta = F.log(a / (n[1] + prior - a)) - F.log(b / (n[0] + prior - b))
     z = delta / F.sqrt(1 / a + 1 / b)
+    # Where most texts hold a mark, odds rise without bound and shares don't: both must stand out.
+    ratio = F.log(a / (n[1] + prior)) - F.log(b / (n[0] + prior))
     # Each entry stands in several of the bounded texts, so the lexicon is bounded too.
-    kept = counts.where(F.col("y1") >= 4).select("mark", F.least(delta, F.lit(9.0)).alias("score")).where((z >= Z) & (delta >= ODDS)).toPandas()
+    kept = counts.where(F.col("y1") >= 4).select("mark", F.least(delta, F.lit(9.0)).alias("score")).where((z >= Z) & (delta >= ODDS) & (ratio >= ODDS)).toPandas()
     lexicon = Lexicon(dict(zip(kept.mark, kept.score.astype(float))))
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -181,6 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
     rest = sample.where(~counting).select("_id", "y", lined("text").alias("l")).orderBy("_id").toPandas()
     if rest.y.nunique() < 2:
         return lexicon
+    # The background must lose: the drift is at least twice what lexicon words gain for each other word of clean texts.
+    hits, others = (sum(f(x) for x, v in zip(rest.l, rest.y) if not v) for f in (lambda x: float(np.sum(x["hits"])), lambda x: x["n"] - len(x["at"])))
+    lexicon.drift = max(lexicon.drift, 2 * hits / max(1, others))
     rows = []
     for x in rest.l:
         s = np.full(x["n"], -lexicon.drift)
