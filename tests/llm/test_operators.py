@@ -264,6 +264,20 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_host_repeats(spark):
+    """Menus and short notices go, also in part; what stands on a few pages or on mirrors of one page stays."""
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(12))
+    menu = "<div>Home</div><div>About us</div><div>Contact</div><div>Site map and help</div><div>We value you</div>"
+    pages = [(i, f"http://h.com/{i}", f"{menu}<div>{words(i)}</div><div>Read all the news of the day here by {words(100 + i).split()[0]} only</div>") for i in range(8)]
+    pages += [(8, "http://h.com/8?print", f"{menu}<div>{words(0)}</div><p>printed</p>"), (9, "http://h.com/9", pages[1][2]), (10, "http://h.com/10", pages[1][2])]
+    pages += [(20 + i, f"http://two.com/{i}", f"<p>{words(50)}</p>") for i in range(5)]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"{words(i)}\nw{100 + i}x0 only"
+    assert got[8] == f"{words(0)}\nprinted" and got[9] == got[10] == got[1]
+    assert {got[20 + i] for i in range(5)} == {words(50)}
+
+
 def test_segments_are_maximal():
     """Against the definition: repeatedly take the best run and go on left and right of it."""
     rng = np.random.default_rng(0)
