@@ -264,6 +264,20 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_drops_by_whole_names_only():
+    def main(page):
+        return [text for part, text in html_text.blocks(page) if part == "main"]
+
+    for around in ("class='content no-sidebar'", "class=has-sidebar", "class='sidebar'", "id=nav", "title='a hidden place'", "data-id=comments", "data-role='menu'", "class=ad-hoc"):
+        assert main(f"<div {around}><article><p>kept</p></article></div>") == ["kept"], around
+    for own in ("<h1 class='post-header'>", "<h1 class='page-header'>", "<p class='share-price'>", "<div id='related-work'>", "<p title='a hidden place'>", "<p data-id='ad'>", "<p data-hidden='x'>"):
+        assert main(f"<article>{own}kept</article>") == ["kept"], own
+    for own in ("<div class='x ad'>", "<div id=comments>", "<p hidden>", "<p hidden=''>", "<div style='color:red; display: none'>", "<div aria-hidden=true>", "<div role=navigation>", "<div class=ad-slot>", "<ul class='share-buttons'>", "<div class='cookie_banner'>"):
+        assert main(f"<article>kept{own}gone</article>") == ["kept"], own
+    assert main("<article>kept</article><div class=comments><article>gone</article></div>") == ["kept"]
+    assert main("<article><p class=ad>gone<p>kept</article>") == ["kept"]
+
+
 def test_html_host_repeats(spark):
     """Menus and short notices go, also in part; what stands on a few pages or on mirrors of one page stays."""
     words = lambda n: " ".join(f"w{n}x{i}" for i in range(12))
