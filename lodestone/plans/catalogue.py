@@ -436,9 +436,66 @@ SELECT pt AS pattern_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(DI
 def chart_patterns(spark, d):
     kinds = ["harm", "zi_mao_punishment", "self_punishment_branch", "line_fanyin", "line_fuyin", "combination_08", "combination_06"]
     f = chart.patterns(casts(spark, d)).where(F.col("pattern_id").isin(kinds) | F.col("pattern_id").startswith("transform_"))
+    # This query's SQL counts edges towards other lines, and lines one by one; chart_pattern_facts has all facts whole.
+    f = f.where(~F.col("pattern_id").isin("harm", "zi_mao_punishment") | ~F.contains("participants", F.lit("c")))
+    f = f.withColumn("participants", F.explode(F.when(F.col("pattern_id") == "combination_06", F.split("participants", "-")).otherwise(F.array("participants"))))
     return f.groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("chart_id").alias("ids"), F.countDistinct("participants").alias("places"))
 
 
+_FACTS = _LINES.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, mv AS (SELECT * FROM q WHERE moving), lin AS (SELECT id, pos r, bi b FROM q), cal AS (SELECT DISTINCT id, 7 r, m b FROM q UNION ALL SELECT DISTINCT id, 8, d % 12 FROM q),
+ac AS (SELECT id, pos r, bi b FROM mv UNION ALL SELECT * FROM cal), act AS (SELECT * FROM ac UNION ALL SELECT id, pos + 10, ni FROM mv), cur AS (SELECT * FROM lin UNION ALL SELECT * FROM cal),
+e0 AS (SELECT ac.id, ac.r a, lin.r b, ac.b x, lin.b y FROM ac JOIN lin ON lin.id = ac.id AND lin.r <> ac.r UNION ALL SELECT id, pos + 10, pos, ni, bi FROM mv),
+e AS (SELECT id, [a, b] refs, substr('子丑寅卯辰巳午未申酉戌亥', x + 1, 1) || substr('子丑寅卯辰巳午未申酉戌亥', y + 1, 1) pr, ([4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4][y + 1] - [4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4][x + 1] + 5) % 5 st FROM e0),
+w AS (SELECT id, [pos] seen, ni, 1 n FROM mv UNION ALL SELECT w.id, list_append(w.seen, mv.pos), mv.ni, n + 1 FROM w JOIN mv ON mv.id = w.id AND mv.bi = w.ni AND NOT list_contains(w.seen, mv.pos)),
+tri(t1, t2, t3) AS (VALUES (8, 0, 4), (5, 9, 1), (2, 6, 10), (11, 3, 7)), pun(t1, t2, t3, s) AS (VALUES (2, 5, 8, '2'), (1, 7, 10, '3')),
+sy AS (SELECT s.*, y.pos yp, y.bi yb, y.br ybr, y.spirit ys FROM q s JOIN q y ON y.id = s.id AND y.pos = y.ying WHERE s.pos = s.shi),
+hs AS (SELECT id, pos > 3 up, list(pos ORDER BY pos) refs, bool_and((bi - ni + 12) % 12 = 6) cl, bool_and(bi = ni) sa, count(*) = 3 AND bool_and(br || nb IN ('子未','丑午','寅巳','卯辰','申亥','酉戌','未子','午丑','巳寅','辰卯','亥申','戌酉')) ha FROM mv GROUP BY id, pos > 3),
+g AS (SELECT DISTINCT id, code & 7 lo, code >> 3 hi, chg & 7 nl, chg >> 3 nh, code <> chg mo FROM q),
+op(a, b) AS (VALUES (7, 6), (6, 7), (2, 5), (5, 2), (4, 0), (0, 4), (1, 3), (3, 1)), oe(a, b) AS (VALUES (7, 0), (0, 7), (1, 6), (6, 1), (4, 3), (3, 4), (5, 2), (2, 5)),
+co AS (SELECT q.id, 1 k, q.pos FROM q JOIN sy ON sy.id = q.id WHERE q.moving AND q.rel = '父母' AND q.spirit = '白虎' AND (q.el[sy.bi + 1] - q.el[q.bi + 1] + 5) % 5 = 2
+UNION ALL SELECT id, 2, pos FROM q WHERE rel = '父母' AND (bi = d % 12 OR br || substr('子丑寅卯辰巳午未申酉戌亥', d % 12 + 1, 1) IN ('子丑','丑子','寅亥','亥寅','卯戌','戌卯','辰酉','酉辰','巳申','申巳','午未','未午') OR el[bi + 1] = el[d % 12 + 1])
+UNION ALL SELECT id, 3, pos FROM mv WHERE (rel, nrel) IN (('父母', '妻财'), ('妻财', '父母'))
+UNION ALL SELECT id, 4, pos FROM q WHERE pos = shi AND rel = '子孙' AND spirit = '青龙'
+UNION ALL SELECT id, 5, pos FROM q WHERE rel = '子孙' AND spirit = '白虎' AND mb
+UNION ALL SELECT id, 6, pos FROM q WHERE rel = '子孙' AND spirit = '螣蛇'
+UNION ALL SELECT id, 7, pos FROM q WHERE pos = shi AND rel = '官鬼' AND spirit = '青龙'
+UNION ALL SELECT id, 8, pos FROM q WHERE pos = shi AND spirit = '玄武'
+UNION ALL SELECT id, 9, pos FROM mv WHERE rel = '兄弟' AND spirit = '玄武'
+UNION ALL SELECT id, 10, pos FROM q WHERE pos = shi AND pos = 2 AND spirit = '勾陈'
+UNION ALL SELECT id, 11, pos FROM q WHERE pos = shi AND pos = 5
+UNION ALL SELECT id, 14, pos FROM q WHERE rel = '子孙' AND stage = 6 AND (spirit = '白虎' OR br = substr('寅亥申巳寅亥申巳寅亥申巳', d % 12 + 1, 1))
+UNION ALL SELECT id, 15, pos FROM q WHERE rel = '妻财' AND mb AND EXISTS (SELECT 1 FROM q h WHERE h.id = q.id AND h.hidden AND h.urel = '官鬼')
+UNION ALL SELECT id, 16, pos + 20 FROM q WHERE hidden AND EXISTS (SELECT 1 FROM q h WHERE h.id = q.id AND h.hidden AND h.urel = '妻财') AND EXISTS (SELECT 1 FROM q h WHERE h.id = q.id AND h.hidden AND h.urel = '子孙')),
+cs AS (SELECT id, k, list(pos ORDER BY pos) refs FROM co GROUP BY id, k UNION ALL SELECT id, 12, [shi, ying] FROM sy WHERE (spirit, ys) IN (('白虎', '朱雀'), ('朱雀', '白虎'))
+UNION ALL SELECT id, 13, [shi, ying] FROM sy WHERE el[bi + 1] = el[yb + 1] UNION ALL SELECT id, 17, [shi, ying] FROM sy WHERE br = ybr OR br || ybr IN ('丑寅','寅丑','辰巳','巳辰','未申','申未','戌亥','亥戌')),
+f0 AS (SELECT id, 'transform_' || ['长生','','','','','','病','死','墓','绝','',''][(ni - [11, 2, 8, 5, 8][el[bi + 1] + 1] + 12) % 12 + 1] pt, 'xf_shang_c03' src, [pos, pos + 10] refs FROM mv WHERE (ni - [11, 2, 8, 5, 8][el[bi + 1] + 1] + 12) % 12 IN (0, 6, 7, 8, 9)
+UNION ALL SELECT id, 'harm', 'xf_xia_c10_u0' || CASE st WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, refs FROM e WHERE pr IN ('子未','丑午','寅巳','卯辰','申亥','酉戌','未子','午丑','巳寅','辰卯','亥申','戌酉')
+UNION ALL SELECT id, 'zi_mao_punishment', 'xf_xia_c04_s01', refs FROM e WHERE pr IN ('子卯', '卯子')
+UNION ALL SELECT id, 'partial_three_punishments', 'xf_xia_c04_s02', refs FROM e WHERE pr IN ('寅巳','寅申','巳寅','巳申','申寅','申巳') UNION ALL SELECT id, 'partial_three_punishments', 'xf_xia_c04_s03', refs FROM e WHERE pr IN ('丑未','丑戌','未丑','未戌','戌丑','戌未')
+UNION ALL SELECT id, 'self_punishment_branch', 'xf_xia_c04_s05', [pos] FROM q WHERE br IN ('辰','午','酉','亥')
+UNION ALL SELECT id, 'line_fanyin', 'rule_liuyao_zixiu_dxj_4784', [pos, pos + 10] FROM mv WHERE (bi - ni + 12) % 12 = 6 UNION ALL SELECT id, 'line_fuyin', 'rule_liuyao_zixiu_dxj_4784', [pos, pos + 10] FROM mv WHERE bi = ni
+UNION ALL SELECT id, 'geshan_chain', 'xf_xia_c09', list_append(seen, seen[len(seen)] + 10) FROM w WHERE n > 1
+UNION ALL SELECT x.id, 'double_punishment', 'xf_xia_c04_s04', [x.pos, y.pos] FROM q x JOIN q y ON x.id = y.id AND x.pos < y.pos AND x.el[x.bi + 1] = y.el[y.bi + 1] WHERE x.moving OR y.moving OR (x.pos = x.shi AND y.pos = y.ying) OR (x.pos = x.ying AND y.pos = y.shi)
+UNION ALL SELECT mv.id, 'relative_position_change', 'xf_xia_c08', [q.pos, mv.pos + 10] FROM mv JOIN q ON q.id = mv.id AND q.pos <> mv.pos AND q.rel = mv.nrel AND (q.bi = mv.ni OR q.el[q.bi + 1] = mv.el[mv.ni + 1])
+UNION ALL SELECT x.id, 'three_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r, z.r] FROM tri, act x, act y, act z WHERE x.id = y.id AND y.id = z.id AND x.b = t1 AND y.b = t2 AND z.b = t3 AND NOT (x.r IN (7, 8) AND y.r IN (7, 8) AND z.r IN (7, 8))
+UNION ALL SELECT x.id, 'half_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t1 AND y.b = t2 AND (x.r < 7 OR y.r < 7) AND (x.id, t3) NOT IN (SELECT id, b FROM act)
+UNION ALL SELECT x.id, 'half_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t2 AND y.b = t3 AND (x.r < 7 OR y.r < 7) AND (x.id, t1) NOT IN (SELECT id, b FROM act)
+UNION ALL SELECT x.id, 'three_punishments', 'xf_xia_c04_s0' || s, [x.r, y.r, z.r] FROM pun, cur x, cur y, cur z WHERE x.id = y.id AND y.id = z.id AND x.b = t1 AND y.b = t2 AND z.b = t3 AND (x.r < 7 OR y.r < 7 OR z.r < 7)
+UNION ALL SELECT id, 'all_transform_harm', 'xf_xia_c10_u04', refs FROM hs WHERE ha UNION ALL SELECT id, 'line_change_clash', 'rule_liuyao_zixiu_dxj_4784', refs FROM hs WHERE cl UNION ALL SELECT id, 'line_change_same_branch', 'rule_liuyao_zixiu_dxj_4784', refs FROM hs WHERE sa
+UNION ALL SELECT id, 'combination_' || lpad(CAST(k AS VARCHAR), 2, '0'), 'xf_shang_c02_u' || lpad(CAST(k AS VARCHAR), 2, '0'), refs FROM cs),
+f AS (SELECT id, pt, src, refs, array_to_string(list_transform(refs, lambda r: CASE WHEN r < 10 THEN CAST(r AS VARCHAR) WHEN r < 20 THEN (r - 10) || 'c' ELSE (r - 20) || 'h' END), '-') who, true here FROM f0
+UNION ALL SELECT id, 'hidden_flying_relation', 'xf_xia_c05', [pos, pos + 20], pos || ':' || concat_ws('/', CASE WHEN (bi - ui + 12) % 12 = 6 THEN '冲' END, CASE WHEN br || ub IN ('子丑','丑子','寅亥','亥寅','卯戌','戌卯','辰酉','酉辰','巳申','申巳','午未','未午') THEN '合' END, ['同五行', '生', '克', '受克', '受生'][(el[ui + 1] - el[bi + 1] + 5) % 5 + 1]), true FROM q WHERE hidden
+UNION ALL SELECT id, 'upper_lower_fanyin', 'xf_xia_c07_u01', [], 'primary', true FROM g WHERE (lo, hi) IN (SELECT (a, b) FROM op) UNION ALL SELECT id, 'upper_lower_fanyin', 'xf_xia_c07_u01', [], 'changed', mo FROM g WHERE (nl, nh) IN (SELECT (a, b) FROM op)
+UNION ALL SELECT id, 'trigram_change_fanyin', 'xf_xia_c07_u02', [], 'lower', true FROM g WHERE (lo, nl) IN (SELECT (a, b) FROM op) UNION ALL SELECT id, 'trigram_change_fanyin', 'xf_xia_c07_u02', [], 'upper', true FROM g WHERE (hi, nh) IN (SELECT (a, b) FROM op)
+UNION ALL SELECT id, 'early_trigram_change_fanyin', 'rule_liuyao_zixiu_dxj_4784', [], 'lower', true FROM g WHERE (lo, nl) IN (SELECT (a, b) FROM oe) UNION ALL SELECT id, 'early_trigram_change_fanyin', 'rule_liuyao_zixiu_dxj_4784', [], 'upper', true FROM g WHERE (hi, nh) IN (SELECT (a, b) FROM oe))
+"""
+
+
+@_query(_FACTS + "SELECT id AS chart_id, pt AS pattern_id, who AS participants, src AS source FROM f")
+def chart_pattern_facts(spark, d):
+    return chart.patterns(casts(spark, d))
+
+
 @_query(_LINES.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, mv AS (SELECT id, pos, bi, ni FROM q WHERE moving), w AS (SELECT id, CAST(pos AS VARCHAR) path, [pos] seen, ni, 1 n FROM mv
 UNION ALL SELECT w.id, w.path || '>' || mv.pos, list_append(w.seen, mv.pos), mv.ni, n + 1 FROM w JOIN mv ON mv.id = w.id AND mv.bi = w.ni AND NOT list_contains(w.seen, mv.pos)) SELECT id AS chart_id, path FROM w WHERE n > 1""")
 def chart_chain(spark, d):
