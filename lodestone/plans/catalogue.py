@@ -246,7 +246,7 @@ def chunk_by_size(spark, d):
 
 @_query("SELECT doc_id, n_lines, n_blank, sha256(a) AS first_sha256 FROM (SELECT doc_id, len(string_split(text, chr(10))) n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) n_blank, split_part(text, chr(10), 1) a FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AND right(text, 1) <> chr(10))")
 def line_split(spark, d):
-    x = _t(spark, d, "documents").where(~F.col("text").rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]") & ~F.col("text").endswith("\n")).select("doc_id", X.split_lines(F.col("text")).alias("l"))
+    x = _t(spark, d, "documents").select("doc_id", X.split_lines(F.col("text")).alias("l"))
     return x.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda v: F.trim(v) == "")).cast("long").alias("n_blank"), X.digest(F.get("l", F.lit(0))).alias("first_sha256"))
 
 

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB SQL, on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 
@@ -40,3 +41,17 @@ def test_query_equals_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_line_split_takes_all_documents(spark, tmp_path):
+    """Against str.splitlines, which has the same line ends."""
+    ends = ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["", "one", "\n", "\n\r", *(f"a{e}{e} b{e}" for e in ends), *(f"{e}a{e}b" for e in ends), "a\r\n\r\nb\n\r", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_blank, r.first_sha256) for r in catalogue.QUERIES["line_split"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        if text is not None:
+            lines = text.splitlines()
+            first = hashlib.sha256(lines[0].encode()).hexdigest() if lines else None
+            assert got[i] == (len(lines), sum(not v.strip(" ") for v in lines), first), repr(text)
+    assert len(got) == len(texts)
