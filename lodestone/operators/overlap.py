@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SIZE, STEP, BLOCK = 32, 8, 256
 
 
+def normalized(text: Column) -> Column:
+    """Letters, digits and underscores in lower case; two characters that are often taken for a branch as that branch."""
+    return F.translate(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\x{4e00}-\x{9fff}]", "")), "已戍", "巳戌")
+
+
 def windows(text: Column, size: int, step: int) -> Column:
     """(at, piece) of the windows of a text; none if it is shorter."""
     n = F.char_length(text) - size

@@ -559,6 +559,16 @@ def shingle_overlap(spark, d):
     return overlap.overlaps(q, docs).select("q_id", "d_id", "n_windows")
 
 
+@_query("""WITH b AS (SELECT item_id, translate(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\x{4e00}-\\x{9fff}]', '', 'g')), '已戍', '巳戌') q FROM benchmark), t AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\x{4e00}-\\x{9fff}]', '', 'g')), '已戍', '巳戌') d FROM documents),
+w AS (SELECT item_id, q, i * 8 AS pos, substr(q, CAST(i * 8 + 1 AS BIGINT), 32) piece FROM (SELECT item_id, q, unnest(range(CAST((length(q) - 32) // 8 + 1 AS BIGINT))) i FROM b WHERE length(q) >= 32)),
+h AS (SELECT item_id, doc_id, pos, substr(q, CAST(pos + 1 AS BIGINT)) qr, substr(d, strpos(d, piece)) dr FROM w JOIN t ON contains(d, piece))
+SELECT item_id AS q_id, doc_id AS d_id, count(DISTINCT pos) AS n_windows, max(list_max(list_filter(range(32, least(length(qr), length(dr)) + 1), lambda k: substr(qr, 1, k) = substr(dr, 1, k)))) AS longest FROM h GROUP BY 1, 2""")
+def shingle_overlap_normalized(spark, d):
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), overlap.normalized(F.col("text")).alias("q"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("d_id"), overlap.normalized(F.col("text")).alias("d"))
+    return overlap.overlaps(q, docs)
+
+
 @_query("SELECT lang, source, count(*) AS total, count(quality) AS reviewed, min(CASE WHEN quality IS NULL THEN doc_id END) AS next_pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source")
 def review_progress(spark, d):
     x = _t(spark, d, "documents").select("doc_id", "lang", "source").join(_t(spark, d, "labels"), "doc_id", "left")

@@ -55,3 +55,13 @@ def test_line_split_takes_all_documents(spark, tmp_path):
             first = hashlib.sha256(lines[0].encode()).hexdigest() if lines else None
             assert got[i] == (len(lines), sum(not v.strip(" ") for v in lines), first), repr(text)
     assert len(got) == len(texts)
+
+
+def test_reuse_in_other_case_and_punctuation_is_found(spark, tmp_path):
+    passage = "The quick brown fox jumps over the lazy dog, while five boxing wizards jump quickly by 已 and 戍."
+    reused = "So: " + passage.upper().replace(" ", "\n- ").replace("已", "巳").replace("戍", "戌") + " End."
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, reused), (8, "nothing of the kind stands here, not at all, in no way")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = "".join(c for c in passage.lower() if c.isalnum())
+    (got,) = catalogue.QUERIES["shingle_overlap_normalized"](spark, str(tmp_path)).collect()
+    assert (got.q_id, got.d_id, got.n_windows, got.longest) == (1, 7, (len(norm) - 32) // 8 + 1, len(norm))
