@@ -121,8 +121,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     firsts = keep(sets.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
     later = keep(sets.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).where("id != first").select("id"), "copies")
 
-    # Rows of one token, of lines that differ from each other. Sets of up to three tokens resemble only their equals.
-    alone = sets.where(F.col("size") >= 4) if percent >= 75 else sets
+    # Rows of one token, of lines that differ from each other. Above 75 %, sets of up to three tokens resemble only their equals.
+    alone = sets.where(F.col("size") >= 4) if percent > 75 else sets
     rows = alone.select("id", "size", "parity", "prefix").join(later, "id", "left_anti").select("id", "parity", "size", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", "id", "parity", (F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("at"))
     def may(x: Column, y: Column) -> Column:

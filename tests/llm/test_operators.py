@@ -118,6 +118,12 @@ def test_line_dedup_equals_brute_force(spark, texts):
     assert line_dedup.without_repeated_lines(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_links_three_and_four_tokens_at_75(spark):
+    docs = ["one two three", "one two three four", "five six", "five six seven", "p q r s", "r q p"]
+    assert {x.doc_id for x in line_dedup.removed_lines(frame(spark, docs), 75).collect()} == {1, 5}
+    assert not line_dedup.removed_lines(frame(spark, docs), 76).collect()
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)] + [(5, 5)]
