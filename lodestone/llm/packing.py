@@ -14,6 +14,7 @@ empty table gives no pieces; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ WINDOW = 2048
 SALTS = 64
 #: Characters for which the character classes of both libraries surely agree; other texts go to `tokenizers`.
 _PLAIN = bytes([*b"\t\n\r", *range(32, 127), *range(0xA1, 0x100)])
+#: White space in a run, at most, for `tiktoken`: its pattern steps back over such runs on a stack of bounded size.
+_BLANKS = 1 << 16
+_LONG_BLANKS = re.compile(rf"\s{{{_BLANKS}}}")
 #: The split of byte-level pre-tokenization.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,7 +51,7 @@ class TokenIds:
     """Token ids of a byte-level BPE file of `tokenizers`, as little-endian 32-bit integers.
 
     Where the file's ids rank its merges (checked on loading), `tiktoken` runs the same merges several times as fast;
-    its ids are the same. Other files, and texts with rarer characters or what may be a special token, are encoded by
+    its ids are the same. Other files, and texts with rarer characters, very long runs of white space or what may be a special token, are encoded by
     `tokenizers`.
     """
 
@@ -82,6 +86,8 @@ class TokenIds:
             plain = self.fast and "<|" not in text and not text.encode("latin-1").translate(None, _PLAIN)
         except UnicodeEncodeError:
             plain = False
+        if plain and len(text) >= _BLANKS and _LONG_BLANKS.search(text):
+            plain = False
         return _packed(self.fast.encode_to_numpy(text, disallowed_special=()) if plain else self.tok.encode(text, add_special_tokens=False).ids)
 
 

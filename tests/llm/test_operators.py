@@ -124,6 +124,13 @@ def test_line_dedup_links_three_and_four_tokens_at_75(spark):
     assert not line_dedup.removed_lines(frame(spark, docs), 76).collect()
 
 
+def test_token_ids_of_long_blanks():
+    ids = packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert ids.fast
+    for text in ("a" + " " * 1_200_000 + "b", "\n \t" * 400_000 + "end"):
+        assert ids(text) == packing._packed(ids.tok.encode(text, add_special_tokens=False).ids)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)] + [(5, 5)]
