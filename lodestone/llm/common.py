@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import re
-import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +27,21 @@ def words(text: str | None) -> list[str]:
     return b" ".join(found).decode().split(" ") if found else []
 
 
+class Held(dict):
+    """Values of a function of strings or bytes, held for at most `size` short keys; when full it begins anew."""
+
+    def __init__(self, make: Callable, size: int = 150_000, longest: int = 64):
+        self.make, self.size, self.longest = make, size, longest
+
+    def __missing__(self, key):
+        out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = out
+        return out
+
+
 def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
     """Small parts of Arrow batches: what Python holds of them at a time stays small."""
     for batch in batches:
@@ -37,44 +50,54 @@ def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        d = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(f"file://{d}")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that the session's context has set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or held.isDefined():
+        return named or held.get()
+    if spark.sparkContext.master.startswith("local["):  # one machine, as in tests: any folder is shared
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return d
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (with _ for .) for the time of one job."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     Cuts the lineage, so that a lost executor costs the tasks it ran and not what came before, and fixes what
-    a later retry reads. The files stay until the shared folder is emptied. Shuffle files of what came before are of
-    no more use; Spark removes them when the driver collects its garbage, so this asks for that.
+    a later retry reads. The job's shuffle files go when it ends. Batches for Python are small, as texts may be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    for pause in (0.3, 0.0):  # what the first round finds unreachable may hold more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
-    out = spark.read.schema(schema).parquet(path)
+    with setting(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
+        df.write.options(compression="zstd", **options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Removes a written table that nothing reads any more; what was made from it must be written itself."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more; what was made from them must be written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +110,11 @@ def crc32_mod(doc_id: Column, m: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_out: int, bound: int) -> DataFrame:
-    """Texts of at most `bound` labelled documents outside the held-out fold, with their label as y.
+    """Texts of at most `bound` labelled documents outside the held-out fold, with their label as y, as a written table.
 
-    The bound is on label rows (the smallest hashes of doc_id), so what is broadcast has a fixed size; the
-    texts are found by a broadcast join and aren't shuffled. Rows with a null id or label don't count, and an id
-    that carries several labels counts with its smallest.
+    The bound is on label rows (the smallest hashes of doc_id), so what is broadcast has a fixed size, and one text
+    counts for each id. Rows with a null id or label don't count; an id that carries several labels counts with its
+    smallest, and one that carries several texts with the smallest of them.
     """
     picked = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
@@ -103,4 +126,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod
         .agg(F.min("y").alias("y"))
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text"))
-    return texts.join(F.broadcast(picked), "_id")
+    return keep(texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("y").alias("y"), F.min("text").alias("text")), "sample")

@@ -1,17 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
 A window is 13 consecutive words of an item; an item of fewer words, but not none, is one window. The automaton
-holds every window with a space on either side; a document, folded to its words in the same way, is scanned once.
+holds every window as a sequence of word numbers; a document, folded to its words in the same way, is scanned once.
 A document's word inside an occurrence of a window is hit. Word numbers are mapped to places of the original text.
 
+A benchmark of more than BLOCK_WORDS words becomes several automata. A worker keeps HELD of them; where there are
+more, it takes documents of GATHERED characters at a time to each automaton in turn, so that making one is shared by
+many documents and memory stays bounded. Blocks are read one after another and broadcast, each of bounded size.
+
 Defined results: a null or empty text has no words, no hit, and is not contaminated; null and empty items have no
-window; repeated items and repeated item ids count once; an empty benchmark contaminates nothing; other columns of
-the documents are kept, and ours take a prefix where `decontaminated` is told so.
+window; repeated items and repeated item ids count once; an empty benchmark contaminates nothing; repeated rows are
+marked alike; no documents give no rows; a column named as `out` is replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,47 +27,41 @@ from pyspark.sql import functions as F
 from .common import WORD, slices, word_bytes
 
 WINDOW = 13
-#: Characters of benchmark text in one automaton (about 100 bytes of memory for each of 13 x so many at worst);
-#: a larger benchmark becomes several automata, and each worker holds one at a time.
-BLOCK_CHARS = 400_000
+#: Words of benchmark text in one automaton (some 50 bytes for each of its at most 13 x so many nodes); automata that a
+#: worker holds; characters of documents that it takes through all automata together if there are more.
+BLOCK_WORDS, HELD, GATHERED = 60_000, 3, 16_000_000
 
 _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _TYPE = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-_WORKER: dict[str, object] = {}
-
-
-def windows(text: str | None, size: int = WINDOW) -> list[str]:
-    found = word_bytes(text)
-    return [f" {b' '.join(found[i : i + size]).decode()} " for i in range(max(1, len(found) - size + 1))] if found else []
+_WORKER: OrderedDict = OrderedDict()
 
 
-def automaton(items: list[tuple[str, str]], size: int = WINDOW):
-    """Gives (number of words, item ids) for each window that ends at a place; None if there is no window."""
-    import ahocorasick
+class Machine:
+    """The automaton of some items: windows as sequences of word numbers, 0 for words that no item has."""
 
-    held: dict[str, list[str]] = {}
-    for item, text in items:
-        for w in windows(text, size):
-            held.setdefault(w, []).append(item)
-    if not held:
-        return None
-    out = ahocorasick.Automaton()
-    for w, ids in held.items():
-        out.add_word(w, (w.count(" ") - 1, tuple(dict.fromkeys(ids))))
-    out.make_automaton()
-    return out
+    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+        import ahocorasick
 
+        self.numbers: dict[bytes, int] = {}
+        held: dict[tuple, dict] = {}
+        for item, text in items:
+            own = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in word_bytes(text))
+            for i in range(max(1, len(own) - size + 1) if own else 0):
+                held.setdefault(own[i : i + size], {})[item] = None
+        self.found = None
+        if held:
+            self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for window, ids in held.items():
+                self.found.add_word(window, (len(window), tuple(ids)))
+            self.found.make_automaton()
 
-def scan(found: list[bytes], machine, ends: np.ndarray | None, hits: list, items: set) -> np.ndarray | None:
-    """Adds the hit word ranges and the item ids of one automaton; ends: where each word ends in the folded text."""
-    text = f" {b' '.join(found).decode()} "
-    for end, (n, ids) in machine.iter(text):
-        if ends is None:
-            ends = np.cumsum([len(w.decode()) + 1 for w in found])
-        last = int(np.searchsorted(ends, end))
-        hits.append((last - n + 1, last + 1))
-        items.update(ids)
-    return ends
+    def scan(self, words: list[bytes], hits: set, items: set) -> None:
+        """Adds the word ranges that windows occupy, and the ids of their items."""
+        if self.found and words:
+            number = self.numbers.get
+            for end, (n, ids) in self.found.iter(tuple([number(w, 0) for w in words])):
+                hits.add((end - n + 1, end + 1))
+                items.update(ids)
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -72,54 +71,65 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _scanner(blocks: list, size: int):
+def _gathered(batches: Iterator[pa.Array], chars: int) -> Iterator[list[str | None]]:
+    """Texts of the batches, in parts of at least so many characters but the last."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held += batch.to_pylist()
+        size += batch.nbytes
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanner(blocks: list, size: int, held: int, gathered: int):
     key = uuid.uuid4().hex
 
-    def machine(i: int):
-        name = f"{key}-{i}"
+    def machine(i: int) -> Machine:
+        name = (key, i)
         if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = automaton(blocks[i].value, size)
+            while len(_WORKER) >= held:
+                _WORKER.popitem(last=False)
+            _WORKER[name] = Machine(blocks[i].value, size)
         return _WORKER[name]
 
     @F.arrow_udf(_TYPE)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in slices(batches):
-            texts = batch.to_pylist()
-            found = [[None, [], set()] for _ in texts]
+        for texts in _gathered(batches, 1 if len(blocks) <= held else gathered):
+            found = [(set(), set()) for _ in texts]
             for i in range(len(blocks)):
-                if m := machine(i):
-                    for text, x in zip(texts, found):
-                        if text and (own := word_bytes(text)):
-                            x[0] = scan(own, m, x[0], x[1], x[2])
+                own = machine(i)
+                for text, x in zip(texts, found):
+                    own.scan(word_bytes(text), *x)
             out = []
-            for text, (ends, ranges, items) in zip(texts, found):
-                n = len(ends) if ends is not None else len(word_bytes(text))
+            for text, (ranges, items) in zip(texts, found):
+                n, spans, marked = len(word_bytes(text)), [], 0
                 if ranges:
                     hit = np.zeros(n, bool)
-                    for a, b in set(ranges):
+                    for a, b in ranges:
                         hit[a:b] = True
-                    out.append({"n_words": n, "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(text, hit)})
-                else:
-                    out.append({"n_words": n, "n_hit": 0, "items": [], "spans": []})
+                    spans, marked = _spans(text, hit), int(hit.sum())
+                out.append({"n_words": n, "n_hit": marked, "items": sorted(items), "spans": spans})
             yield pa.array(out, _KIND)
 
     return hits
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, out: str = "contamination") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, out: str = "contamination", block_words: int = BLOCK_WORDS, held: int = HELD, gathered: int = GATHERED) -> DataFrame:
     """docs and a struct column `out`: n_words, n_hit, items (sorted as strings), spans of the original, contaminated."""
     sc = docs.sparkSession.sparkContext
-    blocks, own, chars = [], [], 0
+    blocks, own, n = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
     for x in rows.toLocalIterator():
-        if own and chars + len(x.t) > BLOCK_CHARS:
+        words = len(word_bytes(x.t))
+        if own and n + words > block_words:
             blocks.append(sc.broadcast(own))
-            own, chars = [], 0
+            own, n = [], 0
         own.append((x.i, x.t))
-        chars += len(x.t)
+        n += words
     blocks.append(sc.broadcast(own))
-    x = _scanner(blocks, size)(F.col("text"))
-    marked = docs.withColumn(out, x)
+    marked = docs.withColumn(out, _scanner(blocks, size, held, gathered)(F.col("text")))
     c = F.col(out)
     return marked.withColumn(out, c.withField("contaminated", (c.n_hit > 0) & (20 * c.n_hit >= c.n_words)))

@@ -1,19 +1,24 @@
 """Line dedup: an exact set-similarity join of lines; lines that resemble an earlier one go.
 
-A line is the set of its lower-cased tokens between blanks. Its tokens are ordered from rare to common (counts of all
-lines in BUCKETS hash buckets, a table of fixed size), so its prefix, |x| - ceil(t |x|) + 1 tokens, must meet the
-prefix of any line of Jaccard similarity t. Lines that share a prefix token are candidates if their sizes, the
-positions of the token, and 64 parity bits of their sets allow the similarity; candidates are verified on their
-tokens. A line is removed if a line before it (smaller doc_id, or the same one and a smaller line number) is similar;
-lines of equal sets are one from the start, and the first of them stands for all.
-
-A line needs one similar line before it, not all of them. So a line first meets the first line and the next three
-before it in each token's order, and only what is still undecided meets all lines of its tokens. Everything is a
-DataFrame expression; no group is collected and pairs of decided lines aren't formed.
+A line is the set of its lower-cased tokens between blanks. Its tokens are ordered from rare to common (line counts of
+all tokens in BUCKETS hash buckets, a table of fixed size). Two lines of Jaccard similarity t share at least
+need = ceil(t (|x| + |y|) / (1 + t)) tokens, so the first token that they share, in that order, has need - 1 tokens
+after it in both: it stands in both prefixes, at positions that leave room for need. Lines are joined on prefix
+tokens under this positional filter, the length filter, and a bound from 64 parity bits of their sets; what is left is
+verified on the lines' tokens. A line is removed if a line before it is similar. Lines of equal sets are one from the
+start, and the first of them stands for all.
+
+A line needs one similar line before it, not all. So each line first meets the first line of each of its PROBES rarest
+tokens, which decides most lines of large families; then what is undecided meets all lines of its prefix tokens. Pairs
+of decided lines aren't formed. Everything is a DataFrame expression: no group is collected, and joins on a token are
+merge joins, which adaptive execution splits where a token is hot.
+
+Lines are in the order of (doc_id, text hash, line number), documents of a null id last. Rows that have both the id
+and the text in common are one document, and come out alike; rows that share an id alone are different documents.
 
 Defined results: a null or empty text stays as it is; blank lines are never removed; a document all of whose lines go
-keeps its row with an empty text; documents of a null id are neither changed nor compared; ids are taken as unique:
-rows that share one have the same line numbers removed; other columns are kept.
+keeps its row with an empty text; ids may be of any type that can be ordered; an empty table gives an empty one; other
+columns are kept, whatever their names, except that `out` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -23,44 +28,51 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import keep, release
 
-BUCKETS = 1 << 18
-#: Hash bits below the rank of a token's bucket.
+BUCKETS, PROBES = 1 << 18, 3
+#: Bits of a token's hash beside its bucket; the two make 63 bits, and the bucket gives way to its rank.
 _BITS = 45
+#: Lines whose names are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1 << 19
+_BLANKS = "\t\r\x0b\x0c"
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[ \\t\\r\\x0B\\x0C]+"), lambda x: x != "")
+def _text(docs: DataFrame) -> Column:
+    """The text in lower case with spaces for other blanks; the check spares most texts the translation."""
+    odd = F.lit(False)
+    for c in _BLANKS:
+        odd = odd | F.contains("text", F.lit(c))
+    return F.lower(F.when(odd, F.translate("text", _BLANKS, " " * len(_BLANKS))).otherwise(F.col("text")))
 
 
-def _hash(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND(F.lit((1 << _BITS) - 1))
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th (the text's hash), no (from 0), line (lower-cased, trimmed): the lines that aren't blank."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(_text(docs), "\n")).alias("no", "line"))
+    return own.withColumn("line", F.trim("line")).where("line != ''")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line: the lines of each text, without blank ones."""
-    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return own.where(F.col("line").rlike("[^ \\t\\r\\x0B\\x0C]"))
+def _hashes(line: Column) -> Column:
+    """Distinct 64-bit hashes of the tokens; the empty string between two spaces isn't one."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda x: F.xxhash64(x)))
 
 
-def _ranks(docs: DataFrame) -> list[int]:
-    """The place of each bucket of token hashes in the order of its count, the rarest first."""
-    words = docs.where(F.col("doc_id").isNotNull()).select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\n\\x0B\\x0C]+")).alias("w"))
-    counts = words.groupBy((_hash(F.col("w")) % BUCKETS).cast("int").alias("b")).count()
+def _ranks(hashed: DataFrame) -> list[int]:
+    """The place of each bucket of token hashes in the order of its count, the rarest first, above the other bits."""
+    counts = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     found = counts.toPandas()  # BUCKETS rows at most
     n = np.zeros(BUCKETS, np.int64)
     n[found["b"].to_numpy()] = found["count"].to_numpy()
     out = np.empty(BUCKETS, np.int64)
-    out[np.argsort(n, kind="stable")] = np.arange(BUCKETS)
+    out[np.argsort(n, kind="stable")] = np.arange(BUCKETS) << _BITS
     return out.tolist()
 
 
 def _parity(hashes: Column) -> Column:
     """A bit for each value of a hash's last six bits: do an odd number of hashes have it?"""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    one = F.lit(1).cast("long")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _quarter(q: int):
@@ -68,97 +80,127 @@ def _quarter(q: int):
     return lambda h: h.bitwiseAND(F.lit(192)) == 64 * q
 
 
-def _prefix(size: Column, percent: int) -> Column:
-    return (size - F.ceil(size * percent / 100) + 1).cast("int")
-
-
-class _Ids:
-    """Lines as one number in the order of (doc_id, line_no) where ids and texts are small enough, else as that pair."""
-
-    def __init__(self, docs: DataFrame):
-        x = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.octet_length("text")).alias("bytes")).first()
-        self.packed = x.least is not None and x.least >= 0 and x.most < 1 << 42 and (x.bytes or 0) < 1 << 21
-
-    def of(self, doc_id: Column, no: Column) -> Column:
-        return (doc_id.cast("long") * F.lit(1 << 21) + no) if self.packed else F.struct(doc_id.alias("doc_id"), no.alias("line_no"))
-
-    def doc(self, i: Column) -> Column:
-        return F.shiftright(i, 21) if self.packed else i["doc_id"]
-
-    def no(self, i: Column) -> Column:
-        return i.bitwiseAND(F.lit((1 << 21) - 1)).cast("int") if self.packed else i["line_no"]
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, ids: _Ids, percent: int) -> DataFrame:
-    """The later lines of those pairs (x earlier, y later) that are similar by their tokens."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = ends.groupBy(ids.doc(F.col("id")).alias("doc_id")).agg(F.collect_set(ids.no(F.col("id"))).alias("nos"))
-    own = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
-    own = own.where(F.col("no") < F.size("lines")).select(ids.of(F.col("doc_id"), F.col("no")).alias("id"), F.array_distinct(_tokens(F.get("lines", F.col("no")))).alias("t"))
-    # 256 parity bits of the tokens: most pairs end before their tokens are joined to them.
-    bits = F.array(*(_parity(F.filter(F.transform("t", lambda x: F.xxhash64(x)), _quarter(q))) for q in range(4)))
-    own = keep(own.withColumn("n", F.size("t")).withColumn("bits", bits), "candidates")
+def _need(total: Column, percent: int) -> Column:
+    """Tokens that sets of that total size must share."""
+    return F.call_function("div", percent * total + 99 + percent, F.lit(100 + percent))
+
+
+def _rows(lines: DataFrame, tokens: Column) -> DataFrame:
+    """token, id, parity, at (size and position) for each of the tokens; of decided lines, `at` is negative."""
+    own = lines.select("id", "parity", "size", "decided", F.posexplode(tokens).alias("pos", "token"))
+    at = F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")
+    return own.select("token", "id", "parity", F.when(F.col("decided"), -at).otherwise(at).alias("at"))
+
+
+def _met(rows: DataFrame, others: DataFrame, percent: int, shorter: bool) -> DataFrame:
+    """Distinct (x, y), x before y: an undecided y and a line that share a token which may be the first of all they share.
+
+    shorter: `others` are met as the shorter of two lines only, or the earlier of two of one size.
+    """
+    a = others.select("token", F.col("id").alias("a"), F.col("parity").alias("pa"), F.col("at").alias("ta"))
+    b = rows.select("token", F.col("id").alias("b"), F.col("parity").alias("pb"), F.col("at").alias("tb"))
+    size_a, size_b = (F.shiftright(F.abs(c), 32) for c in ("ta", "tb"))
+    at_a, at_b = (F.abs(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("ta", "tb"))
+    need = _need(size_a + size_b, percent)
+    order = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b"))) if shorter else F.col("a") < F.col("b")
+    undecided = F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")) > 0
+    fits = (at_a + need <= size_a) & (at_b + need <= size_b) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= size_a + size_b - 2 * need)
+    return a.join(b, "token").where(order & fits & undecided).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def _sets_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, t (token hashes) of the first line of each of those sets, from the texts."""
+    nos = F.collect_list(F.struct("id", F.col("first.no").alias("no")))
+    wanted = keep(ids.join(firsts, "id").groupBy(F.col("first.doc_id").alias("_doc_id"), F.col("first.th").alias("_th")).agg(nos.alias("_nos")), "wanted")
+    few = wanted.count() <= BROADCAST
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")))
+    own = own.select("_nos", F.split(_text(own), "\n").alias("lines"))
+    own = own.select(F.explode(F.transform("_nos", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["no"]).alias("line")))).alias("x"))
+    own = own.select("x.id", _hashes(F.trim("x.line")).alias("t"))
+    return own.dropDuplicates(["id"])  # repeated rows have the same lines
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id of the later lines of those pairs (x earlier, y later) that are similar by their tokens; sets: id, t."""
+    # 256 parity bits: most pairs that aren't similar end before their tokens are joined to them.
+    bits = F.array(*(_parity(F.filter("t", _quarter(q))) for q in range(4)))
+    own = keep(sets.select("id", "t", F.size("t").alias("n"), bits.alias("bits")), "candidates", **{"parquet.enable.dictionary": "false"})
     left, right = own.select("id", "n", "bits").toDF("x", "nx", "bx"), own.select("id", "n", "bits").toDF("y", "ny", "by")
     total = F.col("nx") + F.col("ny")
-    differ = sum((F.bit_count(F.get("bx", F.lit(i)).bitwiseXOR(F.get("by", F.lit(i)))) for i in range(1, 4)), F.bit_count(F.get("bx", F.lit(0)).bitwiseXOR(F.get("by", F.lit(0)))))
-    pairs = pairs.join(left, "x").join(right, "y").where(differ <= total - 2 * F.ceil(percent * total / F.lit(100 + percent))).select("x", "y")
-    pairs = keep(pairs, "pairs")
-    x, y = own.select("id", "t").toDF("x", "tx"), own.select("id", "t").toDF("y", "ty")
-    both = F.size(F.array_intersect("tx", "ty"))
-    return pairs.join(x, "x").join(y, "y").where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select(F.col("y").alias("id")).distinct()
+    differ = sum((F.bit_count(F.get("bx", F.lit(i)).bitwiseXOR(F.get("by", F.lit(i)))) for i in range(4)), F.lit(0))
+    near = pairs.join(left, "x").join(right, "y").withColumn("d", differ / total).where(differ <= total - 2 * _need(total, percent))
+    near = keep(near.select("x", "y", "d"), "near")
+
+    def verified(some: DataFrame) -> DataFrame:
+        x, y = own.select("id", "t").toDF("x", "tx"), own.select("id", "t").toDF("y", "ty")
+        both = F.size(F.array_intersect("tx", "ty"))
+        found = some.select("x", "y").join(x, "x").join(y, "y").where(100 * both >= percent * (F.size("tx") + F.size("ty") - both))
+        return keep(found.select(F.col("y").alias("id")).distinct(), "similar")
+
+    # The likeliest partner of each line first, the others only of lines that it doesn't decide.
+    best = near.groupBy("y").agg(F.min_by("x", F.struct("d", "x")).alias("x"))
+    found = verified(best)
+    rest = near.join(best.select("x", "y"), ["x", "y"], "left_anti").join(found.select(F.col("id").alias("y")), "y", "left_anti")
+    out = keep(found.union(verified(rest)), "similar")
+    release(own, near, found)
+    return out
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, line_no of every line that a line before it resembles."""
-    ids = _Ids(docs)
-    ranks = F.from_json(F.lit(json.dumps(_ranks(docs))), "array<long>")
-    packed = F.transform(F.transform(_tokens(F.col("line")), _hash), lambda h: F.shiftleft(F.get(ranks, (h % BUCKETS).cast("int")), _BITS).bitwiseOR(h))
-    sets = lines(docs).select(ids.of(F.col("doc_id"), F.col("line_no")).alias("id"), F.sort_array(F.array_distinct(packed)).alias("set"))
-    sets = sets.withColumn("size", F.size("set")).withColumn("parity", _parity(F.col("set")))
-    sets = sets.select("id", "size", "parity", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), _prefix(F.col("size"), percent)).alias("prefix"))
-    sets = keep(sets, "lines")
-
-    firsts = keep(sets.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
-    later = keep(sets.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).where("id != first").select("id"), "copies")
-
-    # Rows of one token, of lines that differ from each other. Above 75 %, sets of up to three tokens resemble only their equals.
-    alone = sets.where(F.col("size") >= 4) if percent > 75 else sets
-    rows = alone.select("id", "size", "parity", "prefix").join(later, "id", "left_anti").select("id", "parity", "size", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "id", "parity", (F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("at"))
-    def may(x: Column, y: Column) -> Column:
-        """Sizes, positions and parities allow the similarity."""
-        sx, sy = (F.shiftright(c["at"], 32) for c in (x, y))
-        px, py = (c["at"].bitwiseAND(F.lit((1 << 32) - 1)) for c in (x, y))
-        total = sx + sy
-        need = F.ceil(percent * total / F.lit(100 + percent))
-        rest = 1 + F.least(px, py) + F.least(sx - px - 1, sy - py - 1)
-        differ = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
-        return (percent * sx <= 100 * sy) & (percent * sy <= 100 * sx) & (rest >= need) & (differ <= total - 2 * need)
-
-    w = Window.partitionBy("token").orderBy("id")
-    own = F.struct("id", "parity", "at")
-    met = F.array(F.first(own).over(w), *(F.lag(own, i).over(w) for i in (1, 2, 3)))
-    rows = rows.select("token", "id", "parity", "at", met.alias("met"), F.lead("id").over(w).alias("next")).where("next is not null or met[1] is not null")
-    near = F.filter("met", lambda a: a.isNotNull() & (a["id"] < F.col("id")) & may(a, own))
-    shared = keep(rows.select("token", "id", "parity", "at", F.transform(near, lambda a: a["id"]).alias("near"), F.col("met")[3].isNotNull().alias("more")), "shared")
+    """doc_id, th, no of every line that a line before it resembles; percent: the least similarity."""
+    plain = {"parquet.enable.dictionary": "false"}
+    hashed = keep(lines(docs).select("doc_id", "th", "no", F.monotonically_increasing_id().alias("row"), _hashes(F.col("line")).alias("h")), "hashes", **plain)
+    ranks = F.from_json(F.lit(json.dumps(_ranks(hashed))), "array<long>")
+    ranked = F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _BITS)))
+    size = F.size("h")
+    # Prefixes for a partner of any size, and how much of them for one that is no shorter.
+    most, index = (size - F.ceil(size * percent / 100) + 1).cast("int"), (size - _need(2 * size, percent) + 1).cast("int")
+    sets = hashed.select("doc_id", "th", "no", "row", size.alias("size"), _parity(F.col("h")).alias("parity"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
+    sets = sets.select("doc_id", "th", "no", "row", "size", "parity", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
+    sets = keep(sets, "lines", **plain)
+
+    # Sets in the order of their first lines, with numbers in that order.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "no", "row")).alias("first")
+    firsts = sets.groupBy("k1", "k2").agg(first).orderBy("first").withColumn("id", F.monotonically_increasing_id())
+    firsts = keep(firsts, "firsts")
+    # Above 75 %, sets of up to three tokens resemble only their equals.
+    alone = sets.where("size >= 4") if percent > 75 else sets
+    alone = alone.join(firsts.select("id", F.col("first.row").alias("row")), "row")
+    reps = keep(alone.select("id", "row", "size", "parity", "index", "prefix"), "sets", **plain)
+    copies = sets.select("doc_id", "th", "no", "k1", "k2").join(firsts.select("k1", "k2", "first"), ["k1", "k2"])
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("no") == F.col("first.no"))
+    copies = keep(copies.where(~same).select("doc_id", "th", "no").distinct(), "copies")
     release(sets)
 
-    near = keep(shared.select(F.explode("near").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
-    gone = keep(_verified(near, docs, ids, percent), "gone")
-
-    # Only rows with a line before them that they haven't met: past the fourth of their token.
-    open_ = shared.where("more").join(gone, "id", "left_anti").select("token", own.alias("b"))
-    pairs = shared.select("token", own.alias("a")).join(open_, "token").where((F.col("a.id") < F.col("b.id")) & may(F.col("a"), F.col("b")))
-    pairs = keep(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(near, ["x", "y"], "left_anti"), "pairs")
-    release(shared)
-    found = gone if pairs.isEmpty() else gone.union(keep(_verified(pairs, docs, ids, percent), "gone"))
-    return later.union(found).select(ids.doc(F.col("id")).alias("doc_id"), ids.no(F.col("id")).alias("line_no"))
+    open_ = reps.withColumn("decided", F.lit(False))
+    probes = _rows(open_, F.slice("prefix", 1, PROBES))
+    leads = probes.groupBy("token").agg(F.min(F.struct("id", "parity", "at")).alias("lead")).select("token", "lead.*")
+    met = keep(_met(probes, leads, percent, False), "met")
+    ends = met.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    rows = keep(reps.select("id", "row").join(ends, "id", "left_semi"), "wanted")
+    few = rows.count() <= BROADCAST
+    gone = _similar(met, hashed.select("row", F.col("h").alias("t")).join(F.broadcast(rows) if few else rows, "row").select("id", "t"), percent)
+    release(hashed, rows)
+
+    marked = keep(reps.drop("row").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False))), "sets", **plain)
+    release(reps)
+    pairs = _met(_rows(marked, F.col("prefix")), _rows(marked, F.slice("prefix", F.lit(1), F.col("index"))), percent, True)
+    pairs = keep(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
+    release(marked, met)
+    gone = gone.union(_similar(pairs, _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), firsts, docs), percent))
+    found = keep(firsts.join(gone, "id").select("first.doc_id", "first.th", "first.no").union(copies), "removed")
+    release(firsts, copies, pairs)
+    return found
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = 80, out: str | None = None) -> DataFrame:
     """docs, each text without the lines that are removed; `out`, if given, counts them."""
-    gone = removed_lines(docs, percent).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    marked = docs.join(keep(gone, "gone"), F.col("doc_id") == F.col("_gone_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return marked.select(*columns, *([F.coalesce(F.size("_gone"), F.lit(0)).alias(out)] if out else []))
+    found = removed_lines(docs.select("doc_id", "text"), percent)
+    gone = found.groupBy("doc_id", "th").agg(F.collect_set("no").alias("nos")).select(F.struct("doc_id", "th", "nos").alias("_gone"))
+    x, g = docs.alias("x"), gone.alias("g")
+    marked = x.join(g, F.col("x.doc_id").eqNullSafe(F.col("g._gone.doc_id")) & (F.xxhash64("x.text") == F.col("g._gone.th")), "left")
+    nos = F.col("g._gone.nos")
+    kept = F.array_join(F.filter(F.split("x.text", "\n"), lambda _, i: ~F.array_contains(nos, i)), "\n")
+    columns = [F.when(nos.isNull(), F.col("x.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"x.`{c}`") for c in docs.columns if c != out]
+    return marked.select(*columns, *([F.coalesce(F.size(nos), F.lit(0)).alias(out)] if out else []))

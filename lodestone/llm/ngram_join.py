@@ -33,10 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, slices
+from .common import Held, keep, release, slices
 from .components import components
 
-CACHED = 400_000
 #: Size of a band's largest set over its smallest; share of segments beyond H + 1; cost of a key of one shingle or none.
 BAND, SLACK, CHANCE = 1.4, 0.12, 6.0
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -48,17 +47,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
+def _word(w: bytes) -> int:
+    import xxhash
 
-        if len(self) >= CACHED:
-            self.clear()
-        out = self[w] = xxhash.xxh3_64_intdigest(w)
-        return out
+    return xxhash.xxh3_64_intdigest(w)
 
 
-_WORDS = _Words()
+_WORDS = Held(_word)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -233,16 +228,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, a = None, set()
         for left, right in batches:
-            out, last, a = [], None, set()
-            for x, y in zip(left, right):
-                x = x.as_py()
-                if x != last:
-                    last, a = x, shingles(tokens(x), n)
-                b = shingles(tokens(y.as_py()), n)
-                both = len(a & b)
-                out.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.array(out, pa.bool_())
+            for at in range(0, len(left), 64):
+                out = []
+                for x, y in zip(left[at : at + 64].to_pylist(), right[at : at + 64].to_pylist()):
+                    if x != last:
+                        last, a = x, shingles(tokens(x), n)
+                    b = shingles(tokens(y), n)
+                    both = len(a & b)
+                    out.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.array(out, pa.bool_())
 
     ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
     texts = ends.join(docs, "doc_id").groupBy("u", "v").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))

@@ -21,30 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices
+from .common import Held, labelled_sample, slices
 
 WORD_BINS, BINS, RANK = 1 << 15, 24, 8
 STATISTICS = ["chars", "words", "word_length", "upper", "digit", "sign", "space", "high", "distinct", "top_word", "lines", "line_length", "repeated_lines", "short_lines", "repeated_pairs", "sign_ends", "top_sign", "long_words"]
 #: Labelled rows that the model is fitted on.
 BOUND = 6000
-CACHED = 400_000
 
 _CLASS = np.zeros(256, np.int8)
 for _c in range(256):
     _CLASS[_c] = 0 if 97 <= _c <= 122 else 1 if 65 <= _c <= 90 else 2 if 48 <= _c <= 57 else 3 if _c in b" \t\n\r\x0b\x0c" else 5 if _c >= 128 else 4
 
 
-class _Places(dict):
-    """Word -> hashed place."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        out = self[word] = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORD_BINS
-        return out
-
-
-_PLACES = _Places()
+#: Word -> hashed place.
+_PLACES = Held(lambda word: zlib.crc32(word.lower().encode("utf-8", "replace")) % WORD_BINS)
 
 
 def _step(share: float) -> int:

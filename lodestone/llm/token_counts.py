@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Held, slices
 
 SPACE = "▁"
 #: By how much an unknown character scores less than the smallest score of the vocabulary.
 UNKNOWN = 10.0
-CACHED = 400_000
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -55,16 +54,7 @@ class Counter:
         if not inner:
             pieces = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if "\n" not in known else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.cut = re.compile(pieces)
-        viterbi = self.viterbi
-
-        class Held(dict):
-            def __missing__(self, chunk: str) -> tuple[int, float]:
-                if len(self) >= CACHED:
-                    self.clear()
-                out = self[chunk] = viterbi(chunk)
-                return out
-
-        self.held = Held()
+        self.held = Held(self.viterbi)
 
     def viterbi(self, chunk: str) -> tuple[int, float]:
         n = len(chunk)

@@ -9,7 +9,9 @@ of n words has the normalised score lambda S - ln(K n), and the best r of them t
 theory. A logistic curve, fitted on texts that gave no counts, turns it into a probability.
 
 Defined results: a null or empty text has no segment and gets the score of a text without any; without labelled
-rows of both classes all scores are 0. Labels of null id or value don't count.
+rows of both classes all scores are 0; where the quarter kept for the curve lacks a class, a fixed curve stands for
+it, under which a text without segments is clean. Labels of null id or value don't count. Repeated rows score alike; a
+text of any length is scored whole; a column named as `out` is replaced, all others are kept; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices, words
+from .common import Held, labelled_sample, release, slices, words
 
 #: Labelled rows that are learnt from; least z and least log-odds ratio (and log ratio of shares) of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
 BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 1 / 30, 0.15
 #: A text's marks: its words and these numbers of first letters.
 PREFIXES = (5, 4)
-CACHED = 400_000
 
 
 def marks(text: str | None) -> set[str]:
@@ -49,7 +50,8 @@ class Lexicon:
 
     def __init__(self, scores: dict[str, float], drift: float = DRIFT):
         self.scores, self.drift = scores, drift
-        self.lam, self.k, self.a, self.b = 1.0, 0.1, 1.0, 0.0
+        # Until they are fitted: a usual K, and a curve that takes a text without segments for clean.
+        self.lam, self.k, self.a, self.b = 1.0, 0.1, 2.0, -3.0
 
     def word(self, w: str) -> float:
         for mark in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)):
@@ -58,7 +60,11 @@ class Lexicon:
         return -self.drift
 
     def calibrate(self, clean: list[np.ndarray]) -> None:
-        """lambda by bisection on the mixture of word scores in clean texts; K = 0.1, the usual order, is absorbed by the curve."""
+        """lambda and K from the word scores of clean texts.
+
+        lambda by bisection on their mixture. K n exp(-lambda S) of a text's best segment is exponential of mean 1
+        under the theory, so K is the number of texts over the sum of n exp(-lambda S).
+        """
         s = np.concatenate([*clean, np.array([max(self.scores.values(), default=1.0), -self.drift])])
         values, n = np.unique(np.round(s, 3), return_counts=True)
         p = n / n.sum()
@@ -67,6 +73,9 @@ class Lexicon:
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if float(p @ np.exp(mid * values)) < 1 else (lo, mid)
         self.lam = max(lo, 0.05)
+        best = [max((x[2] for x in segments(s)), default=0.0) for s in clean]
+        total = sum(max(10, len(s)) * math.exp(-self.lam * b) for s, b in zip(clean, best))
+        self.k = min(1.0, max(1e-4, len(clean) / total)) if total > 0 else 0.1
 
     def statistic(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Sum statistic of extreme-value theory: largest over r of the r best normalised scores and ln r!; 0 if none."""
@@ -122,18 +131,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - l) for s, e, l, r, _ in held]
 
 
-class _Held(dict):
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-
-    def __missing__(self, w: str) -> float:
-        if len(self) >= CACHED:
-            self.clear()
-        out = self[w] = self.lexicon.word(w)
-        return out
-
-
-def _scores(held: _Held, text: str | None) -> np.ndarray:
+def _scores(held: Held, text: str | None) -> np.ndarray:
     found = words(text)
     return np.fromiter(map(held.__getitem__, found), float, len(found))
 
@@ -154,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
     firsts = own.groupBy("print", "y").agg(F.min_by("marks", "_id").alias("marks"))
     n = {x.y: x.n for x in firsts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
+        release(sample)
         return None
     counts = firsts.select("y", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("y").alias("y1"), F.sum(1 - F.col("y")).alias("y0"))
     share = (F.col("y1") + F.col("y0")) / float(n[0] + n[1])
@@ -170,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
 
     @F.arrow_udf("n int, hits array<double>, at array<int>")
     def lined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = _Held(held.value)
+        cache = Held(held.value.word)
         kind = pa.struct([("n", pa.int32()), ("hits", pa.list_(pa.float64())), ("at", pa.list_(pa.int32()))])
         for batch in slices(batches):
             out = []
@@ -181,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_
             yield pa.array(out, kind)
 
     rest = sample.where(~counting).select("_id", "y", lined("text").alias("l")).orderBy("_id").toPandas()
+    release(sample)
     if rest.y.nunique() < 2:
         return lexicon
     # The background must lose: the drift is at least twice what lexicon words gain for each other word of clean texts.
@@ -207,7 +207,7 @@ def score(docs: DataFrame, lexicon: Lexicon | None, out: str = "toxicity") -> Da
     @F.arrow_udf(kind)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
-        cache = _Held(own)
+        cache = Held(own.word)
         arrow = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
         for batch in slices(batches):
             rows = []

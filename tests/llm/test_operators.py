@@ -124,6 +124,37 @@ def test_line_dedup_links_three_and_four_tokens_at_75(spark):
     assert not line_dedup.removed_lines(frame(spark, docs), 76).collect()
 
 
+def test_line_dedup_of_any_ids(spark):
+    """Rows of one id are different documents unless their texts agree; ids may be strings or null; other columns stay."""
+    one, two = "alpha beta gamma delta epsilon", "zeta eta theta iota kappa"
+    rows = [("b", one + "\n" + two, 1, 2), ("b", "rest of b here alone\n" + one, 3, 4), ("a", two, 5, 6), ("a", two, 7, 8), (None, "new words of no id\n" + one + "\n" + two, 9, 10), ("c", None, 11, 12), ("d", "own\tline\r\nown line", 13, 14), ("e", one.upper() + " " + " ".join(one.split()[::-1]), 15, 16)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, th int, id int")
+    got = {x.id: (x.doc_id, x.text, x.th, x.n) for x in line_dedup.without_repeated_lines(docs, out="n").collect()}
+    # both rows of `a` are one document and the first; of the rows of `b`, the one of the smaller text hash is first
+    assert got[6] == ("a", two, 5, 0) and got[8] == ("a", two, 7, 0) and got[10] == (None, "new words of no id", 9, 2)
+    assert {got[2][1], got[4][1]} in ({one, "rest of b here alone"}, {"", "rest of b here alone\n" + one})
+    assert got[12] == ("c", None, 11, 0) and got[14] == ("d", "own\tline\r", 13, 1) and got[16][1] == ""
+    assert line_dedup.without_repeated_lines(docs, out="th").columns == ["doc_id", "text", "id", "th"]
+    assert not line_dedup.removed_lines(spark.createDataFrame([(1, None), (2, ""), (3, " \n\t")], "doc_id long, text string")).collect()
+
+
+def test_line_dedup_without_broadcasts(spark, texts, monkeypatch):
+    r = random.Random(12)
+    docs = frame(spark, ["\n".join(r.choice(texts) or "" for _ in range(3)) for _ in range(80)])
+    few = {(x.doc_id, x.no) for x in line_dedup.removed_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    assert few and {(x.doc_id, x.no) for x in line_dedup.removed_lines(docs).collect()} == few
+
+
+def test_held_is_bounded():
+    from lodestone.llm.common import Held
+
+    made_ = []
+    held = Held(lambda k: made_.append(k) or len(k), size=3, longest=4)
+    assert [held[k] for k in ("a", "bb", "a", "longer", "longer", "c", "d", "a")] == [1, 2, 1, 6, 6, 1, 1, 1]
+    assert made_ == ["a", "bb", "longer", "longer", "c", "d", "a"] and len(held) <= 3
+
+
 def test_token_ids_of_long_blanks():
     ids = packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
     assert ids.fast
@@ -227,6 +258,11 @@ def test_decontamination_equals_brute_force(spark):
         assert sum(len(split(t[s.start : s.end])) for s in c.spans) == len(hit)
         some += bool(hit)
     assert some > 15
+    parts = decontaminate.decontaminated(frame(spark, texts), bench, out="c", block_words=40, held=1, gathered=1000)
+    assert {x.doc_id: x.c for x in parts.collect()} == got  # several automata, each in turn
+    empty = decontaminate.decontaminated(frame(spark, texts), bench.limit(0), out="key")
+    assert {x.key.n_hit for x in empty.collect()} == {0} and empty.columns == frame(spark, []).columns
+    assert decontaminate.decontaminated(frame(spark, ["x"]).limit(0), bench).count() == 0
 
 
 def test_token_counts_equal_the_tokenizer(spark, texts):
@@ -341,6 +377,11 @@ def test_toxicity_held_out(spark):
     assert right >= 0.97 * len(held) and got[500].score == got[501].score < 0.3 and got[500].segments == []
     assert toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), "toxic", 4, 2) is None
     assert {x.toxicity.score for x in toxicity.score(docs, None).collect()} == {0.0}
+    # Labels that leave the curve without a class: texts without segments are clean.
+    few = toxicity.fit(docs, spark.createDataFrame(labels[:6], "doc_id long, toxic int"), "toxic", 4, 2)
+    assert few is None or max(x.toxicity.score for x in toxicity.score(docs, few).collect()) < 0.3
+    assert toxicity.Lexicon({}).probability(0.0) < 0.3
+    assert toxicity.score(docs.limit(0), lex).count() == 0
 
 
 def test_quality(spark):
