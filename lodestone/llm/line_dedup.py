@@ -4,8 +4,8 @@ A line is the set of its lower-cased tokens between blanks. Its tokens are order
 all tokens in BUCKETS hash buckets, a table of fixed size). Two lines of Jaccard similarity t share at least
 need = ceil(t (|x| + |y|) / (1 + t)) tokens, so the first token that they share, in that order, has need - 1 tokens
 after it in both: it stands in both prefixes, at positions that leave room for need. Lines are joined on prefix
-tokens under this positional filter, the length filter, and a bound from 64 parity bits of their sets; what is left is
-verified on the lines' tokens. A line is removed if a line before it is similar. Lines of equal sets are one from the
+tokens under this positional filter, the length filter, and a bound from parity bits of their sets (64, and 128 of
+lines of more than LONG tokens); what is left is verified on the lines' tokens. A line is removed if a line before it is similar. Lines of equal sets are one from the
 start, and the first of them stands for all.
 
 A line needs one similar line before it, not all. So each line first meets the first line of each of its PROBES rarest
@@ -23,8 +23,6 @@ columns are kept, whatever their names, except that `out` replaces a column of t
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +34,8 @@ BUCKETS, PROBES = 1 << 18, 3
 _BITS = 45
 #: Lines whose names are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 19
+#: Lines of more tokens have two words of parity bits.
+LONG = 100
 _BLANKS = "\t\r\x0b\x0c"
 
 
@@ -58,15 +58,18 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda x: F.xxhash64(x)))
 
 
-def _ranks(hashed: DataFrame) -> list[int]:
-    """The place of each bucket of token hashes in the order of its count, the rarest first, above the other bits."""
+def _ranks(hashed: DataFrame) -> Column:
+    """The place of each bucket of token hashes in the order of its count, the rarest first, above the other bits.
+
+    As a scalar subquery of a written row: a literal of this size would stand in the text of every plan.
+    """
     counts = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     found = counts.toPandas()  # BUCKETS rows at most
     n = np.zeros(BUCKETS, np.int64)
     n[found["b"].to_numpy()] = found["count"].to_numpy()
     out = np.empty(BUCKETS, np.int64)
     out[np.argsort(n, kind="stable")] = np.arange(BUCKETS) << _BITS
-    return out.tolist()
+    return keep(hashed.sparkSession.createDataFrame([(out.tolist(),)], "ranks array<long>"), "ranks").scalar()
 
 
 def _parity(hashes: Column) -> Column:
@@ -75,6 +78,13 @@ def _parity(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _differ_at_least(a: str, b: str) -> Column:
+    """Bits in which parities differ; the two words of a long line, odd and p2, fold into one for a short one."""
+    odd, p2 = F.col(f"odd{a}").bitwiseXOR(F.col(f"odd{b}")), F.col(f"p2{a}").bitwiseXOR(F.col(f"p2{b}"))
+    both_long = (F.col(f"p2{a}") != 0) & (F.col(f"p2{b}") != 0)
+    return F.when(both_long, F.bit_count(odd.bitwiseXOR(p2)) + F.bit_count(p2)).otherwise(F.bit_count(odd))
+
+
 def _quarter(q: int):
     """Hashes by the two bits above."""
     return lambda h: h.bitwiseAND(F.lit(192)) == 64 * q
@@ -86,10 +96,10 @@ def _need(total: Column, percent: int) -> Column:
 
 
 def _rows(lines: DataFrame, tokens: Column) -> DataFrame:
-    """token, id, parity, at (size and position) for each of the tokens; of decided lines, `at` is negative."""
-    own = lines.select("id", "parity", "size", "decided", F.posexplode(tokens).alias("pos", "token"))
+    """token, id, odd, p2, at (size and position) for each of the tokens; of decided lines, `at` is negative."""
+    own = lines.select("id", "odd", "p2", "size", "decided", F.posexplode(tokens).alias("pos", "token"))
     at = F.col("size").cast("long") * F.lit(1 << 32) + F.col("pos")
-    return own.select("token", "id", "parity", F.when(F.col("decided"), -at).otherwise(at).alias("at"))
+    return own.select("token", "id", "odd", "p2", F.when(F.col("decided"), -at).otherwise(at).alias("at"))
 
 
 def _met(rows: DataFrame, others: DataFrame, percent: int, shorter: bool) -> DataFrame:
@@ -97,14 +107,13 @@ def _met(rows: DataFrame, others: DataFrame, percent: int, shorter: bool) -> Dat
 
     shorter: `others` are met as the shorter of two lines only, or the earlier of two of one size.
     """
-    a = others.select("token", F.col("id").alias("a"), F.col("parity").alias("pa"), F.col("at").alias("ta"))
-    b = rows.select("token", F.col("id").alias("b"), F.col("parity").alias("pb"), F.col("at").alias("tb"))
+    a, b = (x.select("token", F.col("id").alias(n), F.col("odd").alias(f"odd{n}"), F.col("p2").alias(f"p2{n}"), F.col("at").alias(f"t{n}")) for x, n in ((others, "a"), (rows, "b")))
     size_a, size_b = (F.shiftright(F.abs(c), 32) for c in ("ta", "tb"))
     at_a, at_b = (F.abs(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("ta", "tb"))
     need = _need(size_a + size_b, percent)
     order = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b"))) if shorter else F.col("a") < F.col("b")
     undecided = F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")) > 0
-    fits = (at_a + need <= size_a) & (at_b + need <= size_b) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= size_a + size_b - 2 * need)
+    fits = (at_a + need <= size_a) & (at_b + need <= size_b) & (_differ_at_least("a", "b") <= size_a + size_b - 2 * need)
     return a.join(b, "token").where(order & fits & undecided).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
@@ -151,13 +160,14 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, th, no of every line that a line before it resembles; percent: the least similarity."""
     plain = {"parquet.enable.dictionary": "false"}
     hashed = keep(lines(docs).select("doc_id", "th", "no", F.monotonically_increasing_id().alias("row"), _hashes(F.col("line")).alias("h")), "hashes", **plain)
-    ranks = F.from_json(F.lit(json.dumps(_ranks(hashed))), "array<long>")
-    ranked = F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _BITS)))
+    ranked = F.transform("h", lambda h: F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _BITS)))
     size = F.size("h")
     # Prefixes for a partner of any size, and how much of them for one that is no shorter.
     most, index = (size - F.ceil(size * percent / 100) + 1).cast("int"), (size - _need(2 * size, percent) + 1).cast("int")
-    sets = hashed.select("doc_id", "th", "no", "row", size.alias("size"), _parity(F.col("h")).alias("parity"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
-    sets = sets.select("doc_id", "th", "no", "row", "size", "parity", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
+    p2 = F.when(size > LONG, _parity(F.filter("h", lambda h: h.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    sets = hashed.withColumn("ranks", _ranks(hashed))
+    sets = sets.select("doc_id", "th", "no", "row", size.alias("size"), _parity(F.col("h")).alias("odd"), p2.alias("p2"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
+    sets = sets.select("doc_id", "th", "no", "row", "size", "odd", "p2", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
     sets = keep(sets, "lines", **plain)
 
     # Sets in the order of their first lines, with numbers in that order.
@@ -167,7 +177,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Above 75 %, sets of up to three tokens resemble only their equals.
     alone = sets.where("size >= 4") if percent > 75 else sets
     alone = alone.join(firsts.select("id", F.col("first.row").alias("row")), "row")
-    reps = keep(alone.select("id", "row", "size", "parity", "index", "prefix"), "sets", **plain)
+    reps = keep(alone.select("id", "row", "size", "odd", "p2", "index", "prefix"), "sets", **plain)
     copies = sets.select("doc_id", "th", "no", "k1", "k2").join(firsts.select("k1", "k2", "first"), ["k1", "k2"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("no") == F.col("first.no"))
     copies = keep(copies.where(~same).select("doc_id", "th", "no").distinct(), "copies")
@@ -175,7 +185,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     open_ = reps.withColumn("decided", F.lit(False))
     probes = _rows(open_, F.slice("prefix", 1, PROBES))
-    leads = probes.groupBy("token").agg(F.min(F.struct("id", "parity", "at")).alias("lead")).select("token", "lead.*")
+    leads = probes.groupBy("token").agg(F.min(F.struct("id", "odd", "p2", "at")).alias("lead")).select("token", "lead.*")
     met = keep(_met(probes, leads, percent, False), "met")
     ends = met.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     rows = keep(reps.select("id", "row").join(ends, "id", "left_semi"), "wanted")
