@@ -341,6 +341,58 @@ def test_html_host_repeats(spark):
     assert {got[20 + i] for i in range(5)} == {words(50)}
 
 
+def test_html_repeats_equal_brute_force(spark):
+    """Long repeats found by comparing all pages of a host with each other, extended token by token."""
+    r, pages = random.Random(21), []
+    parts = [" ".join(f"b{k}t{i}" for i in range(r.randrange(3, 20))) for k in range(6)]
+    for i in range(24):
+        divs = [" ".join(f"p{i}d{k}x{j}" for j in range(r.randrange(2, 15))) for k in range(3)] + [x for x in parts if r.random() < 0.6]
+        r.shuffle(divs)
+        if r.random() < 0.3:
+            divs.append(parts[0] + f" own{i} tail{i}")
+        art = f"<article>{' '.join(f'a{i}w{j}' for j in range(r.choice([2, 90])))}</article>" if i % 3 == 0 else ""
+        pages.append((i, "http://x.org/a", f"<nav>menu of all</nav>{art}" + "".join(f"<div>{d}</div>" for d in divs)))
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    own = {i: html_text.blocks(h) for i, _, h in pages}
+    streams = {i: [t for part, text in b if part != "main" for t in text.split(" ")] for i, b in own.items()}
+    bare = {i for i, b in own.items() if all(p != "main" for p, _ in b)}
+    inside = lambda run, s: any(s[k : k + len(run)] == run for k in range(len(s) - len(run) + 1))
+
+    def often(holders):
+        return len(holders) >= 3 and (2 * len(holders) >= len(pages) or (len(holders & bare) >= 3 and 2 * len(holders & bare) >= len(bare)))
+
+    cut = 0
+    for i, b in own.items():
+        s, marked, at, out = streams[i], set(), 0, []
+        for k in range(len(s) - 5):
+            if often({j for j, o in streams.items() if inside(s[k : k + 6], o)}):
+                marked |= set(range(k, k + 6))
+        for part, text in b:
+            if part == "main":
+                out.append((part, text))
+                continue
+            w = text.split(" ")
+            if len(w) < 6 and often({j for j, o in own.items() if (text in [t for p, t in o if p != "main"])}):
+                marked |= set(range(at, at + len(w)))
+            left = [t for k, t in enumerate(w, at) if k not in marked]
+            at += len(w)
+            if part == "open":
+                cut += len(w) != len(left)
+                out.append((part, " ".join(left) if 2 * (len(w) - len(left)) >= len(w) else text))
+        main, rest = (sum(len(t) for p, t in out if p == part) for part in ("main", "open"))
+        assert got[i] == "\n".join(t for p, t in out if t and (p == "main" or not main or rest > main)), i
+    assert cut > 20
+
+
+def test_html_teasers_and_pages_without_host(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    body = f"<h1>Head</h1><div class=content>{words}</div><article>teaser</article>"
+    rows = [(1, "http://a.org/1", body, "x"), (2, None, f"<p>{words}</p>", "y"), (3, None, f"<div><p>{words}</p></div>", "z"), (4, "", f"<p>{words}</p><p>more</p>", None), (4, "", f"<p>{words}</p><p>more</p>", None)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert got.columns == ["page_id", "url", "text"]
+    assert sorted((x.page_id, x.text) for x in got.collect()) == [(1, f"Head\n{words}\nteaser"), (2, words), (3, words), (4, f"{words}\nmore"), (4, f"{words}\nmore")]
+
+
 def test_segments_are_maximal():
     """Against the definition: repeatedly take the best run and go on left and right of it."""
     rng = np.random.default_rng(0)
