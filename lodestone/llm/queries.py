@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, html_text, licenses, line_dedup, ngram_join, packing, quality, token_counts, toxicity
 from .common import crc32_mod, table
+from .oracle import ORACLE_SQL
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,4 +71,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}

@@ -29,6 +29,8 @@ from .common import Held, labelled_sample, release, slices, words
 
 #: Labelled rows that are learnt from; least z and least log-odds ratio (and log ratio of shares) of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
 BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 1 / 30, 0.15
+#: Share of clean texts at whose tail K is estimated.
+TAIL = 0.003
 #: A text's marks: its words and these numbers of first letters.
 PREFIXES = (5, 4)
 
@@ -62,8 +64,9 @@ class Lexicon:
     def calibrate(self, clean: list[np.ndarray]) -> None:
         """lambda and K from the word scores of clean texts.
 
-        lambda by bisection on their mixture. K n exp(-lambda S) of a text's best segment is exponential of mean 1
-        under the theory, so K is the number of texts over the sum of n exp(-lambda S).
+        lambda by bisection on their mixture. Under the theory a text's best segment reaches x = lambda S - ln n with
+        probability 1 - exp(-K exp(-x)); K is read off at the value that TAIL of the clean texts reach,
+        and is no less than its usual order, 0.1, as few clean texts have words of the lexicon.
         """
         s = np.concatenate([*clean, np.array([max(self.scores.values(), default=1.0), -self.drift])])
         values, n = np.unique(np.round(s, 3), return_counts=True)
@@ -73,9 +76,9 @@ class Lexicon:
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if float(p @ np.exp(mid * values)) < 1 else (lo, mid)
         self.lam = max(lo, 0.05)
-        best = [max((x[2] for x in segments(s)), default=0.0) for s in clean]
-        total = sum(max(10, len(s)) * math.exp(-self.lam * b) for s, b in zip(clean, best))
-        self.k = min(1.0, max(1e-4, len(clean) / total)) if total > 0 else 0.1
+        best = [self.lam * max((x[2] for x in segments(s)), default=0.0) - math.log(max(10, len(s))) for s in clean]
+        if best:
+            self.k = min(1e3, max(0.1, -math.log(1 - TAIL) * math.exp(float(np.quantile(best, 1 - TAIL)))))
 
     def statistic(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Sum statistic of extreme-value theory: largest over r of the r best normalised scores and ln r!; 0 if none."""
