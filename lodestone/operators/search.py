@@ -60,3 +60,45 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     own = df.orderBy(*order).limit(offset + limit + 1).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     more = F.max("pos").over(Window.partitionBy(F.lit(1))) > offset + limit
     return own.withColumn("has_more", more).where((F.col("pos") > offset) & (F.col("pos") <= offset + limit)).withColumn("next_offset", F.when(F.col("has_more"), F.lit(offset + limit)))
+
+
+def rerank_head(limit: int, configured: int = 40) -> int:
+    """How many of the fused candidates are scored again."""
+    return max(configured, 2 * limit)
+
+
+def reranked(pool: DataFrame, key: str, windows: DataFrame, limit: int, configured: int = 40) -> DataFrame:
+    """The head of the pool by (rerank desc, rrf desc, key); rerank is the best score over a text's windows.
+
+    pool: key, rrf, and what else comes along; windows: key, score. What has no window scores least.
+    """
+    head = pool.orderBy(F.desc("rrf"), key).limit(rerank_head(limit, configured))
+    best = windows.join(F.broadcast(head.select(key)), key, "left_semi").groupBy(key).agg(F.max("score").alias("rerank"))
+    return head.join(best, key, "left").orderBy(F.desc_nulls_last("rerank"), F.desc("rrf"), key)
+
+
+def blocked_rules(rules: DataFrame, cases: DataFrame, block: int = 64) -> DataFrame:
+    """evidence_id of the rules of which some text that isn't blank stands in a span of an excluded case, and of their siblings.
+
+    rules: evidence_id, group_id, source_id, start, end, text (of the span); cases: source_id, start, end; offsets of
+    characters, ends excluded. A rule with the group of a blocked one goes with it.
+    """
+    from . import spans
+
+    a = rules.where("end > start").select("source_id", F.struct("evidence_id", "group_id", "start", "text").alias("a_id"), F.col("start").alias("a_start"), (F.col("end") - 1).alias("a_end"))
+    b = cases.where("end > start").select("source_id", F.lit(0).alias("b_id"), F.col("start").alias("b_start"), (F.col("end") - 1).alias("b_end"))
+    meets = spans.overlapping(a, b, ["source_id"], block)
+    shared = F.substring(F.col("a_id.text"), (F.greatest("a_start", "b_start") - F.col("a_start") + 1).cast("int"), (F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1).cast("int"))
+    groups = meets.where(F.trim(F.regexp_replace(shared, r"\s+", " ")) != "").select(F.col("a_id.group_id").alias("group_id")).distinct()
+    return rules.join(groups, "group_id", "left_semi").select("evidence_id").distinct()
+
+
+def context_packed(df: DataFrame, item: str, contexts: Column, used: Column, most: int) -> DataFrame:
+    """item, included and omitted ids: an item's contexts (id, size) in order, while they fit what is left of the budget; what doesn't fit is left out, not the end."""
+    start = F.struct(used.cast("long").alias("used"), F.from_json(F.lit("[]"), "array<string>").alias("yes"), F.from_json(F.lit("[]"), "array<string>").alias("no"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["used"] + x["size"] <= most
+        return F.struct((s["used"] + F.when(fits, x["size"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(s["yes"], x["id"])).otherwise(s["yes"]).alias("yes"), F.when(fits, s["no"]).otherwise(F.array_append(s["no"], x["id"])).alias("no"))
+
+    return df.select(item, F.aggregate(contexts, start, step).alias("x")).select(item, F.col("x.yes").alias("included"), F.col("x.no").alias("omitted"), F.col("x.used").alias("used"))

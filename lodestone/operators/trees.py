@@ -48,3 +48,52 @@ def resolved(references: DataFrame, targets: DataFrame, approved: str) -> DataFr
     """
     both = references.join(targets, "target", "left").withColumn("_ok", F.coalesce(F.col(approved), F.lit(False)))
     return both.groupBy("reference").agg(F.count("*").alias("n_targets"), F.count_if("_ok").alias("n_approved"), F.bool_and("_ok").alias("ok"))
+
+
+def related(evidence: DataFrame, node: str, id_: str, status: str, most: int = 10) -> DataFrame:
+    """For each node: total, the first `most` ids in order, the first eligible ones, and counts by status as text.
+
+    Only the first ids of a node are gathered, found by rank; counts are formed before the shuffle.
+    """
+    own = evidence.select(node, id_, F.coalesce(status, F.lit("pending")).alias("_s"))
+    counts = own.groupBy(node, "_s").agg(F.count("*").alias("_n")).groupBy(node).agg(F.sum("_n").alias("total"), F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_c"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        top = df.withColumn("_r", F.row_number().over(Window.partitionBy(node).orderBy(id_))).where(F.col("_r") <= most)
+        return top.groupBy(node).agg(F.array_sort(F.collect_list(id_)).alias(name))
+
+    out = counts.join(first(own, "ids"), node, "left").join(first(own.where("_s = 'eligible'"), "eligible_ids"), node, "left")
+    return out.withColumn("quality", F.array_join(F.transform("_c", lambda x: F.concat(x["_s"], F.lit(":"), x["_n"])), ",")).withColumn("has_more", F.col("total") > most).drop("_c")
+
+
+def by_alias(references: DataFrame, targets: DataFrame) -> DataFrame:
+    """reference with the id it names: by id, else by alias (the smallest id of those that share one), else null.
+
+    references: reference; targets: id, aliases.
+    """
+    ids = targets.select(F.col("id").alias("reference"), F.col("id").alias("_by_id")).distinct()
+    aliases = targets.select("id", F.explode("aliases").alias("reference")).groupBy("reference").agg(F.min("id").alias("_by_alias"))
+    both = references.join(ids, "reference", "left").join(aliases, "reference", "left")
+    return both.select(*references.columns, F.coalesce("_by_id", "_by_alias").alias("id"), F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_alias").isNotNull(), "alias").alias("via"))
+
+
+def members(df: DataFrame, declared: str, unit: str) -> DataFrame:
+    """Units with the event they belong to (declared, or themselves) and the other units of it, in order.
+
+    The lists are as long as an event has units; an event is a few tellings of one matter.
+    """
+    own = df.select(F.col(unit), F.coalesce(F.col(declared), F.col(unit)).alias("event"))
+    lists = own.groupBy("event").agg(F.array_sort(F.collect_set(unit)).alias("_all"))
+    return own.join(lists, "event").select(unit, "event", F.array_remove("_all", F.col(unit)).alias("others"))
+
+
+def expanded_casts(units: DataFrame, unit: str, casts: str) -> DataFrame:
+    """One record for each cast of a unit; the first keeps the unit's id, the others are named `.cast2` and so on."""
+    own = units.select(unit, F.posexplode(casts).alias("pos", "cast"))
+    return own.select(F.when(F.col("pos") == 0, F.col(unit).cast("string")).otherwise(F.concat(F.col(unit).cast("string"), F.lit(".cast"), F.col("pos") + 1)).alias("record_id"), unit, (F.col("pos") + 1).alias("cast_index"), "cast")
+
+
+def in_order(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Distinct values of each group in the order in which they first stand."""
+    firsts = df.groupBy(by, value).agg(F.min(order).alias("_o"))
+    return firsts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias(f"{value}s"))

@@ -605,3 +605,6 @@ def context_expansion(spark, d):
 
     w = Window.partitionBy("conv_id")
     return _t(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.col("turn") - 2, F.min("turn").over(w)).alias("from"), F.least(F.col("turn") + 2, F.max("turn").over(w)).alias("to"))
+
+
+from . import builds  # noqa: E402,F401  registers its queries
