@@ -282,7 +282,7 @@ def rerank_order(spark, d):
 _RULES = "SELECT doc_id, source, doc_id % 40 AS g, (doc_id * 37) % 800 AS s, (doc_id * 37) % 800 + 50 AS e, CASE WHEN doc_id % 6 = 0 THEN repeat(' ', 50) ELSE rpad(coalesce(text, ''), 50, '.') END AS t FROM documents WHERE doc_id % 2 = 1 OR doc_id % 6 = 0"
 
 
-@_query(f"""WITH r AS ({_RULES}), c AS (SELECT source, (doc_id * 53) % 800 AS s, (doc_id * 53) % 800 + 9 AS e FROM documents WHERE doc_id % 10 = 4),
+@_query(f"""WITH r AS ({_RULES}), c AS (SELECT source, (doc_id * 53) % 800 AS s, (doc_id * 53) % 800 + 9 AS e FROM documents WHERE doc_id % 10 = 5),
 g AS (SELECT DISTINCT r.g FROM r JOIN c ON r.source = c.source AND r.s < c.e AND c.s < r.e WHERE trim(regexp_replace(substr(t, (greatest(r.s, c.s) - r.s + 1)::INTEGER, (least(r.e, c.e) - greatest(r.s, c.s))::INTEGER), '\\s+', ' ', 'g')) <> '')
 SELECT doc_id AS evidence_id FROM r WHERE g IN (SELECT g FROM g)""")
 def rule_exclusion(spark, d):
@@ -290,5 +290,5 @@ def rule_exclusion(spark, d):
     docs = _t(spark, d, "documents")
     text = F.when(k % 6 == 0, F.repeat(F.lit(" "), 50)).otherwise(F.rpad(F.coalesce("text", F.lit("")), 50, "."))
     rules = docs.where((k % 2 == 1) | (k % 6 == 0)).select(k.alias("evidence_id"), (k % 40).alias("group_id"), F.col("source").alias("source_id"), ((k * 37) % 800).alias("start"), ((k * 37) % 800 + 50).alias("end"), text.alias("text"))
-    cases = docs.where(k % 10 == 4).select(F.col("source").alias("source_id"), ((k * 53) % 800).alias("start"), ((k * 53) % 800 + 9).alias("end"))
+    cases = docs.where(k % 10 == 5).select(F.col("source").alias("source_id"), ((k * 53) % 800).alias("start"), ((k * 53) % 800 + 9).alias("end"))
     return search.blocked_rules(rules, cases)
