@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.publish import shared_dir
+
+#: Rounds after which labels must have settled; they halve the longest path each time.
+ROUNDS = 64
+
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder: the one the session names, a temporary one only where it names none."""
+    """The shared folder as the context's checkpoint folder, where it has none."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groups-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def grouped(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def grouped(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     _checkpoints(nodes.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(F.col(key).alias("n"), F.col(key).alias("g")).distinct().checkpoint()
-    while True:
+    for _ in range(ROUNDS):
         near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("g").alias("m"))
         sunk = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("g", F.coalesce("m", "g")).alias("g"))
         # The label's own label is at most the label: one jump halves a path.
@@ -31,6 +34,7 @@ def grouped(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
         if new.join(labels.toDF("o", "og"), F.col("n") == F.col("o")).where("g != og").isEmpty():
             return labels.select(F.col("n").alias(key), F.col("g").alias("group"))
         labels = new
+    raise RuntimeError("the groups did not settle")
 
 
 def blocked_pairs(df: DataFrame, key: str, block: list[str], test: Column) -> DataFrame:

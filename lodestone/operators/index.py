@@ -52,3 +52,57 @@ def unmatched(terms: list[str], docs: DataFrame, tokens: Column, scope: Column)
     found = docs.where(scope).agg(*(F.max(F.array_contains(tokens, t)).alias(f"t{i}") for i, t in enumerate(terms)))
     pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.coalesce(F.col(f"t{i}"), F.lit(False)).alias("hit")) for i, t in enumerate(terms)))
     return found.select(F.explode(pairs).alias("x")).where("not x.hit").select("x.term")
+
+
+#: Partitions of stored postings: a query reads those of its terms.
+TERM_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def stored(docs: DataFrame, key: str, focus: Column, body: Column, folder: str) -> None:
+    """Writes an inverted index: postings (bucket, term, key, counts, length), terms (document frequencies), one row of statistics.
+
+    Postings are partitioned by a hash of the term and sorted by it, so a query reads a few row groups of a few files.
+    Texts are tokenized once. A frequent term's postings are spread over the tasks of its bucket by key.
+    """
+    own = docs.select(key, focus.alias("_f"), body.alias("_b"))
+    size = (F.size("_f") + F.size("_b")).cast("long")
+    rows = postings(own, key, F.col("_f"), F.col("_b")).join(own.select(key, size.alias("len")), key).withColumn("bucket", _bucket(F.col("term")))
+    rows.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    held = docs.sparkSession.read.parquet(f"{folder}/postings")
+    held.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    own.agg(F.count("*").alias("n"), F.avg(size).alias("mean")).write.mode("overwrite").parquet(f"{folder}/statistics")
+
+
+class Stored:
+    """An index that `stored` wrote. Statistics are those of the whole of it; scopes restrict candidates."""
+
+    def __init__(self, spark, folder: str, key: str):
+        self.key = key
+        self.postings, self.terms, self.statistics = (spark.read.parquet(f"{folder}/{t}") for t in ("postings", "terms", "statistics"))
+
+    def _of(self, df: DataFrame, terms: list[str]) -> DataFrame:
+        names = F.array(*map(F.lit, terms))
+        buckets = [r.b for r in df.sparkSession.range(1).select(F.explode(F.transform(names, _bucket)).alias("b")).distinct().collect()]
+        return df.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def bm25(self, terms: list[str], focus_weight: float, scope: DataFrame | None = None) -> DataFrame:
+        """(key, score) of documents that hold a term; scope: a table of keys that may."""
+        terms = list(dict.fromkeys(terms))
+        rows = self._of(self.postings, terms)
+        if scope is not None:
+            rows = rows.join(scope.select(self.key).distinct(), self.key, "left_semi")
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = self._of(self.terms, terms).crossJoin(F.broadcast(self.statistics)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "mean")  # a row for each term
+        f = focus_weight * F.col("tf_focus") + F.col("tf_body")
+        part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+        return rows.join(F.broadcast(weights), "term").groupBy(self.key).agg(F.sum(part).alias("score"))
+
+    def unmatched(self, terms: list[str], scope: DataFrame) -> list[str]:
+        """Terms that no document in scope holds."""
+        rows = self._of(self.postings, terms).join(scope.select(self.key).distinct(), self.key, "left_semi")
+        held = {r.term for r in rows.select("term").distinct().collect()}  # at most the terms
+        return [t for t in terms if t not in held]
