@@ -77,6 +77,18 @@ def setting(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of a batch for Python at most: texts may be long, and executors hold a batch or two of each task.
+BATCH = 512
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """From now on the session hands Python batches of BATCH rows at most; for results that are computed when they are read."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(conf.get(name))
+    if held <= 0 or held > BATCH:
+        conf.set(name, str(BATCH))
+
+
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
@@ -85,7 +97,7 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
-    with setting(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
+    with setting(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxRecordsPerBatch=str(BATCH)):
         df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path

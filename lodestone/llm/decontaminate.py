@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, word_bytes
+from .common import WORD, bounded_batches, slices, word_bytes
 
 WINDOW = 13
 #: Words of benchmark text in one automaton (some 50 bytes for each of its at most 13 x so many nodes); automata that a
@@ -130,6 +130,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ou
         own.append((x.i, x.t))
         n += words
     blocks.append(sc.broadcast(own))
+    bounded_batches(docs)
     marked = docs.withColumn(out, _scanner(blocks, size, held, gathered)(F.col("text")))
     c = F.col(out)
     return marked.withColumn(out, c.withField("contaminated", (c.n_hit > 0) & (20 * c.n_hit >= c.n_words)))

@@ -6,7 +6,10 @@ only texts that hold one of the keywords meet any regex, and there only the rule
 overlapping detections an interval goes if one of better priority, or an equal or longer one of the same, contains
 it. What is left gives the labels; base phrases are counted at all places and always keep their label.
 
-Defined results: a null text is an empty one: no words, no places, null first and last word, no labels, score 0.
+Defined results: a null text is an empty one: no words, no places, null first and last word, no labels, score 0;
+repeated rows are marked alike; no rows give none; input columns named as one of ours (COLUMNS) are replaced, all others
+kept. A text is scanned whole, whatever its length; the time for the places of a rule grows with the square of its
+matches in one text.
 """
 
 from __future__ import annotations
@@ -69,6 +72,7 @@ TEMPLATES = [
     (5, "{n}", 0.5),
 ]
 PRIORITIES = 5
+COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score")
 
 
 def rules() -> list[dict]:
@@ -93,6 +97,11 @@ _RULE = "array<struct<label:string,keyword:string,pattern:string,priority:int,we
 _SPAN = "array<struct<start:int,less:int,priority:int,label:string,weight:double>>"
 
 
+def _lower(x: Column) -> Column:
+    """A-Z in lower case and nothing else; texts of ASCII alone take the short way."""
+    return F.when(F.char_length(x) == F.octet_length(x), F.lower(x)).otherwise(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def _spaces(x: Column) -> Column:
     return F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -127,8 +136,9 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     table = rules()
     words = sorted({r["keyword"].strip() for r in table} | {"license"})
     raw = F.coalesce(F.col(text), F.lit(""))
-    folded = F.trim(F.lower(F.regexp_replace(raw, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
-    out = docs.withColumn("_f", folded).withColumn("n_words", F.when(F.col("_f") == "", 0).otherwise(_spaces(F.col("_f")) + 1).cast("long"))
+    folded = F.trim(_lower(F.regexp_replace(raw, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS)).alias("_own")
+    out = docs.select(own, folded.alias("_f")).withColumn("n_words", F.when(F.col("_f") == "", 0).otherwise(_spaces(F.col("_f")) + 1).cast("long"))
     # The sign in front lets a match begin at the first word.
     out = out.withColumn("_t", F.when(F.col("_f").rlike(rf"(?:^| )(?:{'|'.join(words)})(?: |$)"), F.concat(F.lit("| "), F.col("_f"), F.lit(" ")))).drop("_f")
     t = F.col("_t")
@@ -140,7 +150,7 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     held = F.filter(F.from_json(F.lit(json.dumps(table)), _RULE), lambda r: F.contains(t, r["keyword"]))
     spans = F.when(t.isNotNull(), _kept(F.flatten(F.transform(held, lambda r: _places(t, r)))))
     out = out.select(
-        *docs.columns,
+        "_own.*",
         "n_words",
         (F.size(p) - 1).cast("long").alias("n_base"),
         F.when(some, _spaces(F.get(p, F.lit(0)))).cast("long").alias("first_word"),

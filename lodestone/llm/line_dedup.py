@@ -8,8 +8,9 @@ tokens under this positional filter, the length filter, and a bound from parity
 lines of more than LONG tokens); what is left is verified on the lines' tokens. A line is removed if a line before it is similar. Lines of equal sets are one from the
 start, and the first of them stands for all.
 
-A line needs one similar line before it, not all. So each line first meets the first line of each of its PROBES rarest
-tokens, which decides most lines of large families; then what is undecided meets all lines of its prefix tokens. Pairs
+A line needs one similar line before it, not all. So each line first meets, for each of its prefix tokens, the first
+lines (of LEADS classes by hash) that have the token among their LEADING rarest ones, which decides most lines of large
+families; then what is undecided meets all lines of its prefix tokens. Pairs
 of decided lines aren't formed. Everything is a DataFrame expression: no group is collected, and joins on a token are
 merge joins, which adaptive execution splits where a token is hot.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release
 
-BUCKETS, PROBES = 1 << 18, 3
+BUCKETS, LEADING, LEADS = 1 << 18, 3, 4
 #: Bits of a token's hash beside its bucket; the two make 63 bits, and the bucket gives way to its rank.
 _BITS = 45
 #: Lines whose names are broadcast at most; more are joined by a shuffle.
@@ -117,6 +118,10 @@ def _met(rows: DataFrame, others: DataFrame, percent: int, shorter: bool) -> Dat
     return a.join(b, "token").where(order & fits & undecided).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+
+
 def _sets_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """id, t (token hashes) of the first line of each of those sets, from the texts."""
     nos = F.collect_list(F.struct("id", F.col("first.no").alias("no")))
@@ -169,6 +174,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = sets.select("doc_id", "th", "no", "row", size.alias("size"), _parity(F.col("h")).alias("odd"), p2.alias("p2"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
     sets = sets.select("doc_id", "th", "no", "row", "size", "odd", "p2", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
     sets = keep(sets, "lines", **plain)
+    release(hashed)
 
     # Sets in the order of their first lines, with numbers in that order.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "no", "row")).alias("first")
@@ -177,28 +183,23 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Above 75 %, sets of up to three tokens resemble only their equals.
     alone = sets.where("size >= 4") if percent > 75 else sets
     alone = alone.join(firsts.select("id", F.col("first.row").alias("row")), "row")
-    reps = keep(alone.select("id", "row", "size", "odd", "p2", "index", "prefix"), "sets", **plain)
+    reps = keep(alone.select("id", "size", "odd", "p2", "index", "prefix"), "sets", **plain)
     copies = sets.select("doc_id", "th", "no", "k1", "k2").join(firsts.select("k1", "k2", "first"), ["k1", "k2"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("no") == F.col("first.no"))
     copies = keep(copies.where(~same).select("doc_id", "th", "no").distinct(), "copies")
     release(sets)
 
     open_ = reps.withColumn("decided", F.lit(False))
-    probes = _rows(open_, F.slice("prefix", 1, PROBES))
-    leads = probes.groupBy("token").agg(F.min(F.struct("id", "odd", "p2", "at")).alias("lead")).select("token", "lead.*")
-    met = keep(_met(probes, leads, percent, False), "met")
-    ends = met.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    rows = keep(reps.select("id", "row").join(ends, "id", "left_semi"), "wanted")
-    few = rows.count() <= BROADCAST
-    gone = _similar(met, hashed.select("row", F.col("h").alias("t")).join(F.broadcast(rows) if few else rows, "row").select("id", "t"), percent)
-    release(hashed, rows)
-
-    marked = keep(reps.drop("row").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False))), "sets", **plain)
+    leads = _rows(open_, F.slice("prefix", 1, LEADING)).groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("class")).agg(F.min(F.struct("id", "odd", "p2", "at")).alias("lead")).select("token", "lead.*")
+    met = keep(_met(_rows(open_, F.col("prefix")), leads, percent, False), "met")
+    gone = _similar(met, _sets_of(_ends(met), firsts, docs), percent)
+
+    marked = keep(reps.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False))), "sets", **plain)
     release(reps)
     pairs = _met(_rows(marked, F.col("prefix")), _rows(marked, F.slice("prefix", F.lit(1), F.col("index"))), percent, True)
     pairs = keep(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
     release(marked, met)
-    gone = gone.union(_similar(pairs, _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), firsts, docs), percent))
+    gone = gone.union(_similar(pairs, _sets_of(_ends(pairs), firsts, docs), percent))
     found = keep(firsts.join(gone, "id").select("first.doc_id", "first.th", "first.no").union(copies), "removed")
     release(firsts, copies, pairs)
     return found

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import keep, slices
+from .common import bounded_batches, keep, slices
 
 WINDOW = 2048
 #: Ranks within one length are counted in so many parts, so that a very common length isn't one task.
@@ -165,6 +165,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, lis
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     tokens = docs.select("doc_id", _cut(tokenizer_path, window, end_id)("text").alias("t")).select("doc_id", "t.*")
     tokens = keep(
         tokens.withColumn("r", (F.col("doc_tokens") % window).cast("int"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, labelled_sample, slices
+from .common import Held, bounded_batches, labelled_sample, slices
 
 WORD_BINS, BINS, RANK = 1 << 15, 24, 8
 STATISTICS = ["chars", "words", "word_length", "upper", "digit", "sign", "space", "high", "distinct", "top_word", "lines", "line_length", "repeated_lines", "short_lines", "repeated_pairs", "sign_ends", "top_sign", "long_words"]
@@ -149,6 +149,7 @@ def score(docs: DataFrame, machine: Machine | None, meta: tuple[str, ...] = (),
     if machine is None:
         return docs.withColumn(out, F.lit(0.5))
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
+    bounded_batches(docs)
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, labelled_sample, release, slices, words
+from .common import Held, bounded_batches, labelled_sample, release, slices, words
 
 #: Labelled rows that are learnt from; least z and least log-odds ratio (and log ratio of shares) of the lexicon; weight of the prior, as a share of the texts; cost of a word outside the lexicon.
 BOUND, Z, ODDS, PRIOR, DRIFT = 20_000, 4.0, 2.0, 1 / 30, 0.15
@@ -206,6 +206,7 @@ def score(docs: DataFrame, lexicon: Lexicon | None, out: str = "toxicity") -> Da
     if lexicon is None:
         return docs.withColumn(out, F.from_json(F.lit('{"score": 0.0, "segments": []}'), kind))
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    bounded_batches(docs)
 
     @F.arrow_udf(kind)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -299,6 +299,28 @@ def test_license_scan(spark):
     assert [m.priority for m in got[7].matches] == [2]
 
 
+def test_license_labels_equal_brute_force(spark):
+    """All matches of all rules by Python's engine, then the containment rule by comparing every pair."""
+    r = random.Random(31)
+    parts = ["licensed under the mit license", "apache license version 2.0", "gpl v3 or later", "GNU General Public License", "bsd 3 clause", "SPDX-License-Identifier: Apache-2.0", "all rights reserved", "Ünder the MIT", "mozilla public license 2 0", "cc by sa 4 0", "lesser general public license version 2.1 only", "license", "isc", "word"]
+    texts = [", ".join(r.choice(parts) for _ in range(r.randrange(0, 9))) for _ in range(150)] + [None, ""]
+    rows = [(i, t, "x", [1], 5.0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels string, _f array<int>, n_words double")
+    out = licenses.detected(docs)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "_f", *licenses.COLUMNS])
+    got, some = {x.doc_id: x for x in out.collect()}, set()
+    rules = [(x, re.compile(x["pattern"])) for x in licenses.rules()]
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        t = "| " + " ".join(words) + " "
+        found = sorted({(m.start(), -m.end(), x["priority"], x["label"]) for x, p in rules if x["keyword"] in t for m in p.finditer(t)})
+        kept = [a for k, a in enumerate(found) if not any(b[2] <= a[2] and b[0] <= a[0] and b[1] <= a[1] for b in found[:k])]
+        base = {v for k, v in licenses.BASE.items() if f" {k} " in t}
+        assert got[i].n_words == len(words) and set(got[i].labels) == base | {x[3] for x in kept}, text
+        some |= set(got[i].labels)
+    assert len(some) >= 8 and licenses.detected(docs.limit(0)).count() == 0
+
+
 def test_html(spark):
     art = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1><p>one&nbsp; two<br>three<script>x<p></script><p><b>open<div id=comments>no</div><p>end</article><footer>&copy; us all rights reserved by us</footer>"
     bare = "<div>Common menu of this host with many words {}</div><div>Unique text {} of page {} alone here now yes</div>"
