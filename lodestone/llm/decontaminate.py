@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import WORD, bounded_batches, slices, word_bytes
 WINDOW = 13
 #: Words of benchmark text in one automaton (some 50 bytes for each of its at most 13 x so many nodes); automata that a
 #: worker holds; characters of documents that it takes through all automata together if there are more.
-BLOCK_WORDS, HELD, GATHERED = 60_000, 3, 16_000_000
+BLOCK_WORDS, HELD, GATHERED = 60_000, 3, 4_000_000
 
 _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _TYPE = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
@@ -48,7 +49,7 @@ class Machine:
             own = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in word_bytes(text))
             for i in range(max(1, len(own) - size + 1) if own else 0):
                 held.setdefault(own[i : i + size], {})[item] = None
-        self.found = None
+        self.found, self.least = None, min(map(len, held), default=1)
         if held:
             self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for window, ids in held.items():
@@ -57,10 +58,16 @@ class Machine:
 
     def scan(self, words: list[bytes], hits: set, items: set) -> None:
         """Adds the word ranges that windows occupy, and the ids of their items."""
-        if self.found and words:
-            number = self.numbers.get
-            for end, (n, ids) in self.found.iter(tuple([number(w, 0) for w in words])):
-                hits.add((end - n + 1, end + 1))
+        if not self.found or not words:
+            return
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        # At a word that no item has the automaton is at its root again: only runs of known words are walked.
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (numbers > 0).view(np.int8), [0]])))
+        starts, ends = edge[::2], edge[1::2]
+        long_ = ends - starts >= self.least
+        for a, b in zip(starts[long_].tolist(), ends[long_].tolist()):
+            for end, (n, ids) in self.found.iter(tuple(numbers[a:b].tolist())):
+                hits.add((a + end - n + 1, a + end + 1))
                 items.update(ids)
 
 
@@ -98,14 +105,14 @@ def _scanner(blocks: list, size: int, held: int, gathered: int):
     @F.arrow_udf(_TYPE)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in _gathered(batches, 1 if len(blocks) <= held else gathered):
-            found = [(set(), set()) for _ in texts]
+            words, found = [word_bytes(text) for text in texts], [(set(), set()) for _ in texts]
             for i in range(len(blocks)):
                 own = machine(i)
-                for text, x in zip(texts, found):
-                    own.scan(word_bytes(text), *x)
+                for w, x in zip(words, found):
+                    own.scan(w, *x)
             out = []
-            for text, (ranges, items) in zip(texts, found):
-                n, spans, marked = len(word_bytes(text)), [], 0
+            for text, w, (ranges, items) in zip(texts, words, found):
+                n, spans, marked = len(w), [], 0
                 if ranges:
                     hit = np.zeros(n, bool)
                     for a, b in ranges:
