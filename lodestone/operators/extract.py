@@ -25,9 +25,30 @@ def panels(rows: DataFrame, by: str, line: str, hit: Column, least: int = 5, mos
     return run.groupBy(by, "_g").agg(F.min(line).alias("start"), F.max(line).alias("end"), F.count("*").alias("n")).where(F.col("n").between(least, most)).drop("_g")
 
 
+#: Lines whose offsets are gathered at a time: appending to an array copies it.
+_RUN = 256
+
+
 def offsets(lines: Column) -> Column:
-    """Where each line begins in the text that the lines make with line ends between them."""
-    return F.transform(lines, lambda _, i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x) + 1))
+    """Where each line begins in the text that the lines make with line ends between them; null of null.
+
+    One running sum; the lengths are bound once, as an expression inside a lambda would be formed again for each line.
+    """
+    none = F.array().cast("array<int>")
+
+    def line(s: Column, n: Column) -> Column:
+        return F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+
+    def run(n: Column):
+        def step(s: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(n, i * _RUN + 1, F.lit(_RUN)), F.struct(s["at"].alias("at"), none.alias("out")), line)
+            return F.struct(own["at"].alias("at"), F.array_append(s["out"], own["out"]).alias("out"))
+
+        return step
+
+    lengths = F.array(F.transform(lines, lambda x: F.char_length(x) + 1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.get(F.transform(lengths, lambda n: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(n) / _RUN).cast("int")), start, run(n), lambda s: F.flatten(s["out"]))), F.lit(0))
 
 
 def resolved(text: Column, start_line: Column, end_line: Column, start_column: Column, end_column: Column) -> Column:

@@ -32,7 +32,9 @@ def overlaps(queries: DataFrame, corpus: DataFrame, size: int = SIZE, step: int
     docs = docs.select("d_id", (F.col("base") + F.col("at")).alias("dat"), "piece", F.xxhash64("piece").alias("h"))
     hit = docs.join(own, "h").where("piece = qp").groupBy("q_id", "d_id", "at").agg(F.min("dat").alias("dat"))
     text = hit.join(queries, "q_id").join(corpus, "d_id")
-    # The common run from a hit on: characters are compared until they differ.
-    rest = F.least(F.char_length("q") - F.col("at"), F.char_length("d") - F.col("dat"))
-    same = F.aggregate(F.sequence(F.lit(size), rest), F.struct(F.lit(size).alias("n"), F.lit(True).alias("go")), lambda s, i: F.when(s["go"] & (i < rest) & (F.substring("q", F.col("at") + i + 1, F.lit(1)) == F.substring("d", F.col("dat") + i + 1, F.lit(1))), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("go"))))["n"]
+    # The common run from a hit on: up to the first of the characters after it that differ.
+    rest = F.least(F.char_length("q") - F.col("at"), F.char_length("d") - F.col("dat")) - size
+    after = [F.split(F.substring(c, F.col(at) + size + 1, rest), "") for c, at in (("q", "at"), ("d", "dat"))]
+    differ = F.array_position(F.zip_with(*after, lambda x, y: x == y), False)
+    same = size + F.when(differ == 0, rest).otherwise(differ - 1)
     return text.groupBy("q_id", "d_id").agg(F.count("*").alias("n_windows"), F.max(same).cast("long").alias("longest"))

@@ -34,9 +34,10 @@ def deepest(points: DataFrame, spans: DataFrame, by: str, point: str, start: str
 
 
 def node_ends(nodes: DataFrame, by: str, start: str, depth: str, last: str) -> DataFrame:
-    """A node ends before the next node of its depth or less, else at `last`: the smallest of the next starts by depth."""
+    """A node ends before the next node of its depth or less, else at `last`: the smallest of the next starts by depth (0 or more)."""
+    deepest_ = nodes.agg(F.max(depth)).first()[0] or 0
     w = Window.partitionBy(by).orderBy(start).rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.min(F.when(F.col(depth) <= d, F.col(start))).over(w) for d in range(0, 8)]
+    nexts = [F.min(F.when(F.col(depth) <= d, F.col(start))).over(w) for d in range(int(deepest_) + 1)]
     chosen = F.element_at(F.array(*nexts), F.col(depth).cast("int") + 1)
     return nodes.withColumn("end", F.coalesce(chosen - 1, F.col(last)))
 

@@ -20,13 +20,19 @@ def valid(v: Column, size: int) -> Column:
     return (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
+#: Query vectors that are broadcast at most.
+QUERIES = 1 << 12
+
+
 def knn(vectors: DataFrame, query: DataFrame, evidence: Column, k: int, scope: Column | None = None) -> DataFrame:
     """(evidence, score) of the k best evidences: its best window over all query vectors.
 
-    query: (q, qv), a stated set of a few rows, broadcast. Of each query vector the k + 1 best windows count.
+    query: (q, qv), a stated set; up to QUERIES rows are broadcast, more meet the vectors block by block. Of each query
+    vector the k + 1 best evidences count.
     """
+    few = query.limit(QUERIES + 1).count() <= QUERIES
     own = vectors if scope is None else vectors.where(scope)
-    rows = own.select(evidence.alias("evidence"), "vec_id", "embedding").crossJoin(F.broadcast(query)).select("evidence", "vec_id", "q", cosine(F.col("embedding"), F.col("qv")).alias("score"))
+    rows = own.select(evidence.alias("evidence"), "vec_id", "embedding").crossJoin(F.broadcast(query) if few else query).select("evidence", "vec_id", "q", cosine(F.col("embedding"), F.col("qv")).alias("score"))
     best = rows.groupBy("evidence", "q").agg(F.max("score").alias("score"))
     top = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "evidence"))).where(F.col("n") <= k + 1)
     return top.groupBy("evidence").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "evidence").limit(k)

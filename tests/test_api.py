@@ -118,3 +118,22 @@ def test_overlap(spark):
     q = spark.createDataFrame([(1, text), (2, "short")], "q_id int, q string")
     d = spark.createDataFrame([(7, "xx" + text[:41] + "!!"), (8, "nothing at all of the sort in this text, is there?")], "d_id int, d string")
     assert [tuple(r) for r in overlap.overlaps(q, d).collect()] == [(1, 7, 2, 41)]
+
+
+def test_overlap_longest_against_brute_force(spark):
+    import os.path
+    import random
+
+    rng = random.Random(7)
+    text = "".join(rng.choice("ab一𠀀 \n") for _ in range(700))
+    queries = [text[:32], text[100:180], text[300:], text[40:75] + "z" + text[76:200], "𠀀" * 40]
+    docs = [text, text[90:400], "x" + text[:33], text[:120] + "#" + text[121:], "𠀀" * 35]
+    q = spark.createDataFrame(list(enumerate(queries)), "q_id int, q string")
+    d = spark.createDataFrame(list(enumerate(docs)), "d_id int, d string")
+    expected = set()
+    for i, a in enumerate(queries):
+        for j, b in enumerate(docs):
+            hits = [at for at in range(0, len(a) - 31, 8) if a[at : at + 32] in b]
+            if hits:
+                expected.add((i, j, len(hits), max(len(os.path.commonprefix([a[at:], b[b.index(a[at : at + 32]) :]])) for at in hits)))
+    assert {tuple(r) for r in overlap.overlaps(q, d).collect()} == expected and len(expected) > 8

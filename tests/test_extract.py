@@ -13,6 +13,11 @@ def test_spans_and_edits(spark):
     pick = lambda *a: df.select(extract.resolved(F.col("t"), *map(F.lit, a)).alias("x")).first().x
     assert pick(1, 1, 1, 3) == "b甲" and pick(1, 3, 2, 1) == "甲c\ndef\ng" and pick(1, 9, 0, 1) is None and pick(2, 1, 0, 1) is None
     assert df.select(extract.offsets(F.split("t", "\n")).alias("x")).first().x == [0, 5, 9]
+    texts = [None, "", "\n", "一\n\n𠀀b\n", "\n".join("x" * (i % 7) for i in range(256)), "\n".join("é" * (i % 5) for i in range(1000))]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", extract.offsets(F.split("t", "\n")).alias("x"))
+    for i, x in found.collect():
+        parts = texts[i].split("\n") if texts[i] is not None else []
+        assert x == (None if texts[i] is None else [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))])
     edits = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(o).alias("old"), F.lit(n).alias("new")) for a, o, n in ((0, "a", "AAA"), (2, "甲", ""), (5, "x", "y"))))
     assert df.select(extract.edited(F.col("t"), edits).alias("x")).first().x == "AAAbc\ndef\nghi"
 

@@ -73,6 +73,9 @@ def test_spans_and_trees(spark):
     assert sorted((r.a_id, r.b_id) for r in spans.overlapping(a, b, ["g"], 10).collect()) == [(1, 7), (1, 8), (2, 8)]
     nodes = spark.createDataFrame([(1, 1, 1, 100), (1, 5, 2, 100), (1, 9, 2, 100), (1, 20, 1, 100)], "g int, start int, depth int, last int")
     assert {r.start: r.end for r in trees.node_ends(nodes, "g", "start", "depth", "last").collect()} == {1: 19, 5: 8, 9: 19, 20: 100}
+    deep = spark.createDataFrame([(1, 1, 9, 50), (1, 4, 12, 50), (1, 8, 11, 50), (1, 9, 0, 50)], "g int, start int, depth int, last int")
+    assert {r.start: r.end for r in trees.node_ends(deep, "g", "start", "depth", "last").collect()} == {1: 8, 4: 7, 8: 8, 9: 50}
+    assert trees.node_ends(deep.where("g = 2"), "g", "start", "depth", "last").count() == 0
     points = spark.createDataFrame([(1, 6), (1, 2)], "g int, line int")
     tree = spark.createDataFrame([(1, 1, 19, 1, 10), (1, 5, 8, 2, 11)], "g int, s int, e int, depth int, node int")
     assert {r.line: r.node for r in trees.deepest(points, tree, "g", "line", "s", "e", "depth", "node").collect()} == {6: 11, 2: 10}
