@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_text, licenses, line_dedup, ngram_join, packing, quality, spelling, token_counts, toxicity, whitening
+from . import decontaminate, embeddings, html_text, licenses, line_dedup, ngram_join, ngram_lm, packing, quality, spelling, token_counts, toxicity, whitening
 from .common import crc32_mod, table
 from .oracle import ORACLE_SQL
 
@@ -78,4 +78,8 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_line_dedup, op11_spelling_variants, op12_embedding_whitening)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 10) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_token_counts, op4_packing, op5_ngram_jaccard, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_line_dedup, op11_spelling_variants, op12_embedding_whitening, op13_lm_scoring)}
