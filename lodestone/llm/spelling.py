@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ _LETTER = re.compile("[A-Za-zÀ-ÿ]")
 #: Runs are handled as Latin-1: other characters become "?" first, then every non-letter a blank, and A-Z a-z.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if _LETTER.match(chr(c)) else 32 for c in range(256))
 _VALUE = np.arange(256, dtype=np.int64) ** POWER
-_RADIX = 0x9E3779B97F4A7C15
 
 
 def misspelt(prefix: int, run: bytes) -> bytes:
@@ -103,24 +103,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of keyed rows: for each place of the letter, the place, whether it begins a run of that letter, and a hash of the other letters."""
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for part in slices([batch], 256):
-                for i, (word, letter) in enumerate(zip(part.column("word").to_pylist(), part.column("letter").to_pylist(), strict=True)):
-                    codes = np.frombuffer(word.encode("latin-1"), np.uint8).astype(np.uint64)
-                    powers = np.cumprod(np.append(np.uint64(1), np.full(len(codes), _RADIX, np.uint64)))
-                    terms = codes * powers[: len(codes)]
-                    before = np.append(np.uint64(0), np.cumsum(terms))
-                    if letter:
-                        at = np.flatnonzero(codes == letter)
-                        # what follows the place moves one power down: sums of code * radix**place of the remaining letters
-                        after = np.append(np.cumsum((codes[1:] * powers[: len(codes) - 1])[::-1])[::-1], np.uint64(0))
-                        hashes = before[at] + after[at]
-                        first = (at == 0) | (codes[at - 1] != letter)
-                    else:
-                        at, hashes, first = np.array([-1]), before[-1:], np.array([True])
-                    took = part.take(pa.array(np.full(len(at), i, np.int32)))
-                    yield pa.RecordBatch.from_arrays([took.column("key"), took.column("letter"), took.column("word"), took.column("n"), pa.array(at.astype(np.int32)), pa.array(first), pa.array(hashes.view(np.int64))], names=["key", "letter", "word", "n", "place", "first", "around"])
+    for batch in batches:
+        for part in slices([batch], 4096):
+            row, place, first, around = [], [], [], []
+            for i, (word, letter) in enumerate(zip(part.column("word").to_pylist(), part.column("letter").to_pylist(), strict=True)):
+                w = word.encode("latin-1")
+                at = w.find(letter) if letter else -1
+                while True:
+                    row.append(i)
+                    place.append(at)
+                    first.append(at <= 0 or w[at - 1] != letter)
+                    around.append(xxhash.xxh3_64_intdigest(w[:at] + w[at + 1 :] if letter else w) - (1 << 63))
+                    at = w.find(letter, at + 1) if letter else -1
+                    if at < 0:
+                        break
+            took = part.take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(place, pa.int32()), pa.array(first, pa.bool_()), pa.array(around, pa.int64())], names=["key", "letter", "word", "n", "place", "first", "around"])
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], also: str) -> DataFrame:

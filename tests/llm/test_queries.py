@@ -24,6 +24,8 @@ COLUMNS = {
     "op8_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op9_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_line_dedup": ["doc_id", "n_removed", "n_chars", "text_sha256"],
+    "op12_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 
 
@@ -47,7 +49,7 @@ def test_contract(results, duck, name):
     key = COLUMNS[name][0]
     table = {"vec_id": "embeddings", "page_id": "pages"}.get(key, "documents")
     ids = sorted(r[0] for r in duck.execute(f"SELECT {key} FROM {table}").fetchall())
-    assert sorted(got[key].unique() if name == "op4_packing" else got[key]) == ids
+    assert sorted(got[key].unique() if name in ("op4_packing", "op12_embedding_whitening") else got[key]) == ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -82,3 +84,17 @@ def test_pieces_fill_sequences(results):
     same = got.sequence_id.eq(got.sequence_id.shift())
     assert (got.offset[~same] == 0).all() and (got.offset[same] == ends.shift()[same]).all() and ends.max() <= 2048
     assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_language_model(results):
+    got = results["op13_lm_scoring"]
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 10 == 0 for i in got.doc_id]).all()
+    assert got[~got.held_out].n_tokens.sum() == got.train_tokens[0] and (got[~got.held_out].n_known == got[~got.held_out].n_tokens).all()
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum() * 0.9
+
+
+def test_variants_and_whitening(results):
+    words, white = results["op11_spelling_variants"], results["op12_embedding_whitening"]
+    assert set(words.columns) == {"word", "form", "root", "n", "n_near", "form_n"} and words.word.is_unique and (words.n >= 2).all() and (words.word.str.len() >= 7).all()
+    assert (words.form_n.dropna() >= 10 * words.n[words.form_n.notna()]).all() and (white.identity_error < 1e-4).all() and (white.groupby("vec_id").size() == 8).all()
