@@ -23,6 +23,39 @@ def merged(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     return numbered.groupBy(*by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
+def difference(a: DataFrame, b: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """What intervals [start, end) of a cover and those of b don't, as merged intervals; empty and null intervals cover nothing.
+
+    One sweep: borders of both sides are counted by place before the shuffle, and running sums say which side covers what
+    follows.
+    """
+
+    def borders(df: DataFrame, side: str) -> DataFrame:
+        own = df.where(F.col(start) < F.col(end)).select(*by, F.inline(F.array(F.struct(F.col(start).alias("_at"), F.lit(1).alias("_d")), F.struct(F.col(end).alias("_at"), F.lit(-1).alias("_d")))))
+        return own.select(*by, "_at", *(F.col("_d").alias(s) if s == side else F.lit(0).alias(s) for s in ("_in", "_out")))
+
+    w = Window.partitionBy(*by).orderBy("_at")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = borders(a, "_in").unionByName(borders(b, "_out")).groupBy(*by, "_at").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    swept = swept.select(*by, "_at", F.lead("_at").over(w).alias("_to"), F.sum("_in").over(run).alias("_in"), F.sum("_out").over(run).alias("_out"))
+    return merged(swept.where("_in > 0 and _out = 0").select(*by, F.col("_at").alias(start), F.col("_to").alias(end)), by, start, end)
+
+
+def disclosed(spans: DataFrame, by: list[str], roles: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """What may be read first: spans (role, late) of the given roles, without any that is disclosed late, and whether late ones reached into them.
+
+    (by, start, end, overlapped): a late span that overlaps a first one is taken out and reported, so that nothing late ever enters
+    the first text whatever the roles say.
+    """
+    own = spans.where(F.col("role").isin(roles))
+    first, late = own.where(~F.coalesce("late", F.lit(False))), spans.where(F.coalesce("late", F.lit(False)))
+    kept = difference(first, late, by, start, end)
+    whole = merged(first.where(F.col(start) < F.col(end)).select(*by, start, end), by, start, end)
+    size = lambda df, name: df.groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias(name))
+    cut = size(whole, "_w").join(size(kept, "_k"), by, "left").select(*by, (F.col("_w") != F.coalesce("_k", F.lit(0))).alias("overlapped"))
+    return kept.join(cut, by)
+
+
 def gaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """What lies between merged intervals."""
     w = Window.partitionBy(*by).orderBy(start)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import checkpointed
+
 
 def children(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """Nodes with the number of their direct children; leaves have 0."""
@@ -26,6 +28,45 @@ def closure(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
+def closure_of(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) of trees of any depth; edges: (child, parent). A cycle is an error.
+
+    Known paths double in length each round, so the rounds grow with the logarithm of the depth; each is written to the shared
+    folder. A node has one parent, so no pair comes twice.
+    """
+    paths = checkpointed(edges.where("parent is not null").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    reach = 1
+    while not (longest := paths.where(F.col("distance") == reach)).isEmpty():
+        if not paths.where("descendant = ancestor").isEmpty():
+            raise ValueError("the parents form a cycle")
+        more = paths.select(F.col("descendant").alias("_m"), F.col("ancestor").alias("_a"), F.col("distance").alias("_d"))
+        longer = longest.join(more, F.col("ancestor") == F.col("_m")).select("descendant", F.col("_a").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        paths, reach = checkpointed(paths.unionByName(longer)), 2 * reach
+    return paths.select("ancestor", "descendant", "distance")
+
+
+def anchored(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+    """Anchors (source, key, line, anchor) with a verdict against the text (source, n, text) and the nearest line that holds theirs.
+
+    held: the line holds the anchor's text; moved: another line of the source does, `at` being the nearest (the earlier of two
+    equally near); lost: none does; out_of_range: the source has no such line; no_source: the source has no lines. Anchors and lines of one text meet in one
+    pass over both in order, so a text that stands on very many lines gives no pairs.
+    """
+    ends = lines.groupBy("source").agg(F.max("n").alias("_end"))
+    a = anchors.select("source", F.col("anchor").alias("_t"), F.col("line").alias("_n"), F.struct("key", "line").alias("_a"))
+    both = a.unionByName(lines.select("source", F.col("text").alias("_t"), F.col("n").alias("_n")), allowMissingColumns=True)
+    # Of one number the line stands first, so that an anchor on it finds it at distance 0.
+    w = Window.partitionBy("source", "_t").orderBy("_n", F.col("_a").isNotNull())
+    back = Window.partitionBy("source", "_t").orderBy(F.desc("_n"), F.col("_a").isNotNull())
+    here = F.when(F.col("_a").isNull(), F.col("_n"))
+    up_to = lambda v: F.last(here, True).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_before": up_to(w), "_after": up_to(back)}).where("_a is not null").join(ends, "source", "left")
+    line, before, after = F.col("_a.line"), F.col("_before"), F.col("_after")
+    at = F.when(before.isNull() | (after.isNotNull() & (after - line < line - before)), after).otherwise(before)
+    verdict = F.when(F.col("_end").isNull(), "no_source").when(line.isNull() | ~line.between(1, F.col("_end")), "out_of_range").when(at == line, "held").when(at.isNotNull(), "moved").otherwise("lost")
+    return met.select("source", "_a.key", "_a.line", verdict.alias("verdict"), at.alias("at"))
+
+
 def deepest(points: DataFrame, spans: DataFrame, by: str, point: str, start: str, end: str, depth: str, node: str) -> DataFrame:
     """Each point with the deepest span of its group that holds it; the first by node of equals."""
     best = F.max_by(node, F.struct(F.col(depth), -F.col(node))) if dict(spans.dtypes)[node] in ("int", "bigint") else F.max_by(node, depth)

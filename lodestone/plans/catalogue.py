@@ -473,21 +473,21 @@ UNION ALL SELECT id, 'harm', 'xf_xia_c10_u0' || CASE st WHEN 1 THEN 1 WHEN 2 THE
 UNION ALL SELECT id, 'zi_mao_punishment', 'xf_xia_c04_s01', refs FROM e WHERE pr IN ('子卯', '卯子')
 UNION ALL SELECT id, 'partial_three_punishments', 'xf_xia_c04_s02', refs FROM e WHERE pr IN ('寅巳','寅申','巳寅','巳申','申寅','申巳') UNION ALL SELECT id, 'partial_three_punishments', 'xf_xia_c04_s03', refs FROM e WHERE pr IN ('丑未','丑戌','未丑','未戌','戌丑','戌未')
 UNION ALL SELECT id, 'self_punishment_branch', 'xf_xia_c04_s05', [pos] FROM q WHERE br IN ('辰','午','酉','亥')
-UNION ALL SELECT id, 'line_fanyin', 'rule_liuyao_zixiu_dxj_4784', [pos, pos + 10] FROM mv WHERE (bi - ni + 12) % 12 = 6 UNION ALL SELECT id, 'line_fuyin', 'rule_liuyao_zixiu_dxj_4784', [pos, pos + 10] FROM mv WHERE bi = ni
+UNION ALL SELECT id, 'line_fanyin', 'line_rule_4784', [pos, pos + 10] FROM mv WHERE (bi - ni + 12) % 12 = 6 UNION ALL SELECT id, 'line_fuyin', 'line_rule_4784', [pos, pos + 10] FROM mv WHERE bi = ni
 UNION ALL SELECT id, 'geshan_chain', 'xf_xia_c09', list_append(seen, seen[len(seen)] + 10) FROM w WHERE n > 1
 UNION ALL SELECT x.id, 'double_punishment', 'xf_xia_c04_s04', [x.pos, y.pos] FROM q x JOIN q y ON x.id = y.id AND x.pos < y.pos AND x.el[x.bi + 1] = y.el[y.bi + 1] WHERE x.moving OR y.moving OR (x.pos = x.shi AND y.pos = y.ying) OR (x.pos = x.ying AND y.pos = y.shi)
 UNION ALL SELECT mv.id, 'relative_position_change', 'xf_xia_c08', [q.pos, mv.pos + 10] FROM mv JOIN q ON q.id = mv.id AND q.pos <> mv.pos AND q.rel = mv.nrel AND (q.bi = mv.ni OR q.el[q.bi + 1] = mv.el[mv.ni + 1])
-UNION ALL SELECT x.id, 'three_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r, z.r] FROM tri, act x, act y, act z WHERE x.id = y.id AND y.id = z.id AND x.b = t1 AND y.b = t2 AND z.b = t3 AND NOT (x.r IN (7, 8) AND y.r IN (7, 8) AND z.r IN (7, 8))
-UNION ALL SELECT x.id, 'half_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t1 AND y.b = t2 AND (x.r < 7 OR y.r < 7) AND (x.id, t3) NOT IN (SELECT id, b FROM act)
-UNION ALL SELECT x.id, 'half_harmony_candidate', 'rule_liuyao_zixiu_dxj_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t2 AND y.b = t3 AND (x.r < 7 OR y.r < 7) AND (x.id, t1) NOT IN (SELECT id, b FROM act)
+UNION ALL SELECT x.id, 'three_harmony_candidate', 'line_rule_4520', [x.r, y.r, z.r] FROM tri, act x, act y, act z WHERE x.id = y.id AND y.id = z.id AND x.b = t1 AND y.b = t2 AND z.b = t3 AND NOT (x.r IN (7, 8) AND y.r IN (7, 8) AND z.r IN (7, 8))
+UNION ALL SELECT x.id, 'half_harmony_candidate', 'line_rule_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t1 AND y.b = t2 AND (x.r < 7 OR y.r < 7) AND (x.id, t3) NOT IN (SELECT id, b FROM act)
+UNION ALL SELECT x.id, 'half_harmony_candidate', 'line_rule_4520', [x.r, y.r] FROM tri, act x, act y WHERE x.id = y.id AND x.b = t2 AND y.b = t3 AND (x.r < 7 OR y.r < 7) AND (x.id, t1) NOT IN (SELECT id, b FROM act)
 UNION ALL SELECT x.id, 'three_punishments', 'xf_xia_c04_s0' || s, [x.r, y.r, z.r] FROM pun, cur x, cur y, cur z WHERE x.id = y.id AND y.id = z.id AND x.b = t1 AND y.b = t2 AND z.b = t3 AND (x.r < 7 OR y.r < 7 OR z.r < 7)
-UNION ALL SELECT id, 'all_transform_harm', 'xf_xia_c10_u04', refs FROM hs WHERE ha UNION ALL SELECT id, 'line_change_clash', 'rule_liuyao_zixiu_dxj_4784', refs FROM hs WHERE cl UNION ALL SELECT id, 'line_change_same_branch', 'rule_liuyao_zixiu_dxj_4784', refs FROM hs WHERE sa
+UNION ALL SELECT id, 'all_transform_harm', 'xf_xia_c10_u04', refs FROM hs WHERE ha UNION ALL SELECT id, 'line_change_clash', 'line_rule_4784', refs FROM hs WHERE cl UNION ALL SELECT id, 'line_change_same_branch', 'line_rule_4784', refs FROM hs WHERE sa
 UNION ALL SELECT id, 'combination_' || lpad(CAST(k AS VARCHAR), 2, '0'), 'xf_shang_c02_u' || lpad(CAST(k AS VARCHAR), 2, '0'), refs FROM cs),
 f AS (SELECT id, pt, src, refs, array_to_string(list_transform(refs, lambda r: CASE WHEN r < 10 THEN CAST(r AS VARCHAR) WHEN r < 20 THEN (r - 10) || 'c' ELSE (r - 20) || 'h' END), '-') who, true here FROM f0
 UNION ALL SELECT id, 'hidden_flying_relation', 'xf_xia_c05', [pos, pos + 20], pos || ':' || concat_ws('/', CASE WHEN (bi - ui + 12) % 12 = 6 THEN '冲' END, CASE WHEN br || ub IN ('子丑','丑子','寅亥','亥寅','卯戌','戌卯','辰酉','酉辰','巳申','申巳','午未','未午') THEN '合' END, ['同五行', '生', '克', '受克', '受生'][(el[ui + 1] - el[bi + 1] + 5) % 5 + 1]), true FROM q WHERE hidden
 UNION ALL SELECT id, 'upper_lower_fanyin', 'xf_xia_c07_u01', [], 'primary', true FROM hx WHERE (lo, hi) IN (SELECT (a, b) FROM op) UNION ALL SELECT id, 'upper_lower_fanyin', 'xf_xia_c07_u01', [], 'changed', mo FROM hx WHERE (nl, nh) IN (SELECT (a, b) FROM op)
 UNION ALL SELECT id, 'trigram_change_fanyin', 'xf_xia_c07_u02', [], 'lower', true FROM hx WHERE (lo, nl) IN (SELECT (a, b) FROM op) UNION ALL SELECT id, 'trigram_change_fanyin', 'xf_xia_c07_u02', [], 'upper', true FROM hx WHERE (hi, nh) IN (SELECT (a, b) FROM op)
-UNION ALL SELECT id, 'early_trigram_change_fanyin', 'rule_liuyao_zixiu_dxj_4784', [], 'lower', true FROM hx WHERE (lo, nl) IN (SELECT (a, b) FROM oe) UNION ALL SELECT id, 'early_trigram_change_fanyin', 'rule_liuyao_zixiu_dxj_4784', [], 'upper', true FROM hx WHERE (hi, nh) IN (SELECT (a, b) FROM oe))
+UNION ALL SELECT id, 'early_trigram_change_fanyin', 'line_rule_4784', [], 'lower', true FROM hx WHERE (lo, nl) IN (SELECT (a, b) FROM oe) UNION ALL SELECT id, 'early_trigram_change_fanyin', 'line_rule_4784', [], 'upper', true FROM hx WHERE (hi, nh) IN (SELECT (a, b) FROM oe))
 """
 
 
@@ -607,4 +607,4 @@ def context_expansion(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.col("turn") - 2, F.min("turn").over(w)).alias("from"), F.least(F.col("turn") + 2, F.max("turn").over(w)).alias("to"))
 
 
-from . import builds  # noqa: E402,F401  registers its queries
+from . import builds, corpus  # noqa: E402,F401  they register their queries
