@@ -39,16 +39,19 @@ def encode(values: np.ndarray) -> bytes:
     return np.array([n, low, len(lows), size], np.int64).tobytes() + lows.tobytes() + highs.tobytes() + ones.tobytes()
 
 
+_BYTE = np.zeros((256, 8), np.uint8)
+for _b in range(256):
+    _BYTE[_b, : _b.bit_count()] = [i for i in range(8) if _b >> i & 1]
+
+
 def _select(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the r-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count(word & _U((1 << step) - 1)).astype(np.int64)
-        on = r >= c
-        r = np.where(on, r - c, r)
-        at += step * on
-        word = np.where(on, word >> _U(step), word)
-    return at
+    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    r, row = r.astype(np.uint8), np.arange(len(word))
+    part = np.minimum((upto <= r[:, None]).sum(axis=1), 7)
+    before = np.where(part > 0, upto[row, part - 1], 0).astype(np.uint8)
+    return part * 8 + _BYTE[parts[row, part], np.minimum(r - before, 7)]
 
 
 class Sequence:
@@ -76,32 +79,47 @@ class Sequence:
         word = np.searchsorted(self.ones, i, "right") - 1
         return (word * 64 + _select(self.highs[word], i - self.ones[word]) - i << self.low) | self._low(i)
 
-    def _below(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part under h."""
-        word = np.searchsorted(self.zeros, h - 1, "right") - 1
-        last = word >= len(self.highs)
-        word = np.minimum(word, len(self.highs) - 1)
-        place = word * 64 + _select(~self.highs[word], h - 1 - self.zeros[word])
-        return np.where(h <= 0, 0, np.where(last, self.n, np.minimum(place - (h - 1), self.n)))
+    def _begin(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a high part under h, and the place in the bit vector where those of h begin."""
+        word = np.minimum(np.searchsorted(self.zeros, h - 1, "right") - 1, len(self.highs) - 1)
+        place = np.where(h <= 0, 0, word * 64 + _select(~self.highs[word], np.clip(h - 1 - self.zeros[word], 0, 63)) + 1)
+        late = h > self.zeros[-1]
+        return np.where(late, self.n, np.minimum(place - h, self.n)), np.where(late, 64 * len(self.highs), place)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that isn't under x; n if there is none."""
+    def _bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the first value with x's high part (or a higher one), and behind the last one with it."""
         h = x >> self.low
-        first, last = self._below(h), self._below(h + 1)
-        rest = x & ((1 << self.low) - 1)
-        while len(todo := np.flatnonzero(first < last)):
+        first, place = self._begin(h)
+        word, off = np.minimum(place >> 6, len(self.highs) - 1), place & 63
+        rest = self.highs[word] >> off.astype(_U)
+        ones = np.bitwise_count(rest ^ (rest + _U(1))).astype(np.int64) - 1  # set bits in a row from here on
+        last = np.where(place < 64 * len(self.highs), first + ones, first)
+        open_ = np.flatnonzero((off + ones >= 64) & (place < 64 * len(self.highs)))
+        last[open_] = self._begin(h[open_] + 1)[0]
+        return first, np.minimum(last, self.n)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, last = self._bounds(x)
+        end, rest = last.copy(), x & ((1 << self.low) - 1)
+        todo = np.flatnonzero(first < last)
+        while len(todo):
             middle = first[todo] + last[todo] >> 1
             less = self._low(middle) < rest[todo]
             first[todo] = np.where(less, middle + 1, first[todo])
             last[todo] = np.where(less, last[todo], middle)
-        return first
+            todo = todo[first[todo] < last[todo]]
+        return first, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value that isn't under x; n if there is none."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of a value equal to x, else -1."""
-        place = self.successor(x)
-        held = place < self.n
+        """The place of the first value equal to x, else -1."""
+        place, end = self._search(x)
+        held = np.flatnonzero(place < end)  # of x's high part; only the low one is left to compare
         out = np.full(len(x), -1, np.int64)
-        out[held] = np.where(self.at(place[held]) == x[held], place[held], -1)
+        out[held] = np.where(self._low(place[held]) == x[held] & ((1 << self.low) - 1), place[held], -1)
         return out
 
 
@@ -124,10 +142,13 @@ class Lists:
 
     def find(self, owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of x among all values, and within its list; -1 where the list doesn't hold it. x is at least 0."""
-        begin, end = self.pointers.at(owner), self.pointers.at(owner + 1)
-        base = np.zeros(len(owner), np.int64)
+        # Owners mostly come in runs: what belongs to one is read once a run.
+        new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+        one, run = owner[new], np.cumsum(new) - 1
+        begin, end = self.pointers.at(one), self.pointers.at(one + 1)
+        base = np.zeros(len(one), np.int64)
         late = begin > 0
         base[late] = self.values.at(begin[late] - 1) + 1
-        place = self.values.find(base + x)
+        place, begin, end = self.values.find(base[run] + x), begin[run], end[run]
         held = (place >= begin) & (place < end)
         return np.where(held, place, -1), np.where(held, place - begin, -1)

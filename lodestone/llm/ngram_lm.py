@@ -117,11 +117,14 @@ class Counts:
         self.first, self.count = np.append(first, n_words), np.append(count, 0)
         self.unseen, self.start, self.n_tokens, self.n_words = n_words, n_words + 1, n_tokens, n_words
 
-    def __call__(self, rank: np.ndarray) -> np.ndarray:
-        return self.count[np.searchsorted(self.first, rank, "right") - 1]
+        p = (self.count + ADDED) / (n_tokens + ADDED * (n_words + 1))
+        self.log, self.code = np.log10(p), _quantised(p).astype(np.int64)
+
+    def places(self, rank: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, rank, "right") - 1
 
-    def logs(self, rank: np.ndarray) -> np.ndarray:
-        return np.log10((self(rank) + ADDED) / (self.n_tokens + ADDED * (self.n_words + 1)))
+    def __call__(self, rank: np.ndarray) -> np.ndarray:
+        return self.count[self.places(rank)]
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -134,24 +137,25 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 class Trigrams:
     """The different (v, u, w) of a block whose v was trained: word before, word before that, word; sorted, each with its shard and training count.
 
-    A document's first word has no context.
+    tokens are places in `ranks`, the block's ranks in order. A document's first word has no context.
     """
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, trained: np.ndarray | None, counts: Counts, shards: int, size: int):
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, trained: np.ndarray | None, counts: Counts, shards: int, size: int):
         begin = np.cumsum(lengths) - lengths
-        one, two = np.append(counts.start, tokens[:-1]), np.append([counts.start] * 2, tokens)[: len(tokens)]
-        one[begin] = counts.unseen
-        second = begin[lengths > 1] + 1
-        two[second] = counts.start
-        self.asked = np.flatnonzero(one != counts.unseen)
-        rank = np.unique(np.concatenate([one, two[:1], tokens]))
-        v, u, w = (np.searchsorted(rank, a[self.asked]) for a in (one, two, tokens))
-        key, self.inverse = distinct(v, u, w, len(rank))
-        self.v, self.u, self.w = (rank[a] for a in key)
+        start = len(ranks)
+        ranks = np.append(ranks, counts.start)
+        one, two = np.append(start, tokens[:-1]), np.append([start] * 2, tokens)[: len(tokens)]
+        two[begin[lengths > 1] + 1] = start
+        known = ranks[one] != counts.unseen
+        known[begin] = False
+        self.asked = np.flatnonzero(known)
+        (v, u, w), self.inverse = distinct(*(a[self.asked] for a in (one, two, tokens)), len(ranks))
+        self.v, self.u, self.w = ranks[v], ranks[u], ranks[w]
         if trained is not None:
-            self.n = np.bincount(self.inverse, weights=trained[self.asked], minlength=len(self.v)).astype(np.int64)
-        classes = -(-counts(self.v) * 2 // size)
-        self.shard = ((_mixed(self.v) + _mixed(self.u) % np.maximum(classes, 1).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            self.n = np.bincount(self.inverse, weights=trained[self.asked], minlength=len(v)).astype(np.int64)
+        classes = np.maximum(-(-counts(ranks) * 2 // size), 1).astype(np.uint64)
+        mixed = _mixed(ranks)
+        self.shard = ((mixed[v] + mixed[u] % classes[v]) % np.uint64(shards)).astype(np.int64)
         self.order = np.argsort(self.shard, kind="stable")
         self.bounds = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
 
@@ -160,7 +164,8 @@ def distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: int) -> tuple[tuple
     """The different triples of numbers under n, sorted, and where each triple stands among them."""
     if n**3 < 1 << 63:
         key, inverse = np.unique((v * n + u) * n + w, return_inverse=True)
-        return (key // (n * n), key // n % n, key % n), inverse
+        pair = key // n
+        return (pair // n, pair % n, key - pair * n), inverse
     pair, of = np.unique(v * n + u, return_inverse=True)
     key, inverse = np.unique(of * n + w, return_inverse=True)
     return (pair[key // n] // n, pair[key // n] % n, key % n), inverse
@@ -170,6 +175,11 @@ def _quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-STEPS * np.log10(p)), 0, 65535).astype(np.uint16)
 
 
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; true of the first."""
+    return np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
+
+
 def _discount(n: np.ndarray) -> float:
     one, two = int((n == 1).sum()), int((n == 2).sum())
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
@@ -177,8 +187,9 @@ def _discount(n: np.ndarray) -> float:
 
 def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, shares: np.ndarray) -> bytes:
     """The trie of different triples sorted by (v, u, w), their counts n > 0, and shares of w (its probability without context)."""
-    roots, root = np.unique(v, return_inverse=True)
-    new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])) if len(v) else np.zeros(0, bool)
+    first = _changes(v)
+    roots, root = v[first], np.cumsum(first) - 1
+    new = first | _changes(u)
     context = np.cumsum(new) - 1
     most = int(w.max(initial=0)) + 1
     follow, pair = np.unique(root * most + w, return_inverse=True)
@@ -223,13 +234,13 @@ class Trie:
         out = shares.astype(np.int64)
         if not self.roots.n:
             return out
-        kind, of = np.unique(v, return_inverse=True)
-        root = self.roots.find(kind)[of]
+        first = _changes(v)
+        root = self.roots.find(v[first])[np.cumsum(first) - 1]
         seen = np.flatnonzero(root >= 0)
         root, u, w = root[seen], u[seen], w[seen]
         place, relative = self.followers.find(root, w)
         two = np.where(place >= 0, p2[place], back2[root] + out[seen])
-        new = np.append(True, (root[1:] != root[:-1]) | (u[1:] != u[:-1])) if len(root) else np.zeros(0, bool)
+        new = _changes(root) | _changes(u)
         context = self.before.find(root[new], u[new])[0][np.cumsum(new) - 1]
         held = np.flatnonzero(context >= 0)
         two[held] += back3[context[held]]
@@ -247,7 +258,7 @@ def _sent(counts, shards: int, size: int):
         for batch in batches:
             for row in (r for part in slices([batch], 1) for r in part.to_pylist()):
                 lengths = unpacked(row["lengths"])
-                t = Trigrams(unpacked(row["tokens"]), lengths, ~np.repeat(row["held"], lengths), counts.value, shards, size)
+                t = Trigrams(unpacked(row["tokens"]), lengths, unpacked(row["ranks"]), ~np.repeat(row["held"], lengths), counts.value, shards, size)
                 for s in np.flatnonzero(np.diff(t.bounds)).tolist():
                     own = t.order[t.bounds[s] : t.bounds[s + 1]]
                     body = [packed(np.diff(t.v[own], prepend=0)), *(packed(a[own]) for a in (t.u, t.w, t.n))]
@@ -268,13 +279,21 @@ def _answered(counts):
         v = np.concatenate([np.cumsum(p[0]) for p in parts])
         u, w, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
         parts.clear()
-        rank = np.unique(np.concatenate([v, u, w]))
-        key, inverse = distinct(*(np.searchsorted(rank, a) for a in (v, u, w)), len(rank))
-        v, u, w = (rank[a] for a in key)
+        # A shard has few of all words as v, so that the three numbers mostly fit one key.
+        kinds, at = np.unique(v, return_inverse=True)
+        most = int(max(u.max(initial=0), w.max(initial=0))) + 1
+        if len(kinds) * most * most < 1 << 63:
+            key, inverse = np.unique((at * most + u) * most + w, return_inverse=True)
+            pair = key // most
+            v, u, w = kinds[pair // most], pair % most, key - pair * most
+        else:
+            rank = np.unique(np.concatenate([v, u, w]))
+            key, inverse = distinct(*(np.searchsorted(rank, a) for a in (v, u, w)), len(rank))
+            v, u, w = (rank[a] for a in key)
         total = np.bincount(inverse, weights=n, minlength=len(v)).astype(np.int64)
-        logs, known = counts.value.logs(w), np.flatnonzero(total)
-        trie = Trie(build(v[known], u[known], w[known], total[known], 10.0 ** logs[known]))
-        codes = trie.ask(v, u, w, _quantised(10.0**logs))[inverse]
+        of, known = counts.value.places(w), np.flatnonzero(total)
+        trie = Trie(build(v[known], u[known], w[known], total[known], 10.0 ** counts.value.log[of[known]]))
+        codes = trie.ask(v, u, w, counts.value.code[of])[inverse]
         for i, block in enumerate(blocks):
             yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([block]), pa.array([packed(codes[sizes[i] : sizes[i + 1]])], pa.binary())], names=["shard", "block", "codes"])
 
@@ -287,15 +306,16 @@ def _summed(counts, shards: int, size: int, kind: pa.DataType):
     def add(coded: pa.Table, answers: pa.Table) -> pa.Table:
         row = coded.to_pylist()[0]
         tokens, lengths = unpacked(row["tokens"]), unpacked(row["lengths"])
-        t = Trigrams(tokens, lengths, None, counts.value, shards, size)
+        ranks = unpacked(row["ranks"])
+        t = Trigrams(tokens, lengths, ranks, None, counts.value, shards, size)
         codes = np.zeros(len(t.v), np.int64)
         for s, body in zip(answers["shard"].to_pylist(), answers["codes"].to_pylist(), strict=True):
             codes[t.order[t.bounds[s] : t.bounds[s + 1]]] = unpacked(body)
-        logs = counts.value.logs(tokens)
-        score = _quantised(10.0**logs).astype(np.int64)
+        of = counts.value.places(ranks)[tokens]
+        logs, score = counts.value.log[of], counts.value.code[of]
         score[t.asked] = codes[t.inverse]
         begin = np.cumsum(lengths) - lengths
-        known = np.add.reduceat((tokens != counts.value.unseen).astype(np.int64), begin)
+        known = np.add.reduceat((ranks != counts.value.unseen)[tokens].astype(np.int64), begin)
         columns = [pa.array(row["docs"], kind), pa.array(row["held"], pa.bool_()), lengths, known, np.full(len(lengths), counts.value.n_tokens), np.add.reduceat(logs, begin), -np.add.reduceat(score, begin) / STEPS]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
@@ -322,8 +342,9 @@ def _coded(unseen: int):
     def code(blocks: pa.Table, words: pa.Table) -> pa.Table:
         rank = np.full(words.num_rows, unseen, np.int64)
         rank[words["place"].to_numpy()] = words["rank"].to_numpy()
-        tokens = rank[unpacked(blocks["tokens"][0].as_py())]
-        return blocks.select(["block", "docs", "held", "lengths"]).append_column("tokens", pa.array([packed(tokens)], pa.binary()))
+        ranks, place = np.unique(rank, return_inverse=True)
+        out = blocks.select(["block", "docs", "held", "lengths"]).append_column("ranks", pa.array([packed(ranks)], pa.binary()))
+        return out.append_column("tokens", pa.array([packed(place[unpacked(blocks["tokens"][0].as_py())])], pa.binary()))
 
     return code
 
@@ -337,7 +358,7 @@ def score(docs: DataFrame, held_out: Column, block: int = BLOCK, shard: int = SH
     blocks = keep(rows.mapInArrow(_blocks(kind, block), f"block long, docs array<{id_kind}>, held array<boolean>, lengths binary, tokens binary, words array<string>, trained binary"), "blocks")
     places, ranked, found = _ranked(blocks)
     named = places.join(ranked, "word", "left").select("block", "place", F.coalesce("rank", F.lit(found.unseen)).alias("rank"))
-    layout = f"block long, docs array<{id_kind}>, held array<boolean>, lengths binary, tokens binary"
+    layout = f"block long, docs array<{id_kind}>, held array<boolean>, lengths binary, ranks binary, tokens binary"
     coded = keep(blocks.drop("words", "trained").groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_coded(found.unseen), layout), "coded")
     release(blocks)
     shards = max(1, -(-found.n_tokens // shard))
