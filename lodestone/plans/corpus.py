@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import diff
 from ..functions import tables as T
-from ..operators import cases, chart, chunking, graph, matching, spans, trees
+from ..operators import cases, chart, chunking, classify, graph, matching, spans, trees
 from .catalogue import _LINES, _query, _t
 from .catalogue import casts as order_casts
 
@@ -163,3 +163,44 @@ def fuzzy_duplicates(spark, d):
     """Groups of parts of one brand whose names are alike, under a looser bound where the dates agree."""
     p = _t(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") % 4).alias("z"), "p_name", F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 2).alias("date"))
     return graph.grouped(p, "p_partkey", graph.similar_pairs(p, "p_partkey", ["p_brand", "z"], "p_name", "date"))
+
+
+_TOPICS = {"home": ("furniture", "household"), "home/room": ("furniture",), "auto": ("automobile", "machinery"), "auto/car": ("automobile",), "make": ("building",)}
+_SEGMENTS = "(VALUES ('FURNITURE', 'furniture', 'home', 'home,home/room'), ('HOUSEHOLD', 'household', 'home', 'home'), ('AUTOMOBILE', 'automobile', 'auto', 'auto,auto/car'), ('MACHINERY', 'machinery', 'auto', 'auto'), ('BUILDING', 'building', 'make', 'make')) "
+
+
+def topics() -> classify.Catalogue:
+    return classify.Catalogue([Row(id=i, parent=i.partition("/")[0] if "/" in i else None, title=i, aliases=list(a)) for i, a in _TOPICS.items()])
+
+
+def questions(spark, d) -> DataFrame:
+    """One of four wordings for each customer, of its own segment and the next customer's."""
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("a"))
+    both = c.join(c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("a").alias("b")), "c_custkey")
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, F.col("a")).when(k == 1, F.concat("a", F.lit("，问"), "b")).when(k == 2, F.concat("a", F.lit("另外问"), "b")).otherwise(F.concat("a", F.lit("影响考虑，问"), "b"))
+    return both.select("c_custkey", "a", "b", text.alias("text"))
+
+
+@_query("WITH s(seg, term, root, ids) AS " + _SEGMENTS + """, q AS (SELECT c.c_custkey k, c.c_mktsegment a, n.c_mktsegment b FROM customer c JOIN customer n ON n.c_custkey = c.c_custkey + 1),
+r AS (SELECT k, x.root ra, x.ids ia, y.root rb, y.ids ib, a, CASE k % 4 WHEN 0 THEN [x.root] WHEN 1 THEN CASE WHEN x.root IS NOT NULL AND y.root IS NOT NULL AND x.root <> y.root THEN [y.root] ELSE [x.root, y.root] END ELSE [x.root, y.root] END roots,
+k % 4 = 1 AND x.root IS NOT NULL AND y.root IS NOT NULL AND x.root <> y.root cut FROM q LEFT JOIN s x ON x.seg = a LEFT JOIN s y ON y.seg = b)
+SELECT k AS c_custkey, array_to_string(list_sort(list_distinct(list_filter(roots, lambda r: r IS NOT NULL))), ',') AS roots, CASE WHEN len(list_filter(roots, lambda r: r IS NOT NULL)) > 0 THEN 'inferred_from_text' ELSE 'unknown' END AS status,
+array_to_string(list_sort(list_distinct(string_split(concat_ws(',', CASE WHEN NOT cut THEN ia END, CASE WHEN k % 4 <> 0 THEN ib END), ','))), ',') AS topic_ids, CASE WHEN cut THEN lower(a) ELSE '' END AS background FROM r""")
+def classify_events(spark, d):
+    """Topics of questions: a new question leaves its story behind, an additional or causal one keeps it."""
+    q = questions(spark, d).select("c_custkey", topics().classified(F.col("text")).alias("t"))
+    return q.select("c_custkey", F.array_join(F.array_sort("t.roots"), ",").alias("roots"), "t.status", F.array_join(F.array_sort("t.topic_ids"), ",").alias("topic_ids"), F.array_join("t.background", ",").alias("background"))
+
+
+@_query("WITH s(seg, term, root, ids) AS " + _SEGMENTS + """, q AS (SELECT c_custkey k, root, ids, CASE WHEN root IS NULL THEN NULL WHEN contains(ids, '/') THEN 'subtopic' ELSE 'topic' END named FROM customer LEFT JOIN s ON seg = c_mktsegment)
+SELECT k AS c_custkey, CASE k % 5 WHEN 0 THEN coalesce(named, 'unknown') WHEN 1 THEN 'common' WHEN 2 THEN coalesce(named, 'unknown') WHEN 3 THEN 'example' ELSE 'scene' END AS scope,
+CASE k % 5 WHEN 0 THEN CASE WHEN named IS NULL THEN 'explicit_application_text' ELSE 'chapter' END WHEN 1 THEN 'chapter' WHEN 2 THEN 'explicit_application_text' WHEN 3 THEN 'case_questions' END AS basis,
+CASE WHEN k % 5 IN (0, 2, 3) THEN coalesce(root, '') ELSE '' END AS roots FROM q""")
+def classify_rules(spark, d):
+    """Rules by heading, general heading, text, cases or scene, in that order."""
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("a"))
+    k, none = F.col("c_custkey") % 5, F.array().cast("array<string>")
+    chapter, theory = F.when(k == 0, F.col("a")).when(k == 1, "月建与日辰").otherwise("x"), F.when(k == 2, F.concat(F.lit("关于"), "a", F.lit("的事。"))).when(k == 3, " ").otherwise("y")
+    rule = topics().classified_rule(chapter, theory, F.when(k == 3, F.array("a")).otherwise(none), F.when(k == 4, "xiangfa").otherwise("lifa"))
+    return c.select("c_custkey", rule.alias("r")).select("c_custkey", "r.scope", "r.basis", F.array_join("r.roots", ",").alias("roots"))
