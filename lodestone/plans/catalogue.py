@@ -435,7 +435,7 @@ UNION ALL SELECT id, 'combination_06', CAST(pos AS VARCHAR) FROM q WHERE rel = '
 SELECT pt AS pattern_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT who) AS places FROM f GROUP BY pt""")
 def chart_patterns(spark, d):
     kinds = ["harm", "zi_mao_punishment", "self_punishment_branch", "line_fanyin", "line_fuyin", "combination_08", "combination_06"]
-    f = chart.patterns(casts(spark, d)).where(F.col("pattern_id").isin(kinds) | F.col("pattern_id").startswith("transform_"))
+    f = chart.patterns(casts(spark, d), {*kinds, *(f"transform_{s}" for s in ("长生", "病", "死", "墓", "绝"))})
     # This query's SQL counts edges towards other lines, and lines one by one; chart_pattern_facts has all facts whole.
     f = f.where(~F.col("pattern_id").isin("harm", "zi_mao_punishment") | ~F.contains("participants", F.lit("c")))
     f = f.withColumn("participants", F.explode(F.when(F.col("pattern_id") == "combination_06", F.split("participants", "-")).otherwise(F.array("participants"))))
@@ -506,11 +506,11 @@ def chart_chain(spark, d):
 r AS (SELECT id, 'key_images' ck FROM g UNION ALL SELECT q.id, 'single_moving:primary:' || pos FROM q JOIN g ON g.id = q.id WHERE moving AND nm = 1
 UNION ALL SELECT id, 'moving_relationships' FROM g WHERE nm > 1 OR (nm > 0 AND hid) UNION ALL SELECT id, 'static_day_clash:primary:' || pos FROM q WHERE NOT moving AND dc
 UNION ALL SELECT id, 'palace_stage:primary' FROM g WHERE stage >= 6 UNION ALL SELECT g.id, 'palace_stage:changed' FROM g JOIN h ON h.code = g.chg WHERE nm > 0 AND h.s >= 6
-UNION ALL SELECT id, 'tomb_candidate:primary:' || pos FROM q WHERE pos IN (shi, ying) AND (m = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR d % 12 = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR (moving AND ni = [7, 10, 4, 1, 4][el[bi + 1] + 1]) OR EXISTS (SELECT 1 FROM q o WHERE o.id = q.id AND o.moving AND o.bi = [7, 10, 4, 1, 4][q.el[q.bi + 1] + 1])))
+UNION ALL SELECT id, 'tomb_candidate:primary:' || pos FROM q WHERE pos IN (shi, ying) AND (m = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR d % 12 = [7, 10, 4, 1, 4][el[bi + 1] + 1] OR (moving AND ni = [7, 10, 4, 1, 4][el[bi + 1] + 1]) OR EXISTS (SELECT 1 FROM q o WHERE o.id = q.id AND o.moving AND o.pos <> q.pos AND o.bi = [7, 10, 4, 1, 4][q.el[q.bi + 1] + 1])))
 SELECT id AS chart_id, ck AS check_id FROM r""")
 def chart_review(spark, d):
     # The six checks that this query's SQL has; chart_review_all has all eight.
-    return chart.review(casts(spark, d)).where(~F.col("check_id").rlike("^(six_relations|pattern_source:)"))
+    return chart.review(casts(spark, d), sources=False).where(F.col("check_id") != "six_relations")
 
 
 @_query(_FACTS + ORACLE_SQL["chart_review"].removeprefix(_LINES) + """
