@@ -204,3 +204,40 @@ def classify_rules(spark, d):
     chapter, theory = F.when(k == 0, F.col("a")).when(k == 1, "月建与日辰").otherwise("x"), F.when(k == 2, F.concat(F.lit("关于"), "a", F.lit("的事。"))).when(k == 3, " ").otherwise("y")
     rule = topics().classified_rule(chapter, theory, F.when(k == 3, F.array("a")).otherwise(none), F.when(k == 4, "xiangfa").otherwise("lifa"))
     return c.select("c_custkey", rule.alias("r")).select("c_custkey", "r.scope", "r.basis", F.array_join("r.roots", ",").alias("roots"))
+
+
+_PICKED = """, sel AS (SELECT id, pos, bi b, rel r, spirit, pos ref, 'primary' layer FROM q WHERE id % 3 = 0 AND pos = id % 6 + 1
+UNION ALL SELECT id, pos, ni, nrel, spirit, pos + 10, 'changed' FROM q WHERE id % 3 = 1 AND moving AND pos = (SELECT min(pos) FROM q o WHERE o.id = q.id AND o.moving)
+UNION ALL SELECT id, pos, ui, urel, spirit, pos + 20, 'hidden' FROM q WHERE id % 3 = 2 AND hidden AND pos = (SELECT min(pos) FROM q o WHERE o.id = q.id AND o.hidden)),
+sh AS (SELECT id, pos, bi b, rel r, spirit, ying FROM q WHERE pos = shi), ad AS (SELECT sel.* FROM sel JOIN sh USING (id) WHERE sel.layer <> 'primary' OR sel.pos <> sh.pos),
+ro AS (SELECT id, pos, b, r, spirit, pos ref, 0 o FROM sh UNION ALL SELECT id, pos, b, r, spirit, ref, 1 FROM ad),
+be AS (SELECT id, bi b, pos ref, 0 o FROM q WHERE pos = ying UNION ALL SELECT id, b, ref, 1 FROM ad),
+nx AS (SELECT be.id, be.ref, be.o FROM be JOIN sh USING (id) WHERE be.b = sh.b OR list_sort([be.b, sh.b]) IN ([1, 2], [4, 5], [7, 8], [10, 11])),
+fo AS (SELECT id, 4 k, list(ref ORDER BY o) refs FROM ro WHERE r = '子孙' AND spirit = '青龙' GROUP BY id UNION ALL SELECT id, 7, list(ref ORDER BY o) FROM ro WHERE r = '官鬼' AND spirit = '青龙' GROUP BY id
+UNION ALL SELECT id, 10, list(ref ORDER BY o) FROM ro WHERE pos = 2 AND spirit = '勾陈' GROUP BY id UNION ALL SELECT id, 11, list(ref ORDER BY o) FROM ro WHERE pos = 5 GROUP BY id
+UNION ALL SELECT sh.id, 17, list_prepend(any_value(sh.pos), list(nx.ref ORDER BY o)) FROM nx JOIN sh USING (id) GROUP BY sh.id
+UNION ALL SELECT q.id, 18, [q.pos] FROM q JOIN sel ON sel.id = q.id AND sel.pos = q.pos AND sel.layer = 'primary' WHERE q.moving AND (br || nb IN ('寅卯','巳午','申酉','亥子','丑辰','辰未','未戌','戌丑') OR nb || br IN ('寅卯','巳午','申酉','亥子','丑辰','辰未','未戌','戌丑')))
+"""
+
+
+def picked(spark, d) -> DataFrame:
+    """A selected line for most charts: a primary one, the first changed one, or the first hidden one."""
+    x, k = chart.lines(order_casts(spark, d)), F.col("chart_id") % 3
+    least = lambda flag: x.where(flag).groupBy("chart_id").agg(F.min("position").alias("position"))
+    primary = order_casts(spark, d).where(k == 0).select("chart_id", (F.col("chart_id") % 6 + 1).cast("int").alias("position"), F.lit("primary").alias("layer"))
+    return primary.unionByName(least("moving").where(k == 1).withColumn("layer", F.lit("changed"))).unionByName(least("hidden").where(k == 2).withColumn("layer", F.lit("hidden")))
+
+
+@_query(_LINES + _PICKED + """SELECT id AS chart_id, 'combination_' || lpad(CAST(k AS VARCHAR), 2, '0') AS pattern_id, array_to_string(list_transform(refs, lambda r: CASE WHEN r < 10 THEN CAST(r AS VARCHAR) WHEN r < 20 THEN (r - 10) || 'c' ELSE (r - 20) || 'h' END), '-') AS participants FROM fo""")
+def combination_selected(spark, d):
+    """Combinations that roles decide, with selected lines of each layer."""
+    codes = {f"combination_{n:02}" for n in (4, 7, 10, 11, 17, 18)}
+    return chart.patterns(order_casts(spark, d), codes, picked(spark, d)).drop("source")
+
+
+@_query(_LINES + _PICKED + """SELECT number::INT AS number, CASE WHEN f.id IS NOT NULL THEN 'structural_match' WHEN NOT EXISTS (SELECT 1 FROM sel WHERE sel.id = c.id) THEN 'needs_selection' ELSE 'not_detected' END AS status, count(*) AS n, sum(c.id)::BIGINT AS ids
+FROM c CROSS JOIN (VALUES (4), (7), (10), (11), (17), (18)) n(number) LEFT JOIN fo f ON f.id = c.id AND f.k = number GROUP BY 1, 2""")
+def combination_status(spark, d):
+    """The three states of the combinations that roles decide."""
+    x = chart.combination_checks(order_casts(spark, d), picked(spark, d)).where(F.col("number").isin(4, 7, 10, 11, 17, 18))
+    return x.groupBy("number", "status").agg(F.count("*").alias("n"), F.sum("chart_id").alias("ids"))
