@@ -11,13 +11,14 @@ from ..operators.extract import offsets
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, quote>> of the matches, places from 0, the end excluded. Empty matches don't count; null of null.
 
     Matches are marked by one replacement, and the pieces between marks give the places by a running sum, so time is
     linear in the text.
     """
-    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), f"({pattern})", f"{_OPEN}$1{_CLOSE}")
+    whole = F.concat(F.lit("("), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"({pattern})")
+    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), whole, F.lit(f"{_OPEN}$1{_CLOSE}"))
     # Two characters stand before the text, and two less of each piece count: its mark, and the line end that `offsets` adds.
     pieces = F.split(F.concat(F.lit("xx"), marked), _OPEN)
     starts = offsets(F.transform(pieces, lambda p: F.substring(p, F.lit(3), F.char_length(p))))
