@@ -8,8 +8,7 @@ it. What is left gives the labels; base phrases are counted at all places and al
 
 Defined results: a null text is an empty one: no words, no places, null first and last word, no labels, score 0;
 repeated rows are marked alike; no rows give none; input columns named as one of ours (COLUMNS) are replaced, all others
-kept. A text is scanned whole, whatever its length; the time for the places of a rule grows with the square of its
-matches in one text.
+kept. A text is scanned whole, whatever its length, in time that grows with it and its matches.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import places
+
 # Phrases that the contract counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -108,27 +109,32 @@ def _spaces(x: Column) -> Column:
 
 def _places(text: Column, rule: Column) -> Column:
     """Intervals of all matches of a rule, as (start, -end, priority, label, weight)."""
-    found, between = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-    gaps, sizes = F.transform(between, F.char_length), F.transform(found, F.char_length)
+    return F.transform(places(text, rule["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
-    def place(_, i: Column) -> Column:
-        start = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        return F.struct(start.alias("start"), (-(start + F.get(sizes, i))).alias("less"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))
 
-    return F.transform(found, place)
+#: Spans that are folded at a time: appending to an array copies it.
+RUN = 128
 
 
 def _kept(spans: Column) -> Column:
     """Spans, in order of start, without those that one of no worse priority contains (itself or its equal comes first)."""
     none = F.from_json(F.lit("[]"), _SPAN)
-    state = F.struct(F.array_repeat(F.lit(-1), PRIORITIES).alias("ends"), none.alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         contained = F.array_max(F.slice(s["ends"], F.lit(1), x["priority"])) >= -x["less"]
         ends = F.transform(s["ends"], lambda e, i: F.when(i + 1 == x["priority"], F.greatest(e, -x["less"])).otherwise(e))
         return F.struct(ends.alias("ends"), F.when(contained, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"))
 
-    return F.aggregate(F.sort_array(spans), state, step, lambda s: s["kept"])
+    def run(ordered: Column):
+        def part(s: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(ordered, i * RUN + 1, F.lit(RUN)), F.struct(s["ends"].alias("ends"), none.alias("kept")), step)
+            return F.struct(own["ends"].alias("ends"), F.array_append(s["kept"], own["kept"]).alias("kept"))
+
+        return part
+
+    state = F.struct(F.array_repeat(F.lit(-1), PRIORITIES).alias("ends"), F.from_json(F.lit("[]"), f"array<{_SPAN}>").alias("kept"))
+    bound = F.transform(F.array(F.sort_array(spans)), lambda o: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(o) / RUN).cast("int")), state, run(o), lambda s: F.flatten(s["kept"])))
+    return F.get(bound, F.lit(0))
 
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
