@@ -8,8 +8,8 @@ A benchmark of more than BLOCK_WORDS words becomes several automata. A worker ke
 more, it takes documents of GATHERED characters at a time to each automaton in turn, so that making one is shared by
 many documents and memory stays bounded. Blocks are read one after another and broadcast, each of bounded size.
 
-Defined results: a null or empty text has no words, no hit, and is not contaminated; null and empty items have no
-window; repeated items and repeated item ids count once; an empty benchmark contaminates nothing; repeated rows are
+Defined results: a null or empty text has no words, no hit, and is not contaminated; null and empty item texts have no
+window; windows of an item without id hit, but it stands in no list; repeated items and repeated item ids count once; an empty benchmark contaminates nothing; repeated rows are
 marked alike; no documents give no rows; a column named as `out` is replaced, all others are kept.
 """
 
@@ -118,7 +118,7 @@ def _scanner(blocks: list, size: int, held: int, gathered: int):
                     for a, b in ranges:
                         hit[a:b] = True
                     spans, marked = _spans(text, hit), int(hit.sum())
-                out.append({"n_words": n, "n_hit": marked, "items": sorted(items), "spans": spans})
+                out.append({"n_words": n, "n_hit": marked, "items": sorted(items - {None}), "spans": spans})
             yield pa.array(out, _KIND)
 
     return hits
@@ -128,7 +128,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ou
     """docs and a struct column `out`: n_words, n_hit, items (sorted as strings), spans of the original, contaminated."""
     sc = docs.sparkSession.sparkContext
     blocks, own, n = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
     for x in rows.toLocalIterator():
         words = len(word_bytes(x.t))
         if own and n + words > block_words:
