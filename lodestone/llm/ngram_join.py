@@ -18,7 +18,7 @@ join's condition and are never formed. Verification is exact, on the texts' shin
 pair is formed within a component.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than n words
-is one shingle; repeated rows are copies; rows of a null id are left out of links and have no component.
+is one shingle; repeated rows are copies; an id with several texts is one node, with the links of each; rows of a null id are left out of links and have no component.
 """
 
 from __future__ import annotations
@@ -224,27 +224,31 @@ def _described(n: int, percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose texts are similar enough; each text is shuffled once, to its pairs."""
+    """Those of the pairs (u, v) of which a text of u and a text of v are similar enough; an id has one text unless rows repeat it with another."""
 
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        last, a = None, set()
+        last, own = None, []
         for left, right in batches:
             for at in range(0, len(left), 64):
                 out = []
                 for x, y in zip(left[at : at + 64].to_pylist(), right[at : at + 64].to_pylist()):
                     if x != last:
-                        last, a = x, shingles(tokens(x), n)
-                    b = shingles(tokens(y), n)
-                    both = len(a & b)
-                    out.append(100 * both >= percent * (len(a) + len(b) - both))
+                        last, own = x, [shingles(tokens(t), n) for t in x]
+                    out.append(any(_alike(a, shingles(tokens(t), n), percent) for t in y for a in own))
                 yield pa.array(out, pa.bool_())
 
     ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
-    texts = ends.join(docs, "doc_id").groupBy("u", "v").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
+    side = lambda end: F.collect_set(F.when(F.col("doc_id") == F.col(end), F.col("text")))
+    texts = ends.join(docs, "doc_id").groupBy("u", "v").agg(side("u").alias("a"), side("v").alias("b"))
     return texts.where(similar("a", "b")).select("u", "v")
 
 
+def _alike(a: set, b: set, percent: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     own = docs.select("doc_id", "text")
