@@ -475,3 +475,41 @@ def test_quality(spark):
     assert z[0] == pytest.approx(pairs + small.w[at] @ x)
     assert quality.fit(docs, labels.limit(0), "quality", 5, 0) is None
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
+
+
+def test_many_license_words_take_linear_time(spark):
+    """57 KB of license words, and twice as many: places are as in one piece, and twice the text takes about twice the time."""
+    import time
+
+    piece, took = "mit license gpl v2 ", []
+    for n in (3000, 6000):
+        began = time.perf_counter()
+        (row,) = licenses.detected(frame(spark, [piece * n])).collect()
+        took.append(time.perf_counter() - began)
+        assert row.n_base == n and (row.first_word, row.last_word) == (0, 4 * n - 4) and len(row.matches) >= 2 * n - 1
+        assert sorted(m.start for m in row.matches) == [m.start for m in row.matches]
+    assert took[1] < 20, took
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.blocks("<div></p>" * 50_000 + "<article>the text</article>") == [("main", "the text")]
+    assert time.perf_counter() - began < 5
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    r = random.Random(8)
+    a, b = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "xy")
+    near_a, near_b = a.rsplit(" ", 1)[0] + " z1", b.rsplit(" ", 1)[0] + " z2"
+    rows = spark.createDataFrame([(1, a), (1, b), (2, near_b), (3, near_a), (4, "other words"), (1, a)], "doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in ngram_join.similar_documents(rows).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_windows_of_an_item_without_id_hit(spark):
+    words = " ".join(f"word{i}" for i in range(20))
+    docs, bench = spark.createDataFrame([(1, words), (2, "clean text")], "doc_id long, text string"), spark.createDataFrame([(None, words), (7, "clean text")], "item_id long, text string")
+    got = {r.doc_id: r.contamination for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert (got[1].n_hit, got[1]["items"], got[1].contaminated) == (20, [], True) and (got[2].n_hit, got[2]["items"]) == (2, ["7"])
