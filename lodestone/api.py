@@ -12,6 +12,7 @@ from .functions import text as X
 from .functions.lexicon import Lexicon
 from .operators import chart, index, search, structure, taxonomy, trees, vectors
 from .operators.classify import Catalogue
+from .operators.graph import checkpointed
 
 STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
@@ -167,7 +168,7 @@ class Engine:
         scope, k, channels, more = own.select("evidence_id"), max(60, limit * 5), [], []
 
         def channel(scored: DataFrame, order: list[Column]) -> None:
-            ranked = search.ranked(scored, order, k + 1)
+            ranked = checkpointed(search.ranked(scored, order, k + 1))  # a page of rows: the search itself runs once
             more.append(ranked.where(F.col("rank") > k))
             channels.append(ranked.where(F.col("rank") <= k))
 
@@ -201,7 +202,7 @@ class Engine:
             order = [F.desc_nulls_last("rerank"), *order]
         if kind == "case" and topic:
             order = [F.col("tier"), *order]
-        top = search.ranked(first, order, 4 * k).withColumn("all", F.lit(1))
+        top = checkpointed(search.ranked(first, order, 4 * k).withColumn("all", F.lit(1)))
         taken = search.packed(top, "all", ["rank", "evidence_id"], F.char_length(F.to_json(F.struct("evidence_id", "source_id", "focus", "body"))), limit, max_chars)
         rows = taken.select("rank", "evidence_id", "size", "taken", "used").orderBy("rank").collect()  # candidates of one page
         ids = [r.evidence_id for r in rows if r.taken]

@@ -6,8 +6,9 @@ spring for the year). Longitudes follow the low-precision series of the sun (abo
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def sun_longitude(ts: Column) -> Column:
@@ -38,3 +39,18 @@ def pillars(ts: Column) -> dict[str, Column]:
         return F.pmod(6 * stem - 5 * branch, F.lit(60)).cast("int")
 
     return {"year": year_place.cast("int"), "month": place(month_stem, month_branch), "day": day.cast("int"), "hour": place(hour_stem, hour_branch)}
+
+
+def by_terms(df: DataFrame, at: str, terms: DataFrame) -> DataFrame:
+    """df with the columns of the term in whose time its instant `at` falls; null before the first term and after the last.
+
+    terms: `instant` and whatever belongs to it, from an exact table of solar terms (a few rows a year). Each term stands for the
+    calendar months that its time touches, so instants meet one or two terms of their month by an equi-join.
+    """
+    own = [c for c in terms.columns if c != "instant"]
+    month = lambda c: F.trunc(c, "month")
+    spans = terms.select("instant", *own, F.lead("instant").over(Window.orderBy("instant")).alias("_next")).where("_next is not null")
+    touched = spans.select("*", F.explode(F.sequence(month("instant"), month("_next"), F.expr("interval 1 month"))).alias("_month"))
+    t = touched.select(F.col("_month").alias("_m"), F.col("instant").alias("_from"), F.col("_next").alias("_to"), *(F.col(c).alias(f"_t_{c}") for c in own))
+    hit = (month(F.col("_at")) == F.col("_m")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    return df.select(F.struct("*").alias("_own"), F.col(at).alias("_at")).join(t, hit, "left").select("_own.*", *(F.col(f"_t_{c}").alias(c) for c in own))

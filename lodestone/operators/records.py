@@ -48,6 +48,21 @@ def capped_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def tree_hash(df: DataFrame, key: Column, value: Column, depth: int = 3) -> DataFrame:
+    """One row: a tree of hashes over all rows, whatever their order.
+
+    Rows are dealt to 16**depth leaves by the hash of their key; a leaf is the hash of its rows' hashes in order, and each node above the
+    hash of its sixteen children at most, level by level, so that no task holds more than a leaf. A null key or value counts as empty, and is
+    told from an empty one by its mark; repeated rows count.
+    """
+    marked = lambda c: F.sha2(F.concat(F.when(c.isNull(), "0").otherwise("1"), F.coalesce(c.cast("string"), F.lit(""))), 256)
+    rows = df.select(marked(key).alias("k"), marked(value).alias("v")).select(F.substring("k", 1, depth).alias("p"), F.concat("k", "v").alias("h"))
+    for level in range(depth, -1, -1):
+        joined = F.array_join(F.array_sort(F.collect_list("h")), "")
+        rows = rows.groupBy("p").agg(F.sha2(joined, 256).alias("h")).select(F.substring("p", 1, max(level - 1, 0)).alias("p"), F.concat("p", "h").alias("h") if level else F.col("h"))
+    return rows.select(F.col("h").alias("tree_hash"))
+
+
 def corpus_hash(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """One row: the hash of the rows' hashes in order of key (rows of a fixed small table, or hashes of parts)."""
     return df.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.sha2(value, 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("corpus_hash"))

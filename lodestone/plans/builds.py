@@ -161,11 +161,11 @@ def citation_integrity(spark, d):
     return gates.citations(made, docs, "doc_id").select("item_id", "problem")
 
 
-@_query("""WITH r AS (SELECT l_suppkey, l_partkey // 50 AS b, l_partkey AS s, l_partkey + l_linenumber AS e FROM lineitem WHERE l_quantity > 25),
+@_query("""WITH r AS (SELECT l_suppkey, l_partkey // 50 AS b, l_partkey AS s, l_partkey + l_linenumber AS e FROM lineitem),
 m AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey, b ORDER BY s, e) g FROM (SELECT *, CASE WHEN s <= max(e + 1) OVER (PARTITION BY l_suppkey, b ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END new FROM r))
 SELECT l_suppkey, b, min(s) AS s, max(e) AS e FROM m GROUP BY l_suppkey, b, g""")
 def range_merge(spark, d):
-    li = _t(spark, d, "lineitem").where("l_quantity > 25").select("l_suppkey", F.floor(F.col("l_partkey") / 50).alias("b"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_linenumber")).alias("e"))
+    li = _t(spark, d, "lineitem").select("l_suppkey", F.floor(F.col("l_partkey") / 50).alias("b"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_linenumber")).alias("e"))
     return compiled.ranges(li, ["l_suppkey", "b"], "s", "e")
 
 
@@ -191,12 +191,12 @@ def pages_touched(spark, d):
     return compiled.touched(li, pages, ["l_orderkey"]).select("l_orderkey", "a_id", F.array_join("pages", ",").alias("pages"))
 
 
-@_query("""WITH s AS (SELECT CASE WHEN c_custkey % 10 = 9 THEN c_custkey - 1 ELSE c_custkey - 3 END step, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END title, CASE WHEN c_custkey % 6 = 0 THEN [] ELSE [c_custkey * 2, c_custkey * 40] END ev FROM customer WHERE c_nationkey < 5),
+@_query("""WITH s AS (SELECT CASE WHEN c_custkey % 10 = 9 THEN c_custkey - 1 ELSE c_custkey - 3 END step, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END title, CASE WHEN c_custkey % 6 = 0 THEN [] ELSE [c_custkey * 2, c_custkey * 40] END ev FROM customer),
 p AS (SELECT step, 'positive' problem FROM s WHERE step < 1 UNION SELECT step, 'unique' FROM s GROUP BY step HAVING count(*) > 1 UNION SELECT step, 'title' FROM s WHERE title = '' UNION SELECT step, 'evidence' FROM s WHERE len(ev) = 0
 UNION SELECT step, CASE WHEN doc_id IS NULL THEN 'missing_evidence' ELSE 'source_not_allowed' END FROM (SELECT step, unnest(ev) e FROM s) LEFT JOIN documents ON doc_id = e WHERE doc_id IS NULL OR source = 'src1') SELECT * FROM p""")
 def workflow_validation(spark, d):
     k = F.col("c_custkey")
-    steps = _t(spark, d, "customer").where("c_nationkey < 5").select(F.when(k % 10 == 9, k - 1).otherwise(k - 3).alias("step"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("title"), F.lit("r").alias("route"), F.when(k % 6 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k * 2, k * 40)).alias("evidence_ids"))
+    steps = _t(spark, d, "customer").select(F.when(k % 10 == 9, k - 1).otherwise(k - 3).alias("step"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("title"), F.lit("r").alias("route"), F.when(k % 6 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k * 2, k * 40)).alias("evidence_ids"))
     units = _t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("source_id"))
     return compiled.workflow_problems(steps, units, F.col("source_id") != "src1")
 
@@ -279,7 +279,7 @@ def rerank_order(spark, d):
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank"), F.desc("rrf"), "o_orderkey"))).select("place", "o_orderkey", "rerank")
 
 
-_RULES = "SELECT doc_id, source, doc_id % 40 AS g, (doc_id * 37) % 800 AS s, (doc_id * 37) % 800 + 50 AS e, CASE WHEN doc_id % 6 = 0 THEN repeat(' ', 50) ELSE rpad(coalesce(text, ''), 50, '.') END AS t FROM documents WHERE doc_id % 2 = 1 OR doc_id % 6 = 0"
+_RULES = "SELECT doc_id, source, doc_id % 40 AS g, (doc_id * 37) % 800 AS s, (doc_id * 37) % 800 + length(coalesce(text, '')) AS e, CASE WHEN doc_id % 6 = 0 THEN repeat(' ', length(coalesce(text, ''))) ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 2 = 1 OR doc_id % 6 = 0"
 
 
 @_query(f"""WITH r AS ({_RULES}), c AS (SELECT source, (doc_id * 53) % 800 AS s, (doc_id * 53) % 800 + 9 AS e FROM documents WHERE doc_id % 10 = 5),
@@ -288,7 +288,8 @@ SELECT doc_id AS evidence_id FROM r WHERE g IN (SELECT g FROM g)""")
 def rule_exclusion(spark, d):
     k = F.col("doc_id")
     docs = _t(spark, d, "documents")
-    text = F.when(k % 6 == 0, F.repeat(F.lit(" "), 50)).otherwise(F.rpad(F.coalesce("text", F.lit("")), 50, "."))
-    rules = docs.where((k % 2 == 1) | (k % 6 == 0)).select(k.alias("evidence_id"), (k % 40).alias("group_id"), F.col("source").alias("source_id"), ((k * 37) % 800).alias("start"), ((k * 37) % 800 + 50).alias("end"), text.alias("text"))
+    whole = F.coalesce("text", F.lit(""))
+    text = F.when(k % 6 == 0, F.repeat(F.lit(" "), F.char_length(whole))).otherwise(whole)
+    rules = docs.where((k % 2 == 1) | (k % 6 == 0)).select(k.alias("evidence_id"), (k % 40).alias("group_id"), F.col("source").alias("source_id"), ((k * 37) % 800).alias("start"), ((k * 37) % 800 + F.char_length(whole)).alias("end"), text.alias("text"))
     cases = docs.where(k % 10 == 5).select(F.col("source").alias("source_id"), ((k * 53) % 800).alias("start"), ((k * 53) % 800 + 9).alias("end"))
     return search.blocked_rules(rules, cases)

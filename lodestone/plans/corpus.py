@@ -7,15 +7,18 @@ cast, rows of its chart and a telling. Their SQL says what such passages come to
 from __future__ import annotations
 
 import difflib
+import uuid
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import diff
+from ..functions import calendar, diff
 from ..functions import tables as T
-from ..operators import cases, chart, chunking, classify, graph, matching, spans, trees
-from .catalogue import _LINES, _query, _t
+from ..functions import text as X
+from ..operators import cases, chart, chunking, classify, graph, index, matching, records, spans, trees
+from ..sources.publish import shared_dir
+from .catalogue import _LINES, ORACLE_SQL, TERMS, _query, _t
 from .catalogue import casts as order_casts
 
 SIGNS = ["×", "′", "″", "○"]
@@ -241,3 +244,34 @@ def combination_status(spark, d):
     """The three states of the combinations that roles decide."""
     x = chart.combination_checks(order_casts(spark, d), picked(spark, d)).where(F.col("number").isin(4, 7, 10, 11, 17, 18))
     return x.groupBy("number", "status").agg(F.count("*").alias("n"), F.sum("chart_id").alias("ids"))
+
+
+def _level(n: int) -> str:
+    """SQL of the nodes whose prefix has n characters."""
+    return f"SELECT substr(p, 1, {max(n - 1, 0)}) p, {'p || ' if n else ''}sha256(string_agg(h, '' ORDER BY h)) h FROM l{n} GROUP BY {'l%d.p' % n}"
+
+
+@_query("""WITH l3 AS (SELECT substr(k, 1, 3) p, k || v h FROM (SELECT sha256('1' || doc_id) k, sha256(CASE WHEN text IS NULL THEN '0' ELSE '1' || text END) v FROM documents)),
+l2 AS (""" + _level(3) + "), l1 AS (" + _level(2) + "), l0 AS (" + _level(1) + "), r AS (" + _level(0) + ") SELECT h AS tree_hash FROM r")
+def corpus_tree_hash(spark, d):
+    """The identity of a whole corpus, from a tree of hashes."""
+    return records.tree_hash(_t(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@_query(ORACLE_SQL["bm25_search"])
+def bm25_stored(spark, d):
+    """The search of bm25_search over a stored index: texts are tokenized once, a query reads the postings of its terms."""
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    focus, body = X.tokens(F.split("text", "\n")[0]), X.tokens(F.col("text"))
+    index.stored(_t(spark, d, "documents"), "doc_id", focus, body, folder)
+    scored = index.Stored(spark, folder, "doc_id").bm25(TERMS, 8.0)
+    return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(60)
+
+
+@_query("""WITH m AS (SELECT DISTINCT year(o_orderdate) y, month(o_orderdate) m FROM orders), t AS (SELECT make_timestamp(y, m, 4 + (y * m) % 3, 7, 30, 0.0) instant, CAST(m % 12 AS INT) branch FROM m), s AS (SELECT *, lead(instant) OVER (ORDER BY instant) nxt FROM t)
+SELECT o_orderkey, branch AS month_branch FROM (SELECT o_orderkey, o_orderdate + INTERVAL (o_orderkey % 24) HOUR + INTERVAL (o_orderkey % 60) MINUTE AS a_ FROM orders) o LEFT JOIN s ON a_ >= instant AND a_ < nxt""")
+def month_by_terms(spark, d):
+    """The month of each order's instant, from a table of terms: as of the last term before it."""
+    o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=F.col("o_orderkey") % 24, mins=F.col("o_orderkey") % 60)).alias("at"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    terms = o.select("y", "m").distinct().select(F.make_timestamp(F.col("y"), F.col("m"), 4 + (F.col("y") * F.col("m")) % 3, F.lit(7), F.lit(30), F.lit(0.0)).alias("instant"), (F.col("m") % 12).cast("int").alias("month_branch"))
+    return calendar.by_terms(o.select("o_orderkey", "at"), "at", terms).select("o_orderkey", "month_branch")

@@ -212,3 +212,34 @@ def test_matching(spark):
     pairs = [("a", 1, 2, 0), ("a", 2, 1, 1), ("b", 3, 1, 0), ("b", 4, 1, 0), ("c", 5, 0, 0), ("d", 6, 1, 2), ("e", 7, 1, 0), ("f", 7, 1, 0), ("g", None, 1, 0), ("h", 8, None, None)]
     got = matching.matched(spark.createDataFrame(pairs, "l string, r int, evidence int, conflicts int"), spark.createDataFrame([(x,) for x in "abcdefgh"] + [("a",)], "l string"), "l", "r")
     assert {(x.l, x.r, x.status) for x in got.collect()} == {("a", 1, "matched"), ("b", None, "ambiguous"), ("c", None, "insufficient_evidence"), ("d", None, "conflict"), ("e", None, "ambiguous"), ("f", None, "ambiguous"), ("g", None, "missing"), ("h", None, "insufficient_evidence")}
+
+
+def test_tree_hash(spark):
+    import hashlib
+
+    from lodestone.operators import records
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(i, f"text {i}") for i in range(300)] + [(None, "x"), (5, None), (5, ""), (5, ""), (0, "text 0")]
+    marked = lambda v: sha("0" if v is None else f"1{v}")
+    nodes = {}
+    for k, v in rows:
+        nodes.setdefault(marked(k)[:3], []).append(marked(k) + marked(v))
+    for level in (2, 1, 0):
+        up = {}
+        for p, h in nodes.items():
+            up.setdefault(p[:level], []).append(p + sha("".join(sorted(h))))
+        nodes = up
+    got = lambda r: records.tree_hash(spark.createDataFrame(r, "k int, v string"), F.col("k"), F.col("v")).collect()
+    assert [x.tree_hash for x in got(rows)] == [sha("".join(sorted(nodes[""])))] == [x.tree_hash for x in got(rows[::-1])]
+    assert got(rows) != got(rows[:-1]) and got([]) == []
+
+
+def test_instants_by_terms(spark):
+    from lodestone.functions import calendar
+
+    terms = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-02-04 08:27:00', 2), (TIMESTAMP '2024-03-05 02:23:00', 3), (TIMESTAMP '2024-05-05 08:10:00', 5), (TIMESTAMP '2024-06-05 12:10:00', 6) t(instant, branch)")
+    times = ["2024-02-04 08:26:59", "2024-02-04 08:27:00", "2024-02-29 23:59:59", "2024-03-05 02:22:59", "2024-03-05 02:23:00", "2024-04-15 00:00:00", "2024-05-05 08:09:59", "2024-06-05 12:09:59", "2024-06-05 12:10:00", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.to_timestamp("t").alias("at"), F.lit(1).alias("_m"))
+    got = {r.i: r.branch for r in calendar.by_terms(df, "at", terms).collect()}
+    assert [got[i] for i in range(10)] == [None, 2, 2, 2, 3, 3, 3, 5, None, None]
