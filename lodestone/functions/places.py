@@ -18,7 +18,8 @@ def places(text: Column, pattern: str | Column) -> Column:
     linear in the text.
     """
     whole = F.concat(F.lit("("), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"({pattern})")
-    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), whole, F.lit(f"{_OPEN}$1{_CLOSE}"))
+    clean = F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), F.translate(text, _OPEN + _CLOSE, "  ")).otherwise(text)
+    marked = F.regexp_replace(clean, whole, F.lit(f"{_OPEN}$1{_CLOSE}"))
     # Two characters stand before the text, and two less of each piece count: its mark, and the line end that `offsets` adds.
     pieces = F.split(F.concat(F.lit("xx"), marked), _OPEN)
     starts = offsets(F.transform(pieces, lambda p: F.substring(p, F.lit(3), F.char_length(p))))
