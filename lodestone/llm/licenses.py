@@ -77,7 +77,7 @@ COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "label
 
 
 def rules() -> list[dict]:
-    """All rules: label, keyword, pattern over folded words (spaces at both ends), priority, weight."""
+    """All rules: label, keyword, the name as it stands in a match (a blank if it has forms), pattern over folded words (spaces at both ends), priority, weight."""
     out = []
     for keyword, label, names, versions in FAMILIES:
         for name in names:
@@ -90,11 +90,12 @@ def rules() -> list[dict]:
                     if priority == 5 and " license" not in name and keyword not in ("gplv2", "gplv3", "cc0", "unlicense", "wtfpl", "reserved"):
                         continue
                     body = template.replace("{n}", name).replace("{w}", f"(?:,)?{_V}{version}" if version else "").replace("{v}", version or "0")
-                    out.append({"label": label, "keyword": f" {keyword} ", "pattern": f" {body}(?= )", "priority": priority, "weight": weight})
+                    plain = f" {name}" if name.replace(" ", "").isalnum() else " "
+                    out.append({"label": label, "keyword": f" {keyword} ", "name": plain, "pattern": f" {body}(?= )", "priority": priority, "weight": weight})
     return out
 
 
-_RULE = "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double>>"
+_RULE = "array<struct<label:string,keyword:string,name:string,pattern:string,priority:int,weight:double>>"
 _SPAN = "array<struct<start:int,less:int,priority:int,label:string,weight:double>>"
 
 
@@ -153,7 +154,8 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     p = F.col("_p")
     some = F.size(p) > 1
     base = F.array_sort(F.filter(F.array(*(F.when(F.contains(t, F.lit(f" {k} ")), F.lit(v)) for k, v in BASE.items())), lambda x: x.isNotNull()))
-    held = F.filter(F.from_json(F.lit(json.dumps(table)), _RULE), lambda r: F.contains(t, r["keyword"]))
+    # Most rules whose keyword stands in a text don't match it: one look decides that, before places are sought.
+    held = F.filter(F.from_json(F.lit(json.dumps(table)), _RULE), lambda r: F.contains(t, r["keyword"]) & F.contains(t, r["name"]) & F.rlike(t, r["pattern"]))
     spans = F.when(t.isNotNull(), _kept(F.flatten(F.transform(held, lambda r: _places(t, r)))))
     out = out.select(
         "_own.*",
