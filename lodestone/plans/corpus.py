@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import calendar, diff
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import cases, chart, chunking, classify, graph, index, matching, records, spans, trees
+from ..operators import cases, chart, chunking, classify, graph, index, matching, records, review, spans, trees
 from ..sources.publish import shared_dir
 from .catalogue import _LINES, ORACLE_SQL, TERMS, _query, _t
 from .catalogue import casts as order_casts
@@ -275,3 +275,17 @@ def month_by_terms(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=F.col("o_orderkey") % 24, mins=F.col("o_orderkey") % 60)).alias("at"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
     terms = o.select("y", "m").distinct().select(F.make_timestamp(F.col("y"), F.col("m"), 4 + (F.col("y") * F.col("m")) % 3, F.lit(7), F.lit(30), F.lit(0.0)).alias("instant"), (F.col("m") % 12).cast("int").alias("month_branch"))
     return calendar.by_terms(o.select("o_orderkey", "at"), "at", terms).select("o_orderkey", "month_branch")
+
+
+@_query(_LINES + """, kl AS (SELECT *, [7, 10, 4, 1, 4][el[bi + 1] + 1] tb FROM q WHERE pos IN (shi, ying)),
+tm AS (SELECT id, pos, rel, br, spirit, concat_ws(' ', CASE WHEN m = tb THEN '月墓' END, CASE WHEN d % 12 = tb THEN '日墓' END, CASE WHEN EXISTS (SELECT 1 FROM q o WHERE o.id = kl.id AND o.moving AND o.pos <> kl.pos AND o.bi = tb) THEN '动墓' END, CASE WHEN moving AND ni = tb THEN '化墓' END) kinds FROM kl),
+st AS (SELECT DISTINCT q.id, q.stage, CASE WHEN q.code <> q.chg THEN h.s END chs, pb, q.code FROM q JOIN h ON h.code = q.chg)
+SELECT id AS chart_id, 'static_day_clash:primary:' || pos AS check_id, unnest([rel || ' 静爻 日冲 暗动 日破', rel || ' 暗动 用神 生克 条件']) AS query FROM q WHERE NOT moving AND dc
+UNION ALL SELECT id, 'tomb_candidate:primary:' || pos, unnest([rel || ' ' || br || ' ' || kinds || ' 旺衰 条件', rel || ' ' || spirit || ' 墓库 理法 象法']) FROM tm WHERE kinds <> ''
+UNION ALL SELECT id, 'palace_stage:primary', CASE stage WHEN 6 THEN '游魂' ELSE '归魂' END || ' 本卦 用神 适用条件' FROM st WHERE stage >= 6 UNION ALL SELECT id, 'palace_stage:changed', CASE chs WHEN 6 THEN '游魂' ELSE '归魂' END || ' 变卦 用神 适用条件' FROM st WHERE chs >= 6
+UNION ALL SELECT id, 'key_images', substr('坤震坎兑艮离巽乾', pb + 1, 1) || '宫 ' || substr('坤震坎兑艮离巽乾', (code >> 3) + 1, 1) || ' ' || substr('坤震坎兑艮离巽乾', (code & 7) + 1, 1) || ' 卦象 取象' FROM st
+UNION ALL SELECT id, 'key_images', '第' || pos || '爻 ' || rel || ' ' || substr('木火土金水', el[bi + 1] + 1, 1) || ' ' || spirit || ' 取象' FROM kl""")
+def review_queries(spark, d):
+    """What to ask the sources for: the queries of key lines, clashes, tombs and stages."""
+    found = review.details(order_casts(spark, d)).where(F.col("check_id").rlike("^(key_images|static_day_clash|tomb_candidate|palace_stage)"))
+    return found.select("chart_id", "check_id", F.explode("queries").alias("query"))
