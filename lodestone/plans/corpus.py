@@ -289,3 +289,15 @@ def review_queries(spark, d):
     """What to ask the sources for: the queries of key lines, clashes, tombs and stages."""
     found = review.details(order_casts(spark, d)).where(F.col("check_id").rlike("^(key_images|static_day_clash|tomb_candidate|palace_stage)"))
     return found.select("chart_id", "check_id", F.explode("queries").alias("query"))
+
+
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@_query(f"""WITH t AS (SELECT doc_id, string_split_regex(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(8232)), '{_ENDS}') p FROM documents), l AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END l FROM t)
+SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: trim(x) = '')) AS n_blank, sha256(array_to_string(l, '|')) AS lines_sha256 FROM l""")
+def line_split_all(spark, d):
+    """Lines of texts with several kinds of line ends; sentences end in CR LF here, commas in a line separator."""
+    text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\u2028"))
+    x = _t(spark, d, "documents").select("doc_id", X.split_lines(text).alias("l"))
+    return x.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda v: F.trim(v) == "")).cast("long").alias("n_blank"), F.sha2(F.array_join("l", "|"), 256).alias("lines_sha256"))

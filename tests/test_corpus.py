@@ -243,3 +243,14 @@ def test_instants_by_terms(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.to_timestamp("t").alias("at"), F.lit(1).alias("_m"))
     got = {r.i: r.branch for r in calendar.by_terms(df, "at", terms).collect()}
     assert [got[i] for i in range(10)] == [None, 2, 2, 2, 3, 3, 3, 5, None, None]
+
+
+def test_case_cards(spark):
+    text = "\n".join(["卯月乙丑日占求婚成否", *ROWS, "断曰：以妻财为用神。", "", "话" * 1395, "", "果于午日允婚。", "结果如此。"])
+    made = cases.validated(cases.extracted(lines(spark, text)))
+    (card,) = cases.cards(made).collect()
+    assert card.interpretation.has_more and card.interpretation.quote == "断曰：以妻财为用神。" and card.quality == "pending"
+    assert (card.question, card.cast.day, card.choices, card.outcome.status, card.extraction.validation) == ("卯月乙丑日占求婚成否", "乙丑", ["妻财"], "reported_explicit", "calculated")
+    assert (card.span.start_line, card.span.end_line) == (1, 13)
+    reviewed = spark.createDataFrame([(card.case_id, "eligible", "read")], "case_id string, quality string, reason string")
+    assert [(c.quality, c.reason) for c in cases.cards(made, reviewed).collect()] == [("eligible", "read")]
