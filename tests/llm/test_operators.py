@@ -513,3 +513,20 @@ def test_windows_of_an_item_without_id_hit(spark):
     docs, bench = spark.createDataFrame([(1, words), (2, "clean text")], "doc_id long, text string"), spark.createDataFrame([(None, words), (7, "clean text")], "item_id long, text string")
     got = {r.doc_id: r.contamination for r in decontaminate.decontaminated(docs, bench).collect()}
     assert (got[1].n_hit, got[1]["items"], got[1].contaminated) == (20, [], True) and (got[2].n_hit, got[2]["items"]) == (2, ["7"])
+
+
+def test_recall_with_long_keys(spark, monkeypatch):
+    """Keys of eight bits and more, so that pairs can be missed: recall of linked pairs against brute force."""
+    monkeypatch.setattr(embeddings, "BUCKET", 2)
+    bits, tables = embeddings.tables(700, 0.95)
+    assert bits >= 8 and tables > 1
+    g = np.random.default_rng(5)
+    base = g.normal(size=(350, 24))
+    v = np.concatenate([base, base + g.normal(size=base.shape) * g.uniform(0.05, 0.4, (350, 1))])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = np.triu(unit @ unit.T >= 0.95, 1)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    found, wanted = sum(got.values()), 2 * int(near.sum())
+    print(f"recall {found / wanted:.4f} of {wanted // 2} pairs with keys of {bits} bits in {tables} tables")
+    assert wanted > 200 and 0.99 * wanted <= found <= wanted
+    assert all(got[i] <= n for i, n in enumerate((near | near.T).sum(1)))
