@@ -88,3 +88,35 @@ def starts(lines: DataFrame, by: str, line_no: str, line: str, pattern: str, mos
     """The first `most` lines of each source that begin a record."""
     hit = lines.where(F.col(line).rlike(pattern))
     return hit.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(line_no))).where(F.col("place") <= most)
+
+
+def progress(units: DataFrame, by: list[str], key: str, reviewed: str) -> DataFrame:
+    """The ledger of a review: units and reviewed ones of each part, and the first that waits (null where none does)."""
+    return units.groupBy(*by).agg(F.count("*").alias("total"), F.count(reviewed).alias("reviewed"), F.min(F.when(F.col(reviewed).isNull(), F.col(key))).alias("next_pending"))
+
+
+def bucket(quality: Column) -> Column:
+    """Where a unit goes by its review: noise is only compared with, what waits stays in the database, the rest is routed."""
+    return F.when(quality == 0, "compare_only").when(quality.isNull(), "database_only").otherwise("routed")
+
+
+def manifest(tables: dict[str, DataFrame], identities: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """(name, rows, tree_hash) of a release's tables; identities: key and content of those whose identity is to be pinned, null for others."""
+    from .records import tree_hash
+
+    parts = []
+    for name, df in tables.items():
+        own = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        pinned = tree_hash(df, *identities[name]) if name in (identities or {}) else None
+        # One row on either side; an empty table has no hash.
+        parts.append(own.join(pinned, how="left") if pinned is not None else own.withColumn("tree_hash", F.lit(None).cast("string")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def around(lines: DataFrame, by: str, line: str, n: int) -> DataFrame:
+    """Lines with the range of `n` lines on either side that their text has."""
+    w = Window.partitionBy(by)
+    return lines.select(by, line, F.greatest(F.col(line) - n, F.min(line).over(w)).alias("from"), F.least(F.col(line) + n, F.max(line).over(w)).alias("to"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import compile as compiled
 from ..operators import chart, extract, graph, index, overlap, records, search, spans, structure, taxonomy, trees, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,31 +581,25 @@ def shingle_overlap_normalized(spark, d):
 @_query("SELECT lang, source, count(*) AS total, count(quality) AS reviewed, min(CASE WHEN quality IS NULL THEN doc_id END) AS next_pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source")
 def review_progress(spark, d):
     x = _t(spark, d, "documents").select("doc_id", "lang", "source").join(_t(spark, d, "labels"), "doc_id", "left")
-    return x.groupBy("lang", "source").agg(F.count("*").alias("total"), F.count("quality").alias("reviewed"), F.min(F.when(F.col("quality").isNull(), F.col("doc_id"))).alias("next_pending"))
+    return compiled.progress(x, ["lang", "source"], "doc_id", "quality")
 
 
 @_query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM benchmark) AS benchmark")
 def release_manifest(spark, d):
     names = ["documents", "labels", "pages", "benchmark"]
-    counts = [_t(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
-    rows = counts[0]
-    for c in counts[1:]:
-        rows = rows.unionByName(c)
-    return rows.groupBy().agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names))
+    rows = compiled.manifest({n: _t(spark, d, n) for n in names})
+    return rows.groupBy().agg(*(F.max(F.when(F.col("name") == n, F.col("rows"))).alias(n) for n in names))
 
 
 @_query("SELECT doc_id, CASE WHEN quality = 0 THEN 'compare_only' WHEN quality IS NULL THEN 'database_only' ELSE 'routed' END AS bucket FROM documents LEFT JOIN labels USING (doc_id)")
 def bucket_routing(spark, d):
     x = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
-    return x.select("doc_id", F.when(F.col("quality") == 0, "compare_only").when(F.col("quality").isNull(), "database_only").otherwise("routed").alias("bucket"))
+    return x.select("doc_id", compiled.bucket(F.col("quality")).alias("bucket"))
 
 
 @_query("SELECT conv_id, turn, greatest(turn - 2, (SELECT min(turn) FROM conversations i WHERE i.conv_id = c.conv_id)) AS \"from\", least(turn + 2, (SELECT max(turn) FROM conversations i WHERE i.conv_id = c.conv_id)) AS \"to\" FROM conversations c")
 def context_expansion(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("conv_id")
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.col("turn") - 2, F.min("turn").over(w)).alias("from"), F.least(F.col("turn") + 2, F.max("turn").over(w)).alias("to"))
+    return compiled.around(_t(spark, d, "conversations"), "conv_id", "turn", 2)
 
 
 from . import builds, corpus  # noqa: E402,F401  they register their queries

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import calendar, diff
 from ..functions import tables as T
 from ..functions import text as X
+from ..operators import compile as compiled
 from ..operators import cases, chart, chunking, classify, graph, index, matching, records, review, spans, trees
 from ..sources.publish import shared_dir
 from .catalogue import _LINES, ORACLE_SQL, TERMS, _query, _t
@@ -301,3 +302,11 @@ def line_split_all(spark, d):
     text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\u2028"))
     x = _t(spark, d, "documents").select("doc_id", X.split_lines(text).alias("l"))
     return x.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda v: F.trim(v) == "")).cast("long").alias("n_blank"), F.sha2(F.array_join("l", "|"), 256).alias("lines_sha256"))
+
+
+@_query("""WITH l3 AS (SELECT substr(k, 1, 3) p, k || v h FROM (SELECT sha256('1' || item_id) k, sha256(CASE WHEN text IS NULL THEN '0' ELSE '1' || text END) v FROM benchmark)),
+l2 AS (""" + _level(3) + "), l1 AS (" + _level(2) + "), l0 AS (" + _level(1) + "), r AS (" + _level(0) + """)
+SELECT 'benchmark' AS name, (SELECT count(*) FROM benchmark) AS "rows", h AS tree_hash FROM r UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), NULL UNION ALL SELECT 'pages', (SELECT count(*) FROM pages), NULL""")
+def release_manifest_pinned(spark, d):
+    """Rows of a release's tables, and the identity of its benchmark."""
+    return compiled.manifest({n: _t(spark, d, n) for n in ("benchmark", "labels", "pages")}, {"benchmark": (F.col("item_id"), F.col("text"))})
