@@ -223,30 +223,39 @@ def _described(n: int, percent: int):
     return described
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of which a text of u and a text of v are similar enough; an id has one text unless rows repeat it with another."""
+def _verified(pairs: DataFrame, docs: DataFrame, several: DataFrame | None, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose texts are similar enough; each text is shuffled once, to its pairs.
+
+    several: ids with more than one text, if there are any; of their pairs, any text of u may be similar to any of v.
+    """
 
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        last, own = None, []
+        last, a = None, set()
         for left, right in batches:
             for at in range(0, len(left), 64):
                 out = []
                 for x, y in zip(left[at : at + 64].to_pylist(), right[at : at + 64].to_pylist()):
                     if x != last:
-                        last, own = x, [shingles(tokens(t), n) for t in x]
-                    out.append(any(_alike(a, shingles(tokens(t), n), percent) for t in y for a in own))
+                        last, a = x, shingles(tokens(x), n)
+                    b = shingles(tokens(y), n)
+                    both = len(a & b)
+                    out.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield pa.array(out, pa.bool_())
 
-    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
-    side = lambda end: F.collect_set(F.when(F.col("doc_id") == F.col(end), F.col("text")))
-    texts = ends.join(docs, "doc_id").groupBy("u", "v").agg(side("u").alias("a"), side("v").alias("b"))
-    return texts.where(similar("a", "b")).select("u", "v")
-
+    def compared(own: DataFrame) -> DataFrame:
+        ends = own.select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
+        texts = ends.join(docs, "doc_id").groupBy("u", "v").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
+        return texts.where(similar("a", "b")).select("u", "v")
 
-def _alike(a: set, b: set, percent: int) -> bool:
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    if several is None:
+        return compared(pairs)
+    flag = lambda end: several.select(F.col("doc_id").alias(end), F.lit(True).alias(f"_{end}"))
+    marked = pairs.join(flag("u"), "u", "left").join(flag("v"), "v", "left")
+    odd = keep(marked.where("_u or _v").select("u", "v"), "odd")
+    own = docs.join(odd.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    texts = odd.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return compared(marked.where("_u is null and _v is null").select("u", "v")).union(texts.where(similar("a", "b")).select("u", "v").distinct())
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -256,6 +265,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     filled = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     copies = keep(sets.where(filled).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size")), "copies")
     texts = own.where(F.col("doc_id").isNotNull())
+    several = keep(sets.where(filled).groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a != b").select("doc_id"), "several")
+    several = None if several.isEmpty() else several
 
     # Nodes that share a key, with the smallest of them and the number of them.
     reps = sets.where(filled).join(copies.select(F.col("rep").alias("doc_id"), "size"), "doc_id", "left_semi")
@@ -269,7 +280,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     alike = _differ_at_least("xu", "xv") <= _within("su", "sv", percent)
     first = shared.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
     first = keep(first.join(left, "u").join(right, "v").where(alike).select("u", "v"), "pairs")
-    links = keep(_verified(first, texts, n, percent), "links")
+    links = keep(_verified(first, texts, several, n, percent), "links")
     parts = components(links)
 
     # Nodes of a key outside its first node's component, against the other nodes of the key and of other components.
@@ -283,7 +294,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("pu") != F.col("pv")) & near & alike)
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rest = keep(rest.join(first, ["u", "v"], "left_anti"), "pairs")
-    more = keep(_verified(rest, texts, n, percent), "links")
+    more = keep(_verified(rest, texts, several, n, percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
 
