@@ -68,4 +68,4 @@ def test_one_of_each_group_stays(spark, corpus):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and len(queries.QUERIES) == 10
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and len(queries.QUERIES) == 13
