@@ -36,15 +36,17 @@ def _found(when: Column, check: str | Column, places: Column, queries: Column) -
     return F.when(when, F.array(one)).otherwise(F.array().cast(_CHECK))
 
 
-def details(casts: DataFrame, labels: dict[str, str] | None = None, selection: DataFrame | None = None) -> DataFrame:
+def details(casts: DataFrame, labels: dict[str, str] | None = None, selection: DataFrame | None = None, sources: bool = True) -> DataFrame:
     """(chart_id, check_id, places, queries) of all checks; labels: what a pattern is called in a query, by default its id.
 
+    Without `sources` no pattern is formed, and checks of their sources aren't there.
+
     selection: lines that a reader has selected (chart_id, position, layer), which are key lines too.
     """
     line = F.col("l")
-    moved, hid = F.filter(line, lambda m: m["moving"]), F.filter(line, lambda m: m["hidden"])
+    moved, hid = F.col("moved"), F.col("hid")
     at = lambda m: m["position"].cast("string")
-    shi = F.get(F.filter(line, lambda m: m["is_shi"]), F.lit(0))
+    shi = F.col("shi")
     trigram = lambda bits: T.pick([T.TRIGRAMS[T.trigram(b)] for b in range(8)], bits, "string")
     palace = T.pick([T.TRIGRAMS[T.palaces()[c][0]] for c in range(64)], F.col("code"), "string")
     void = chart.void_branches(F.col("day60"))
@@ -54,7 +56,8 @@ def details(casts: DataFrame, labels: dict[str, str] | None = None, selection: D
     # Key lines: of the key positions first, then the selected ones of any layer.
     as_key = lambda m: F.struct(m["position"].alias("position"), m["branch"].alias("branch"), m["element"].alias("element"), m["relative"].alias("relative"), m["spirit"].alias("spirit"), m["position"].alias("r"), F.lit("primary").alias("layer"))
     own = F.array_sort(F.filter(line, lambda m: m["is_shi"] | m["is_ying"]), lambda a, b: F.when(a["is_shi"], -1).otherwise(1))
-    keys = F.concat(F.transform(own, as_key), F.filter("sel", lambda s: ~F.exists(own, lambda m: (s["layer"] == "primary") & (m["position"] == s["position"]))))
+    key_lines = F.concat(F.transform(own, as_key), F.filter("sel", lambda s: ~F.exists(own, lambda m: (s["layer"] == "primary") & (m["position"] == s["position"]))))
+    keys = F.col("keys")
 
     def images(k: Column) -> Column:
         return _words(F.concat(F.lit("第"), at(k), F.lit("爻")), k["relative"], _element(k["element"]), k["spirit"], "取象")
@@ -117,6 +120,8 @@ def details(casts: DataFrame, labels: dict[str, str] | None = None, selection: D
         held = F.filter(seen, lambda f: f["source"] == s)
         return F.struct(F.concat(F.lit("pattern_source:"), s).alias("check_id"), F.array_distinct(F.flatten(F.transform(held, lambda f: F.array_intersect(f["refs"], focus)))).alias("places"), F.array_distinct(F.transform(held, lambda f: F.concat_ws(" ", called(f["pattern_id"]), F.lit(BOUNDS)))).alias("queries"))
 
-    checks.append(F.transform(F.array_distinct(F.transform(seen, lambda f: f["source"])), source))
-    x = chart._selected(chart._boards(casts), selection).withColumn("facts", chart._facts())
-    return x.select("chart_id", F.inline(F.concat(*checks)))
+    if sources:
+        checks.append(F.transform(F.array_distinct(F.transform(seen, lambda f: f["source"])), source))
+    x = chart._parts(chart._selected(chart._boards(casts), selection)).withColumn("keys", key_lines).withColumn("facts", chart._facts(None if sources else set()))
+    # Outer, as every chart has a check: the other form has Catalyst work out all checks once more to filter by their number.
+    return x.select("chart_id", F.inline_outer(F.concat(*checks)))
