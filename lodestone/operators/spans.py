@@ -58,7 +58,7 @@ def disclosed(spans: DataFrame, by: list[str], roles: list[str], start: str = "s
 
 def gaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """What lies between merged intervals."""
-    w = Window.partitionBy(*by).orderBy(start)
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start))
     return merged(df, by, start, end).withColumn("_next", F.lead(start).over(w)).where("_next is not null").select(*by, F.col(end).alias("gap_start"), F.col("_next").alias("gap_end"))
 
 
