@@ -214,6 +214,15 @@ def test_matching(spark):
     assert {(x.l, x.r, x.status) for x in got.collect()} == {("a", 1, "matched"), ("b", None, "ambiguous"), ("c", None, "insufficient_evidence"), ("d", None, "conflict"), ("e", None, "ambiguous"), ("f", None, "ambiguous"), ("g", None, "missing"), ("h", None, "insufficient_evidence")}
 
 
+def test_matching_of_alike_candidates(spark):
+    rows = [("a", 1, 2, 0, 1), ("a", 2, 2, 1, 4), ("b", 3, 1, 0, 3), ("c", 6, 0, 0, 2), ("d", 7, 1, 2, 5), ("e", 1, 0, 1, 1), ("f", None, 1, 0, 2)]
+    wanted = spark.createDataFrame([(x,) for x in "abcdefg"], "l string")
+    alike = matching.matched(spark.createDataFrame(rows, "l string, r int, evidence int, conflicts int, n int"), wanted, "l", "r", "n").collect()
+    pairs = spark.createDataFrame([(p, r and r + 10 * i, e, c) for p, r, e, c, n in rows for i in range(n)], "l string, r int, evidence int, conflicts int")
+    assert sorted(map(tuple, alike)) == sorted(map(tuple, matching.matched(pairs, wanted, "l", "r").collect()))
+    assert {x.l: (x.status, x.n_candidates, x.n_compatible) for x in alike}["b"] == ("ambiguous", 3, 3)
+
+
 def test_tree_hash(spark):
     import hashlib
 
