@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from . import records, spans
 
 STATUSES = ("eligible", "noise", "pending")
@@ -107,15 +108,31 @@ def partition_problems(df: DataFrame, by: str, start: str, end: str, total: str)
     return own.select(by, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(by, "x.*")
 
 
+#: Characters of a block of a text: a place is found by counting from the start of its block, not of the text.
+BLOCK = 256
+
+
 def text_coverage(text: Column, intervals: Column) -> Column:
-    """struct(total, covered, gaps) of characters that aren't blank, under sorted, merged intervals (start, end) of the text."""
-    solid = lambda c: F.char_length(F.regexp_replace(c, r"(?U)\s", ""))
-    n = F.char_length(text)
-    ends = F.concat(F.array(F.lit(0)), F.transform(intervals, lambda x: x["end"].cast("int")))
-    starts = F.concat(F.transform(intervals, lambda x: x["start"].cast("int")), F.array(n))
-    between = F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0))))
-    covered = F.aggregate(F.transform(intervals, lambda x: solid(F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), F.lit(0), lambda s, x: s + x)
-    return F.struct(solid(text).alias("total"), covered.alias("covered"), F.size(F.filter(between, lambda t: solid(t) > 0)).alias("gaps"))
+    """struct(total, covered, gaps) of characters that aren't blank, under sorted, merged intervals (start, end) of the text.
+
+    Takes time linear in the text and its intervals.
+    """
+    # Read in lambdas, the text's size and the intervals would be worked out anew for each interval: they are bound first.
+    held = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), intervals.alias("own"), F.char_length(text).alias("n"))
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
+
+    def counted(h: Column) -> Column:
+        def solid(x: Column) -> Column:
+            start, size = x["start"].cast("int"), (x["end"] - x["start"]).cast("int")
+            first = F.floor(start / BLOCK).cast("int")
+            own = F.array_join(F.slice(h["blocks"], first + 1, F.floor((start + size - 1) / BLOCK).cast("int") - first + 1), "")
+            return F.when(size > 0, F.char_length(F.regexp_replace(F.substring(own, start - first * BLOCK + 1, size), r"(?U)\s", ""))).otherwise(0)
+
+        edges = lambda name: F.transform(h["own"], lambda x: x[name].cast("int"))
+        between = F.zip_with(F.concat(F.array(F.lit(0)), edges("end")), F.concat(edges("start"), F.array(h["n"])), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+        return F.struct(F.transform(h["own"], solid).alias("inside"), F.transform(between, solid).alias("outside"))
+
+    return let(let(held, counted), lambda x: F.struct((total(x["inside"]) + total(x["outside"])).alias("total"), total(x["inside"]).alias("covered"), F.size(F.filter(x["outside"], lambda v: v > 0)).alias("gaps")))
 
 
 def coverage_report(df: DataFrame, status: str, ok: Column) -> DataFrame:

@@ -223,6 +223,23 @@ def test_matching_of_alike_candidates(spark):
     assert {x.l: (x.status, x.n_candidates, x.n_compatible) for x in alike}["b"] == ("ambiguous", 3, 3)
 
 
+def test_text_coverage_takes_linear_time(spark, tmp_path):
+    import time
+
+    from lodestone.plans import catalogue
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab é𝒳\n\u00a0") for _ in range(n)) for n in (1, 59, 60, 61, 99, 100, 255, 256, 257, 1_000, 1_000_000)] + ["", " " * 300, None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id int, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.perf_counter()
+    got = {r.doc_id: (r.total, r.covered, r.gaps) for r in catalogue.QUERIES["text_coverage"](spark, str(tmp_path)).collect()}
+    took = time.perf_counter() - began
+    solid = lambda t: len(re.sub(r"\s", "", t))
+    cut = lambda t, at, size: [t[i + at : i + at + size] for i in range(0, len(t) + 1, 100)]
+    assert got == {i: (solid(t), sum(map(solid, cut(t, 0, 60))), sum(solid(x) > 0 for x in cut(t, 60, 40))) for i, t in enumerate(texts) if t is not None}
+    assert took < 15  # each interval once read the whole text
+
+
 def test_tree_hash(spark):
     import hashlib
 
