@@ -21,19 +21,23 @@ def lengths(docs: DataFrame, key: str, focus: Column, body: Column) -> DataFrame
 def bm25(docs: DataFrame, key: str, focus: Column, body: Column, terms: list[str], focus_weight: float, scope: Column | None = None) -> DataFrame:
     """(key, score) of documents in scope that hold a term; higher is better.
 
-    One pass over the documents: counts of the few query terms are taken inside each row, so no posting is shuffled;
+    One pass over the documents: counts of the few query terms are taken inside each row, and no posting is shuffled, only they;
     the statistics (documents, mean length, document frequencies) are one row.
     """
     terms = list(dict.fromkeys(terms))
 
-    def counted(tokens: Column) -> Column:
-        return F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter(tokens, lambda t: t == q)))
+    # Each token is looked at once; the counts are taken of the few that are asked for.
+    asked = lambda tokens: F.filter(tokens, lambda t: t.isin(terms))
+    counted = lambda tokens: F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter(tokens, lambda t: t == q)))
 
     rows = docs.select(key, (scope if scope is not None else F.lit(True)).alias("_in"), focus.alias("_f"), body.alias("_b"))
-    rows = rows.select(key, "_in", counted(F.col("_f")).alias("_tf"), counted(F.col("_b")).alias("_tb"), (F.size("_f") + F.size("_b")).alias("_len"))
+    rows = rows.select(key, "_in", asked(F.col("_f")).alias("_f"), asked(F.col("_b")).alias("_b"), (F.size("_f") + F.size("_b")).alias("_len"))
+    rows = rows.select(key, "_in", counted(F.col("_f")).alias("_tf"), counted(F.col("_b")).alias("_tb"), "_len")
+    # The statistics and the scores read one exchange of these counts, so texts are tokenized once.
+    rows = rows.repartition(F.col(key), F.col("_in"))
     has = [((F.get("_tf", F.lit(i)) + F.get("_tb", F.lit(i))) > 0) for i in range(len(terms))]
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), F.array(*(F.count_if(h) for h in has)).alias("_df"))
-    rows = rows.where(F.coalesce(F.col("_in"), F.lit(False))).crossJoin(F.broadcast(stats))  # one row
+    rows = rows.crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         df = F.get("_df", F.lit(i))
@@ -41,10 +45,9 @@ def bm25(docs: DataFrame, key: str, focus: Column, body: Column, terms: list[str
         f = focus_weight * F.get("_tf", F.lit(i)) + F.get("_tb", F.lit(i))
         return F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
 
-    hit = has[0]
-    for h in has[1:]:
-        hit |= h
-    return rows.where(hit).select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
+    # A test of the counts alone would be pushed below them, and texts tokenized anew for each count; this one reads the statistics as well.
+    held = sum((F.when(h, F.get("_df", F.lit(i))).otherwise(0) for i, h in enumerate(has)), F.lit(0))
+    return rows.where(F.when(F.col("_in"), held > 0)).select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
 def unmatched(terms: list[str], docs: DataFrame, tokens: Column, scope: Column) -> DataFrame:
@@ -66,15 +69,22 @@ def stored(docs: DataFrame, key: str, focus: Column, body: Column, folder: str)
     """Writes an inverted index: postings (bucket, term, key, counts, length), terms (document frequencies), one row of statistics.
 
     Postings are partitioned by a hash of the term and sorted by it, so a query reads a few row groups of a few files.
-    Texts are tokenized once. A frequent term's postings are spread over the tasks of its bucket by key.
+    Texts are tokenized once: a row's tokens are counted with its length at hand, and a posting without a term stands for
+    the row itself, so nothing is joined and the statistics come from the postings. Rows of one key are rows of their own.
+    A frequent term's postings are spread over the tasks of its bucket by key.
     """
-    own = docs.select(key, focus.alias("_f"), body.alias("_b"))
-    size = (F.size("_f") + F.size("_b")).cast("long")
-    rows = postings(own, key, F.col("_f"), F.col("_b")).join(own.select(key, size.alias("len")), key).withColumn("bucket", _bucket(F.col("term")))
-    rows.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    held = docs.sparkSession.read.parquet(f"{folder}/postings")
-    held.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    own.agg(F.count("*").alias("n"), F.avg(size).alias("mean")).write.mode("overwrite").parquet(f"{folder}/statistics")
+    own = docs.select(key, F.monotonically_increasing_id().alias("_row"), focus.alias("_f"), body.alias("_b"))
+    held = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    rows = own.select(
+        key, "_row", (F.size("_f") + F.size("_b")).cast("long").alias("len"), F.size(held("_f")).alias("_n"),
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), held("_f"), held("_b"))).alias("_at", "term"),
+    ).where("_at = 0 or term is not null")
+    counted = rows.groupBy(key, "_row", "len", "term").agg(F.count_if((F.col("_at") > 0) & (F.col("_at") <= F.col("_n"))).alias("tf_focus"), F.count_if(F.col("_at") > F.col("_n")).alias("tf_body"))
+    counted = counted.drop("_row").withColumn("bucket", _bucket(F.col("term")))
+    counted.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    written = docs.sparkSession.read.parquet(f"{folder}/postings")
+    written.where("term is not null").groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    written.where("term is null").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
 class Stored:

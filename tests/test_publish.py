@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from lodestone.functions import text as X
 from lodestone.operators import chart, gates, index
 from lodestone.sources import publish
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def test_stored_index_equals_the_scan(spark, tmp_path):
     assert "bucket" in held._of(held.postings, ["w1"])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
 
 
+def test_texts_are_tokenized_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "c a c"), (1, "b", "a"), (2, "", "c"), (3, None, None), (None, "a", "b b")], "id int, f string, b string")
+    focus, body = X.tokens(F.col("f")), X.tokens(F.col("b"))
+    scan = index.bm25(docs, "id", focus, body, ["a", "c"], 2.0, F.coalesce("id", F.lit(0)) < 9)
+    want = {}
+    for r in scan.collect():
+        want[r.id] = want.get(r.id, 0) + r.score
+    plan = scan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and set(want) == {1, 2, None}
+    # Rows of one id are counted as the scan counts them.
+    index.stored(docs, "id", focus, body, str(tmp_path))
+    held = index.Stored(spark, str(tmp_path), "id")
+    assert {r.id: r.score for r in held.bm25(["a", "c"], 2.0).collect()} == pytest.approx(want)
+    assert held.statistics.first().n == 5 and {r.term: r.df for r in held.terms.collect()} == {"a": 3, "b": 3, "c": 2}
+    assert spark.range(1).select(X.tokens(F.lit("1aB\u00e9c, d."))).first()[0] == ["ab", "c", "d"]
+
+
 def test_day_stars_and_labels(spark):
     stems, branches = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
     triads = {"寅午戌": "申卯", "申子辰": "寅酉", "巳酉丑": "亥午", "亥卯未": "巳子"}
