@@ -137,3 +137,19 @@ def test_overlap_longest_against_brute_force(spark):
             if hits:
                 expected.add((i, j, len(hits), max(len(os.path.commonprefix([a[at:], b[b.index(a[at : at + 32]) :]])) for at in hits)))
     assert {tuple(r) for r in overlap.overlaps(q, d).collect()} == expected and len(expected) > 8
+
+
+def test_overlap_in_long_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc𠀀é ") for _ in range(20_000))
+    places = [0, 1, 7, 8, 9, 231, 249, 255, 256, 8165, 8185, 8191, 8192, 8193, 16_383, 19_900, 19_968]
+    queries = ["#" * (i % 9) + text[at : at + 60 + i] for i, at in enumerate(places)]
+    docs = [(0, text), (0, text), (1, text[3:9_000]), (2, text[8_170:8_202]), (3, text[8_170:8_201]), (4, "")]
+    q = spark.createDataFrame(list(enumerate(queries)), "q_id int, q string")
+    d = spark.createDataFrame(docs, "d_id int, d string")
+    for size, step in ((32, 8), (20, 5), (16, 1)):
+        expected = {(i, j, n) for i, a in enumerate(queries) for j, b in docs if (n := sum(a[at : at + size] in b for at in range(0, len(a) - size + 1, step)))}
+        # An id that stands for two rows counts a window once.
+        assert sorted(map(tuple, overlap.overlaps(q, d, size, step, longest=False).collect())) == sorted(expected) and len(expected) > 20
