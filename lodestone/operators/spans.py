@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows that a task sorts, about.
+TASK_ROWS = 1_000_000
+
 
 def islands(df: DataFrame, by: list[str], number: str) -> DataFrame:
     """Runs of consecutive numbers: (by, start, end, n)."""
@@ -14,13 +17,31 @@ def islands(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return run.groupBy(*by, "_g").agg(F.min(number).alias("start"), F.max(number).alias("end"), F.count("*").alias("n")).drop("_g")
 
 
+def spread(df: DataFrame, by: list[str], *sources: DataFrame) -> DataFrame:
+    """df with as many tasks as its rows need, TASK_ROWS each, where the session's shuffle partitions are too few for it.
+
+    sources: what df is made of, counted instead of it.
+    """
+    tasks = sum(-(-x.count() // TASK_ROWS) for x in sources or (df,))
+    return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def merged(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Unions of intervals [start, end) that overlap or touch."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    numbered = marked.withColumn("_g", F.sum("_new").over(w))
-    return numbered.groupBy(*by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    """Unions of intervals [start, end) that overlap or touch; unknown places come last, equal intervals are one."""
+    return _unions(spread(df, by), by, start, end)
+
+
+def _unions(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """One sort, and nothing is hashed: a row begins a union or not, and a union's end is known where the next begins."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    equal = F.lag(start).over(w).eqNullSafe(F.col(start)) & F.lag(end).over(w).eqNullSafe(F.col(end)) & (F.row_number().over(w) > 1)
+    marked = df.select(*by, start, end).withColumns({"_new": F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1), "_equal": equal})
+    numbered = marked.withColumn("_u", F.struct(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("g"), F.col(end).alias("end")))
+    # The greatest (union, end) so far holds the end of the last union.
+    ends = numbered.withColumns({"_before": F.max("_u").over(before), "_last": F.max("_u").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    own = ends.where("_new = 1 and not _equal").withColumn("_end", F.coalesce(F.lead("_before").over(w), F.col("_last")))
+    return own.select(*by, start, F.col("_end.end").alias(end))
 
 
 def difference(a: DataFrame, b: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -37,8 +58,9 @@ def difference(a: DataFrame, b: DataFrame, by: list[str], start: str, end: str)
     w = Window.partitionBy(*by).orderBy("_at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = borders(a, "_in").unionByName(borders(b, "_out")).groupBy(*by, "_at").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    swept = spread(swept, by, a, b)
     swept = swept.select(*by, "_at", F.lead("_at").over(w).alias("_to"), F.sum("_in").over(run).alias("_in"), F.sum("_out").over(run).alias("_out"))
-    return merged(swept.where("_in > 0 and _out = 0").select(*by, F.col("_at").alias(start), F.col("_to").alias(end)), by, start, end)
+    return _unions(swept.where("_in > 0 and _out = 0").select(*by, F.col("_at").alias(start), F.col("_to").alias(end)), by, start, end)
 
 
 def disclosed(spans: DataFrame, by: list[str], roles: list[str], start: str = "start", end: str = "end") -> DataFrame:
