@@ -46,6 +46,7 @@ class Counter:
         machine.make_automaton()
         if not {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocab}:
             raise ValueError("the vocabulary has no piece for each byte")
+        self.singles = {p for p, _ in vocab if len(p) == 1}
         self.unknown = min(s for _, s in vocab) - UNKNOWN
         known = set("".join(p for p, _ in vocab))
         inner = any(SPACE in p.lstrip(SPACE) for p, _ in vocab)
@@ -57,6 +58,25 @@ class Counter:
         self.held = Held(self.viterbi)
 
     def viterbi(self, chunk: str) -> tuple[int, float]:
+        if not self.singles.issuperset(chunk):
+            return self.viterbi_unknown(chunk)
+        # Each character ends a piece, and of one end the automaton gives the longest, so the earliest start, first.
+        score, count, last = [0.0], [0], -1
+        for end, (length, own) in self.machine.iter(chunk):
+            if end != last:
+                last = end
+                best = score[-length] + own
+                count.append(count[-length] + 1)
+                score.append(best)
+            else:
+                total = score[~length] + own
+                if total > best:
+                    score[-1] = best = total
+                    count[-1] = count[~length] + 1
+        return count[-1], score[-1]
+
+    def viterbi_unknown(self, chunk: str) -> tuple[int, float]:
+        """Any chunk; characters that are no piece of their own may stand as bytes."""
         n = len(chunk)
         score: list[float] = [0.0] + [0.0] * n
         count = [0] * (n + 1)

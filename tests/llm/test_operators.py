@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -279,6 +280,22 @@ def test_token_counts_equal_the_tokenizer(spark, texts):
         token_counts.Counter([("a", -1.0)])
 
 
+def test_known_characters_take_the_short_count():
+    """op3: it equals the count for any characters, ties included, in less than two thirds of the time."""
+    r = random.Random(3)
+    vocab = [(f"<0x{b:02X}>", -9.0) for b in range(256)] + [(c, -3.0) for c in "abcd"]
+    vocab += [(p, float(r.choice([-2, -3, -4, -6]))) for p in {"".join(r.choices("abcd", k=r.randint(2, 6))) for _ in range(600)}]
+    held = token_counts.Counter(vocab)
+    chunks = ["".join(r.choices("abcd", k=r.randint(1, 30))) for _ in range(3000)]
+    took = []
+    for count in (held.viterbi_unknown, held.viterbi):
+        began = time.process_time()
+        got = [count(c) for c in chunks]
+        took.append((time.process_time() - began, got))
+    assert took[0][1] == took[1][1] and took[1][0] < took[0][0] * 2 / 3
+    assert held.viterbi("abé") == held.viterbi_unknown("abé")
+
+
 def test_license_scan(spark):
     phrases = licenses.BASE
     r = random.Random(3)
