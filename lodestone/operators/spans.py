@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that a task sorts, about.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 2_000_000
 
 
 def islands(df: DataFrame, by: list[str], number: str) -> DataFrame:
