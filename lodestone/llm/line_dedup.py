@@ -8,9 +8,9 @@ tokens under this positional filter, the length filter, and a bound from parity
 lines of more than LONG tokens); what is left is verified on the lines' tokens. A line is removed if a line before it is similar. Lines of equal sets are one from the
 start, and the first of them stands for all.
 
-A line needs one similar line before it, not all. So each line first meets, for each of its prefix tokens, the first
-lines (of LEADS classes by hash) that have the token among their LEADING rarest ones, which decides most lines of large
-families; then what is undecided meets all lines of its prefix tokens. Pairs
+A line needs one similar line before it, not all. So each line first meets, for each token of its prefix for partners
+that are no shorter (a similar line of its size has one of these), the first lines (of LEADS classes by hash) that have
+the token among their LEADING rarest ones, which decides most lines of large families; then what is undecided meets all lines of its prefix tokens. Pairs
 of decided lines aren't formed. Everything is a DataFrame expression: no group is collected, and joins on a token are
 merge joins, which adaptive execution splits where a token is hot.
 
@@ -25,14 +25,14 @@ columns are kept, whatever their names, except that `out` replaces a column of t
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, release
 
 BUCKETS, LEADING, LEADS = 1 << 18, 3, 4
-#: Bits of a token's hash beside its bucket; the two make 63 bits, and the bucket gives way to its rank.
-_BITS = 45
+#: Bits of a token's hash below its bucket, which gives way to its rank.
+_BITS = 46
 #: Lines whose names are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 19
 #: Lines of more tokens have two words of parity bits.
@@ -40,36 +40,49 @@ LONG = 100
 _BLANKS = "\t\r\x0b\x0c"
 
 
-def _text(docs: DataFrame) -> Column:
-    """The text in lower case with spaces for other blanks; the check spares most texts the translation."""
+def _odd() -> Column:
+    """Has the text blanks that aren't spaces? Most texts haven't, and their lines are spared the translation."""
     odd = F.lit(False)
     for c in _BLANKS:
         odd = odd | F.contains("text", F.lit(c))
-    return F.lower(F.when(odd, F.translate("text", _BLANKS, " " * len(_BLANKS))).otherwise(F.col("text")))
+    return odd.alias("odd")
+
+
+def _plain(line: Column) -> Column:
+    """A line in lower case with spaces for other blanks (odd: it may have some), trimmed. Lines of ASCII are lowered fast, even in texts that aren't."""
+    return F.trim(F.lower(F.when(F.col("odd"), F.translate(line, _BLANKS, " " * len(_BLANKS))).otherwise(line)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), no (from 0), line (lower-cased, trimmed): the lines that aren't blank."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(_text(docs), "\n")).alias("no", "line"))
-    return own.withColumn("line", F.trim("line")).where("line != ''")
+    """id (in the order of lines), doc_id, th (the text's hash), no (from 0), line (lower-cased, trimmed): the lines that aren't blank.
+
+    Texts are sorted once, so that a line's place in the order is one number. Of rows with the id and the text in common, one counts.
+    """
+    key = ["last", "doc_id", "th"]
+    own = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    own = own.orderBy(*key).select("*", _odd(), F.monotonically_increasing_id().alias("at"))
+    own = own.withColumn("first", F.min("at").over(Window.partitionBy(*key))).where("at = first")
+    own = own.select("doc_id", "th", "odd", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return own.select(F.monotonically_increasing_id().alias("id"), "doc_id", "th", "no", _plain(F.col("line")).alias("line")).where("line != ''")
 
 
 def _hashes(line: Column) -> Column:
     """Distinct 64-bit hashes of the tokens; the empty string between two spaces isn't one."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda x: F.xxhash64(x)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
 
 
 def _ranks(hashed: DataFrame) -> Column:
-    """The place of each bucket of token hashes in the order of its count, the rarest first, above the other bits.
+    """What makes a hash's upper bits, its bucket, the bucket's place in the order of counts, the rarest first, if the two are combined by exclusive or.
 
     As a scalar subquery of a written row: a literal of this size would stand in the text of every plan.
     """
-    counts = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
+    counts = hashed.select(F.explode("h").alias("h")).groupBy(F.shiftrightunsigned("h", _BITS).cast("int").alias("b")).count()
     found = counts.toPandas()  # BUCKETS rows at most
     n = np.zeros(BUCKETS, np.int64)
     n[found["b"].to_numpy()] = found["count"].to_numpy()
     out = np.empty(BUCKETS, np.int64)
-    out[np.argsort(n, kind="stable")] = np.arange(BUCKETS) << _BITS
+    out[np.argsort(n, kind="stable")] = np.arange(BUCKETS) - BUCKETS // 2  # the upper bit is the sign
+    out = (out ^ np.arange(BUCKETS)) << _BITS
     return keep(hashed.sparkSession.createDataFrame([(out.tolist(),)], "ranks array<long>"), "ranks").scalar()
 
 
@@ -122,16 +135,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
 
 
-def _sets_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, t (token hashes) of the first line of each of those sets, from the texts."""
-    nos = F.collect_list(F.struct("id", F.col("first.no").alias("no")))
-    wanted = keep(ids.join(firsts, "id").groupBy(F.col("first.doc_id").alias("_doc_id"), F.col("first.th").alias("_th")).agg(nos.alias("_nos")), "wanted")
-    few = wanted.count() <= BROADCAST
+def _sets_of(ids: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, t (token hashes) of those lines, from the texts."""
+    wanted = ids.join(places, "id").groupBy(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("id", "no")).alias("_nos"))
+    wanted = keep(wanted, "wanted")
+    few = (wanted.agg(F.sum(F.size("_nos"))).first()[0] or 0) <= BROADCAST
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")))
-    own = own.select("_nos", F.split(_text(own), "\n").alias("lines"))
-    own = own.select(F.explode(F.transform("_nos", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["no"]).alias("line")))).alias("x"))
-    own = own.select("x.id", _hashes(F.trim("x.line")).alias("t"))
+    own = own.select("_nos", _odd(), F.split("text", "\n").alias("lines"))
+    own = own.select("odd", F.explode(F.transform("_nos", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["no"]).alias("line")))).alias("x"))
+    own = own.select("x.id", _hashes(_plain(F.col("x.line"))).alias("t"))
     return own.dropDuplicates(["id"])  # repeated rows have the same lines
 
 
@@ -164,44 +177,42 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, th, no of every line that a line before it resembles; percent: the least similarity."""
     plain = {"parquet.enable.dictionary": "false"}
-    hashed = keep(lines(docs).select("doc_id", "th", "no", F.monotonically_increasing_id().alias("row"), _hashes(F.col("line")).alias("h")), "hashes", **plain)
-    ranked = F.transform("h", lambda h: F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _BITS)))
+    hashed = keep(lines(docs).select("id", "doc_id", "th", "no", _hashes(F.col("line")).alias("h")), "hashes", **plain | {"parquet.compression.codec.zstd.level": "1"})
+    # Never null, so that Spark sorts them as plain numbers.
+    ranked = F.transform("h", lambda h: F.coalesce(h.bitwiseXOR(F.get("ranks", F.shiftrightunsigned(h, _BITS))), F.lit(0).cast("long")))
     size = F.size("h")
     # Prefixes for a partner of any size, and how much of them for one that is no shorter.
     most, index = (size - F.ceil(size * percent / 100) + 1).cast("int"), (size - _need(2 * size, percent) + 1).cast("int")
     p2 = F.when(size > LONG, _parity(F.filter("h", lambda h: h.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
     sets = hashed.withColumn("ranks", _ranks(hashed))
-    sets = sets.select("doc_id", "th", "no", "row", size.alias("size"), _parity(F.col("h")).alias("odd"), p2.alias("p2"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
-    sets = sets.select("doc_id", "th", "no", "row", "size", "odd", "p2", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
+    sets = sets.select("id", "doc_id", "th", "no", size.alias("size"), _parity(F.col("h")).alias("odd"), p2.alias("p2"), most.alias("most"), index.alias("index"), F.sort_array(ranked).alias("set"))
+    sets = sets.select("id", "doc_id", "th", "no", "size", "odd", "p2", "index", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", F.lit(1), F.col("most")).alias("prefix"))
     sets = keep(sets, "lines", **plain)
     release(hashed)
 
-    # Sets in the order of their first lines, with numbers in that order.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "no", "row")).alias("first")
-    firsts = sets.groupBy("k1", "k2").agg(first).orderBy("first").withColumn("id", F.monotonically_increasing_id())
-    firsts = keep(firsts, "firsts")
+    firsts = keep(sets.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id"), "firsts")
     # Above 75 %, sets of up to three tokens resemble only their equals.
     alone = sets.where("size >= 4") if percent > 75 else sets
-    alone = alone.join(firsts.select("id", F.col("first.row").alias("row")), "row")
-    reps = keep(alone.select("id", "size", "odd", "p2", "index", "prefix"), "sets", **plain)
-    copies = sets.select("doc_id", "th", "no", "k1", "k2").join(firsts.select("k1", "k2", "first"), ["k1", "k2"])
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("no") == F.col("first.no"))
-    copies = keep(copies.where(~same).select("doc_id", "th", "no").distinct(), "copies")
-    release(sets)
+    reps = keep(alone.select("id", "size", "odd", "p2", "index", "prefix").join(firsts, "id", "left_semi"), "sets", **plain)
+    places = sets.select("id", "doc_id", "th", "no").join(firsts.withColumn("first", F.lit(True)), "id", "left")
+    places = keep(places.withColumn("copy", F.col("first").isNull()).drop("first"), "places")
+    release(sets, firsts)
 
     open_ = reps.withColumn("decided", F.lit(False))
-    leads = _rows(open_, F.slice("prefix", 1, LEADING)).groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("class")).agg(F.min(F.struct("id", "odd", "p2", "at")).alias("lead")).select("token", "lead.*")
-    met = keep(_met(_rows(open_, F.col("prefix")), leads, percent, False), "met")
-    gone = _similar(met, _sets_of(_ends(met), firsts, docs), percent)
+    rarest = _rows(open_, F.slice("prefix", 1, LEADING))
+    leads = rarest.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("class")).agg(*(F.min_by(c, "id").alias(c) for c in ("odd", "p2", "at")), F.min("id").alias("id"))
+    met = keep(_met(_rows(open_, F.slice("prefix", F.lit(1), F.col("index"))), leads, percent, False), "met")
+    gone = _similar(met, _sets_of(_ends(met), places, docs), percent)
 
     marked = keep(reps.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False))), "sets", **plain)
     release(reps)
     pairs = _met(_rows(marked, F.col("prefix")), _rows(marked, F.slice("prefix", F.lit(1), F.col("index"))), percent, True)
     pairs = keep(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
     release(marked, met)
-    gone = gone.union(_similar(pairs, _sets_of(_ends(pairs), firsts, docs), percent))
-    found = keep(firsts.join(gone, "id").select("first.doc_id", "first.th", "first.no").union(copies), "removed")
-    release(firsts, copies, pairs)
+    gone = gone.union(_similar(pairs, _sets_of(_ends(pairs), places, docs), percent))
+    found = places.join(gone.withColumn("gone", F.lit(True)), "id", "left").where("copy or gone").select("doc_id", "th", "no")
+    found = keep(found, "removed")
+    release(places, pairs)
     return found
 
 

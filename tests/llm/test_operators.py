@@ -147,6 +147,32 @@ def test_line_dedup_without_broadcasts(spark, texts, monkeypatch):
     assert few and {(x.doc_id, x.no) for x in line_dedup.removed_lines(docs).collect()} == few
 
 
+def test_line_dedup_numbers_lines_in_their_order(spark):
+    """One number tells a line's place among all: (doc_id, text hash, line number), null ids last; repeated rows count once."""
+    rows = [(i % 40, f"a{i}\n\nÄ{i}\tx") for i in range(150)] + [(None, "of no id\nB"), (7, "twice\nover"), (7, "twice\nover"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.lines(docs).orderBy("id").collect()
+    assert [(x.doc_id is None, x.doc_id or 0, x.th, x.no) for x in got] == sorted((x.doc_id is None, x.doc_id or 0, x.th, x.no) for x in got)
+    assert sorted(x.line for x in got) == sorted([w for i in range(150) for w in (f"a{i}", f"ä{i} x")] + ["of no id", "b", "twice", "over"])
+    assert len({x.id for x in got}) == len(got)
+
+
+def test_line_dedup_broadcasts_few_lines_only(spark, monkeypatch):
+    """The bound is on lines, not on the documents that have them."""
+
+    def counted(df):
+        sent.append(df.selectExpr("sum(size(_nos))").first()[0] or 0)
+        return df
+
+    sent = []
+    one = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
+    docs = frame(spark, ["\n".join(one), "\n".join(x + " more" for x in one)])
+    monkeypatch.setattr(line_dedup, "BROADCAST", 10)
+    monkeypatch.setattr(line_dedup.F, "broadcast", counted)
+    assert {(x.doc_id, x.no) for x in line_dedup.removed_lines(docs).collect()} == {(1, i) for i in range(20)}
+    assert all(n <= 10 for n in sent)
+
+
 def test_held_is_bounded():
     from lodestone.llm.common import Held
 
