@@ -26,12 +26,15 @@ def spread(df: DataFrame, by: list[str], *sources: DataFrame) -> DataFrame:
     return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def merged(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Unions of intervals [start, end) that overlap or touch; unknown places come last, equal intervals are one."""
-    return _unions(spread(df, by), by, start, end)
+def merged(df: DataFrame, by: list[str], start: str, end: str, peers: bool = True) -> DataFrame:
+    """Unions of intervals [start, end) that overlap or touch; unknown places come last.
+
+    peers: whether equal intervals that don't touch each other (unknown or reversed ones) are one; else each is its own.
+    """
+    return _unions(spread(df, by), by, start, end, peers)
 
 
-def _unions(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+def _unions(df: DataFrame, by: list[str], start: str, end: str, peers: bool = True) -> DataFrame:
     """One sort, and nothing is hashed: a row begins a union or not, and a union's end is known where the next begins."""
     w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +43,7 @@ def _unions(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     numbered = marked.withColumn("_u", F.struct(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("g"), F.col(end).alias("end")))
     # The greatest (union, end) so far holds the end of the last union.
     ends = numbered.withColumns({"_before": F.max("_u").over(before), "_last": F.max("_u").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    own = ends.where("_new = 1 and not _equal").withColumn("_end", F.coalesce(F.lead("_before").over(w), F.col("_last")))
+    own = ends.where("_new = 1 and not _equal" if peers else "_new = 1").withColumn("_end", F.coalesce(F.lead("_before").over(w), F.col("_last")))
     return own.select(*by, start, F.col("_end.end").alias(end))
 
 
